@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, sharding
+from . import exact_dedup, language_id, mixing, packing, sharding
 
 QUERIES = {
+    "op2_packing": packing.query,
     "op3_sharding": sharding.query,
+    "op6_language_id": language_id.query,
+    "op8_mixing": mixing.query,
     "op10_exact_dedup": exact_dedup.query,
 }
-ORACLES = {"op10_exact_dedup": exact_dedup.SQL}
+ORACLES = {"op8_mixing": mixing.SQL, "op10_exact_dedup": exact_dedup.SQL}
