@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
@@ -13,45 +15,81 @@ from .common import table, text_of
 
 MAX_LENGTH = 4096
 END = 2
-#: Words whose ids a Python worker remembers; the memory of a worker stays under some 150 MB.
-REMEMBERED = 400_000
-#: Longer runs without a space aren't remembered.
+#: Pieces whose ids a Python worker remembers, in two generations; the memory of a worker stays under some 200 MB.
+REMEMBERED = 600_000
+#: Longer pieces aren't remembered.
 LONGEST_REMEMBERED = 64
+#: Characters that need no normalisation but lower case, and the pieces of a text: these are fixed values of the
+#: tokenizer file, for these characters.
+NOT_PLAIN = re.compile(r"[^\x20-\x7E\x09-\x0DÀ-ÖØ-öø-ÿ]")
+PIECE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^\sa-zß-öø-ÿ0-9]+")
 PIECES = "doc_id long, start long, length long, input_ids binary, doc_tokens long"
 
 
-class WordIds(dict):
-    """The ids of a word as bytes. The tokenizer never joins text across a space, so a text's ids are those of its
-    words, one after another; most words of a corpus are found here instead of being tokenized again."""
+def _byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary: itself, or the next one from
+    U+0100 for bytes that don't print."""
+    printing = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printing]
+    return {b: chr(b) for b in printing} | {b: chr(0x100 + i) for i, b in enumerate(others)}
 
-    _of_path: dict[str, WordIds] = {}
+
+class PieceIds:
+    """The ids of a text as bytes, piece by piece. The tokenizer never joins text across a piece, so a text's ids are
+    those of its pieces, one after another. Most pieces of a corpus were seen lately; a new one goes straight to the
+    merges of the tokenizer's model. Words with characters outside NOT_PLAIN's list go through the whole tokenizer."""
+
+    _of_path: dict[str, PieceIds] = {}
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merged = self.tokenizer.model.tokenize
+        self.markers = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.letters = _byte_letters()
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @classmethod
-    def of(cls, path: str) -> WordIds:
+    def of(cls, path: str) -> PieceIds:
         if path not in cls._of_path:
             cls._of_path[path] = cls(path)
         return cls._of_path[path]
 
-    def _encode(self, words: list[str]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(e.ids, np.uint32).tobytes() for e in encoded]
+    def _piece(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            tokens = self.merged(piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters))
+            ids = pack_ids(f"<{len(tokens)}I", *[t.id for t in tokens])
+        if len(piece) <= LONGEST_REMEMBERED:
+            if len(self.recent) >= REMEMBERED // 2:
+                self.recent, self.older = {}, self.recent
+            self.recent[piece] = ids
+        return ids
+
+    def _plain(self, text: str) -> bytes:
+        pieces = PIECE.findall(text.lower())
+        ids = list(map(self.recent.get, pieces))
+        if None in ids:
+            new = {p: self._piece(p) for p, i in zip(pieces, ids, strict=True) if i is None}
+            ids = [new[p] if i is None else i for p, i in zip(pieces, ids, strict=True)]
+        return b"".join(ids)
 
     def text(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        new = [w for w in set(words) if w not in self]
-        if not new:
-            return b"".join(map(self.__getitem__, words))
-        found = dict(zip(new, self._encode(new), strict=True))
-        ids = b"".join([self[w] if w in self else found[w] for w in words])
-        if len(self) + len(new) > REMEMBERED:
-            self.clear()
-        self.update((w, v) for w, v in found.items() if len(w) <= LONGEST_REMEMBERED)
-        return ids
+        if any(m in text for m in self.markers):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if not NOT_PLAIN.search(text):
+            return self._plain(text)
+        ids, plain = [], []
+        for word in text.split(" "):
+            if NOT_PLAIN.search(word):
+                ids.append(self._plain(" ".join(plain)))
+                ids.append(np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes())
+                plain = []
+            else:
+                plain.append(word)
+        return b"".join([*ids, self._plain(" ".join(plain))])
 
 
 def piece_lengths(n: int, longest: int = MAX_LENGTH) -> list[int]:
@@ -61,15 +99,15 @@ def piece_lengths(n: int, longest: int = MAX_LENGTH) -> list[int]:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, longest: int) -> Iterator[pa.RecordBatch]:
-    words = WordIds.of(path)
-    end = np.array([END], np.uint32).tobytes()
+    known = PieceIds.of(path)
+    end = np.array([END], "<u4").tobytes()
     types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
     names = ["doc_id", "start", "length", "input_ids", "doc_tokens"]
     for batch in batches:
         out: list[tuple] = []
         held = 0
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            ids = words.text(text.as_py()) + end
+            ids = known.text(text.as_py()) + end
             n, start = len(ids) // 4, 0
             for length in piece_lengths(n, longest):
                 out.append((doc_id, start, length, ids[4 * start : 4 * (start + length)], n))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, mixing, packing, sharding
+from . import exact_dedup, language_id, mixing, packing, quality_rules, sharding
 
 QUERIES = {
     "op2_packing": packing.query,
     "op3_sharding": sharding.query,
     "op6_language_id": language_id.query,
+    "op7_quality_rules": quality_rules.query,
     "op8_mixing": mixing.query,
     "op10_exact_dedup": exact_dedup.query,
 }
