@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, mixing, packing, quality_rules, sharding
+from . import exact_dedup, language_id, mixing, packing, quality_rules, sharding, substring_dedup
 
 QUERIES = {
     "op2_packing": packing.query,
     "op3_sharding": sharding.query,
+    "op5_substring_dedup": substring_dedup.query,
     "op6_language_id": language_id.query,
     "op7_quality_rules": quality_rules.query,
     "op8_mixing": mixing.query,
