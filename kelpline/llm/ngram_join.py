@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -179,14 +179,56 @@ def link_components(docs: DataFrame) -> DataFrame:
 
     order = docs.sparkSession.sparkContext.broadcast(frequent_tokens(named, n_tokens))
     emitted = named.mapInArrow(lambda b: _prefix_rows(b, order.value), PREFIX)
-    group = W.partitionBy("token", "part").orderBy("size_and_matches", "doc_id").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    group = W.partitionBy("token", "part")
     met = (
         emitted.repartition(partitions(docs.sparkSession), "token", "part")
-        .withColumns({"low": F.min("doc_id").over(group), "high": F.max("doc_id").over(group), "parts": F.max("part").over(group)})
+        .withColumns({"low": F.min("doc_id").over(group), "high": F.max("doc_id").over(group)})
         .filter("low < high OR part > 0")
         .select("token", "part", "doc_id", "size_and_matches")
     )
-    named_classes = met.join(class_of, "doc_id").groupBy("token", "part", "class_id").agg(F.max("size_and_matches").alias("size_and_matches"))
-    postings = stash(named_classes)
-    by_token = postings.groupBy("token").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high")).filter("low < high")
-    return by_token
+    postings = stash(met.join(class_of, "doc_id").select("token", "part", F.col("class_id").alias("id"), "size_and_matches").distinct())
+
+    early = stash(_early_pairs(postings))
+    early_links = verified(early, named)
+    early_links = stash(early_links)
+    joined = components(early_links).select(F.col("node").alias("id"), "component")
+    late = _late_pairs(postings, joined).join(early, ["a", "b"], "left_anti")
+    links = early_links.unionByName(verified(late, named))
+    found = components(links).select(F.col("node").alias("class_id"), F.col("component").alias("component_id"))
+    own = members.withColumn("class_id", F.coalesce("class_id", "doc_id"))
+    return own.join(found, "class_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "class_id").alias("component_id"))
+
+
+def _near(one: str, other: str) -> Column:
+    """Whether the sizes let two sets link."""
+    a, b = (F.shiftright(F.col(c), 4) for c in (one, other))
+    return (DENOMINATOR * F.least(a, b)) >= (NUMERATOR * F.greatest(a, b))
+
+
+def _early_pairs(postings: DataFrame) -> DataFrame:
+    """Pairs of a group's first set with others of about its size that meet it EARLY_MATCHES times, and of the first sets
+    of a token's groups."""
+    first = postings.groupBy("token", "part").agg(F.min(F.struct("id", "size_and_matches")).alias("first"))
+    first = first.select("token", "part", F.col("first.id").alias("a"), F.col("first.size_and_matches").alias("a_size"))
+    met = postings.join(first, ["token", "part"]).select("a", "a_size", F.col("id").alias("b"), F.col("size_and_matches").alias("b_size"))
+    top = first.groupBy("token").agg(F.min(F.struct("a", "a_size")).alias("t")).select("token", "t.*")
+    tops = first.filter("part > 0").select("token", F.col("a").alias("b"), F.col("a_size").alias("b_size")).join(top, "token").select("a", "a_size", "b", "b_size")
+    pairs = met.unionByName(tops).filter(F.col("a") < F.col("b")).filter(_near("a_size", "b_size"))
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= EARLY_MATCHES).select("a", "b")
+
+
+def _late_pairs(postings: DataFrame, joined: DataFrame) -> DataFrame:
+    """Pairs of different components that share as many prefix tokens as the less demanding of the two asks for."""
+    placed = postings.join(joined, "id", "left").select("token", "id", "size_and_matches", F.coalesce("component", "id").alias("component"))
+    open_tokens = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("token")
+    live = stash(placed.join(open_tokens, "token"))
+    a = live.select("token", F.col("id").alias("a"), F.col("size_and_matches").alias("a_size"), F.col("component").alias("a_component"))
+    b = live.select("token", F.col("id").alias("b"), F.col("size_and_matches").alias("b_size"), F.col("component").alias("b_component"))
+    pairs = a.join(b, "token").filter("a < b AND a_component <> b_component").filter(_near("a_size", "b_size"))
+    least = F.least(F.col("a_size").bitwiseAND(F.lit(15)), F.col("b_size").bitwiseAND(F.lit(15)))
+    met = pairs.groupBy("a", "b", "a_size", "b_size").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    return met.select("a", "b").distinct()
+
+
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_components(table(spark, sf_dir, "documents"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, mixing, packing, quality_rules, sharding, substring_dedup
+from . import exact_dedup, language_id, mixing, ngram_join, packing, quality_rules, sharding, substring_dedup
 
 QUERIES = {
+    "op1_ngram_join": ngram_join.query,
     "op2_packing": packing.query,
     "op3_sharding": sharding.query,
     "op5_substring_dedup": substring_dedup.query,
