@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, mixing, ngram_join, packing, quality_rules, sharding, substring_dedup
+from . import exact_dedup, html_text, language_id, mixing, ngram_join, packing, quality_rules, sharding, site_quality, substring_dedup
 
 QUERIES = {
     "op1_ngram_join": ngram_join.query,
     "op2_packing": packing.query,
     "op3_sharding": sharding.query,
+    "op4_site_quality": site_quality.query,
     "op5_substring_dedup": substring_dedup.query,
     "op6_language_id": language_id.query,
     "op7_quality_rules": quality_rules.query,
     "op8_mixing": mixing.query,
+    "op9_html_text": html_text.query,
     "op10_exact_dedup": exact_dedup.query,
 }
 ORACLES = {"op8_mixing": mixing.SQL, "op10_exact_dedup": exact_dedup.SQL}
