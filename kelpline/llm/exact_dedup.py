@@ -93,6 +93,16 @@ def content_sort(docs: DataFrame) -> DataFrame:
     )
 
 
+def drop_copies(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (with doc_id, text) that stay, with its columns. Of rows that repeat an id and a text, the one
+    with the most code points stays."""
+    stay = content_sort(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    keyed = docs.withColumn("_own_sha", F.sha2(without_spaces(text_of()), 256))
+    found = keyed.join(stay, (F.col("_own_sha") == F.col("_sha")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    again = W.partitionBy("_sha", "_id").orderBy(F.desc(F.length(text_of())))
+    return found.withColumn("_again", F.row_number().over(again)).filter("_again = 1").select(*docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort(table(spark, sf_dir, "documents"))
 

@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -230,5 +231,21 @@ def _late_pairs(postings: DataFrame, joined: DataFrame) -> DataFrame:
     return met.select("a", "b").distinct()
 
 
+def drop_near_copies(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (with doc_id, text) whose id is the smallest of their component, with its columns; rows with
+    a null id stay. Only rows that a filter of bounded size takes for dropped ones are shuffled."""
+    dropped = stash(link_components(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct())
+    bits = gather_bits(dropped.select(F.xxhash64("_id").alias("mark")))
+
+    @F.pandas_udf("boolean")
+    def may_go(marks: pd.Series) -> pd.Series:
+        return pd.Series(bits.value.has(marks.to_numpy().view(np.uint64)))
+
+    marked = docs.withColumn("_may_go", may_go(F.xxhash64(F.col("doc_id").cast("long"))))
+    stay = marked.filter("NOT _may_go OR doc_id IS NULL").select(*docs.columns)
+    doubtful = marked.filter("_may_go AND doc_id IS NOT NULL").select(*docs.columns)
+    return stay.unionByName(doubtful.join(dropped, F.col("doc_id") == F.col("_id"), "left_anti"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_components(table(spark, sf_dir, "documents"))

@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
 from . import exact_dedup, html_text, language_id, mixing, ngram_join, packing, quality_rules, sharding, site_quality, substring_dedup
 
+def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_ngram_join": ngram_join.query,
     "op2_packing": packing.query,
@@ -15,5 +23,6 @@ QUERIES = {
     "op8_mixing": mixing.query,
     "op9_html_text": html_text.query,
     "op10_exact_dedup": exact_dedup.query,
+    "pipeline": _pipeline,
 }
 ORACLES = {"op8_mixing": mixing.SQL, "op10_exact_dedup": exact_dedup.SQL}
