@@ -29,7 +29,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are cut to their weights; no document is taken twice."""
-    mixed = mixing.mix(docs, max_epochs=1)
+    mixed = mixing.mix(docs, budget_share=0.8, max_epochs=1)
     return mixed.filter("mix_epochs > 0").select(*docs.columns)
 
 
