@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from kelpline.jobs import core_queries
+
+QUERIES = {**core_queries.QUERIES}
+ORACLES = {**core_queries.ORACLES}
