@@ -257,7 +257,7 @@ SELECT id, CASE WHEN source_status <> 'candidate' THEN array_to_string(contraind
 def q_manifest_plan(spark: SparkSession, d: str) -> DataFrame:
     web = table(spark, d, "pages").withColumn("name", F.concat(F.lit("page_"), F.lpad(F.col("page_id").cast("string"), 8, "0"), F.lit(".html")))
     kind = F.element_at(F.array(*[F.lit(k) for k in ("guideline", "article", "method_paper", " consensus ", "unheard")]), (F.col("page_id") % 5 + 1).cast("int"))
-    path = F.when(F.col("page_id") % 7 == 0, "").otherwise(F.concat(F.lit("E:\\lib\\"), "name", F.when(F.col("page_id") % 2 == 0, " | E:\\x").otherwise("")))
+    path = F.when(F.col("page_id") % 7 == 0, "").otherwise(F.concat(F.lit("E:\\lib\\"), "name", F.when(F.col("page_id") % 2 == 0, " | 3 MB").otherwise("")))
     manifest = web.select(F.col("page_id").alias("item_id"), F.col("url").alias("title"), F.lit(None).cast("string").alias("normalized_title"), kind.alias("source_type_for_RAG"), path.alias("local_path"), F.concat(F.lit("P"), (F.col("page_id") % 4).cast("string")).alias("priority"))
     files = web.filter("page_id % 6 <> 0").select(F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("copy of "), "name")).otherwise(F.col("name")).alias("file_name"), F.concat(F.lit("/lib/"), "name").alias("full_path"))
     return repository.plan_manifest(manifest, files)

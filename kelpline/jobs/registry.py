@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kelpline.jobs import core_queries
+from kelpline.jobs import core_queries, search_queries
 
-QUERIES = {**core_queries.QUERIES}
-ORACLES = {**core_queries.ORACLES}
+QUERIES = {**core_queries.QUERIES, **search_queries.QUERIES}
+ORACLES = {**core_queries.ORACLES, **search_queries.ORACLES}

@@ -106,7 +106,7 @@ def export_annotation_sheet(units: DataFrame, keywords: list[str]) -> DataFrame:
 
 def merge_annotations(units: DataFrame, sheet: DataFrame) -> DataFrame:
     """Units with contraindications and risk levels of the filled sheet; blank cells leave none, and the old risk."""
-    listed = F.filter(F.transform(F.split(F.coalesce("annotated_contraindications", F.lit("")), "[,，]"), F.trim), lambda c: c != "")
+    listed = F.filter(F.transform(F.split(F.coalesce("annotated_contraindications", F.lit("")), "[,，]"), lambda c: F.trim(c)), lambda c: c != "")
     risk = F.trim("annotated_risk_level")
     filled = sheet.select(F.col("chunk_id").alias("id"), listed.alias("_contra"), F.when(risk != "", F.array(risk)).alias("_risk"))
     joined = units.join(filled, "id", "left")
