@@ -70,8 +70,8 @@ _SNIPPET = f"""
 st AS (SELECT b.query_id, b.unit_id, {_TOKENS.format("u.text")} AS t, list_distinct({_TOKENS.format("r.text")}) AS w FROM bm b JOIN units u ON u.id = b.unit_id JOIN requests r USING (query_id) WHERE pos <= 5),
 sm AS (SELECT *, list_transform(t, lambda x: CASE WHEN list_contains(w, x) THEN 1 ELSE 0 END) AS m FROM st),
 ss AS (SELECT *, list_transform(range(1, greatest(len(t) - 39, 1) + 1), lambda i: coalesce(list_sum(m[i:i + 39]), 0)) AS s FROM sm),
-sb AS (SELECT *, list_position(s, list_max(s)) AS at FROM ss)
-SELECT query_id, unit_id, CASE WHEN at > 1 THEN '...' ELSE '' END || array_to_string(list_transform(t[at:at + 39], lambda x: CASE WHEN list_contains(w, x) THEN '<mark>' || x || '</mark>' ELSE x END), ' ') || CASE WHEN at + 39 < len(t) THEN '...' ELSE '' END AS snippet FROM sb"""
+sb AS (SELECT *, list_position(s, list_max(s)) AS a0 FROM ss)
+SELECT query_id, unit_id, CASE WHEN a0 > 1 THEN '...' ELSE '' END || array_to_string(list_transform(t[a0:a0 + 39], lambda x: CASE WHEN list_contains(w, x) THEN '<mark>' || x || '</mark>' ELSE x END), ' ') || CASE WHEN a0 + 39 < len(t) THEN '...' ELSE '' END AS snippet FROM sb"""
 
 
 def _grams(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -288,7 +288,7 @@ def q_discover_ground_truth(spark: SparkSession, d: str) -> DataFrame:
 
 _TRUTH = """
 td AS (SELECT query_id, id AS unit_id, score AS d, pos FROM tfr),
-tb AS (SELECT coalesce(td.query_id, b.query_id) AS query_id, coalesce(td.unit_id, b.unit_id) AS unit_id, round(greatest(d, s), 4) AS score, concat_ws('+', CASE WHEN d IS NOT NULL THEN 'dense' END, CASE WHEN s IS NOT NULL THEN 'sparse' END) AS sources
+tb AS (SELECT coalesce(td.query_id, b.query_id) AS query_id, coalesce(td.unit_id, b.unit_id) AS unit_id, round(greatest(d, s) + 1e-9, 4) AS score, concat_ws('+', CASE WHEN d IS NOT NULL THEN 'dense' END, CASE WHEN s IS NOT NULL THEN 'sparse' END) AS sources
   FROM td FULL OUTER JOIN (SELECT query_id, unit_id, score AS s FROM bm WHERE pos <= 15) b ON td.query_id = b.query_id AND td.unit_id = b.unit_id),
 truth AS (SELECT query_id, rank, unit_id, score, sources FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id)::INT AS rank FROM tb) WHERE rank <= 15)"""
 _TFR = """

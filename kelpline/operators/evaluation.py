@@ -89,7 +89,7 @@ def discover_ground_truth(dense: DataFrame, sparse: DataFrame, units: DataFrame,
     s = sparse.filter(F.col("pos") <= top_sparse).select("query_id", "unit_id", F.col("score").alias("s"))
     both = d.join(s, ["query_id", "unit_id"], "full_outer")
     sources = F.concat_ws("+", F.when(F.col("d").isNotNull(), "dense"), F.when(F.col("s").isNotNull(), "sparse"))
-    scored = both.select("query_id", "unit_id", F.round(F.greatest("d", "s"), 4).alias("score"), sources.alias("sources"))
+    scored = both.select("query_id", "unit_id", F.round(F.greatest("d", "s") + 1e-9, 4).alias("score"), sources.alias("sources"))
     ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "unit_id"))).filter(F.col("rank") <= top)
     return ranked.join(units.select(F.col("id").alias("unit_id"), preview(F.col("text"), 300).alias("text_preview")), "unit_id").select("query_id", "rank", "unit_id", "score", "sources", "text_preview")
 

@@ -118,9 +118,12 @@ def highlight_snippet(hits: DataFrame, units: DataFrame, queries: DataFrame, wid
     <mark>, with ... where text is left out. Only for final hits, whose texts are joined by id."""
     wanted = queries.select("query_id", F.array_distinct(tokens(F.col("text"))).alias("_wanted"))
     rows = hits.select("query_id", "unit_id").join(units.select(F.col("id").alias("unit_id"), tokens(F.col("text")).alias("_t")), "unit_id").join(wanted, "query_id")
-    marks = rows.withColumn("_m", F.transform("_t", lambda t: F.array_contains("_wanted", t).cast("int")))
-    sums = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_t") - width + 1, F.lit(1))), lambda i: F.aggregate(F.slice("_m", i, F.lit(width)), F.lit(0), lambda a, x: a + x))
-    best = marks.withColumn("_s", sums).withColumn("_at", F.array_position("_s", F.array_max("_s")).cast("int"))
+    each = rows.select("query_id", "unit_id", "_wanted", F.size("_t").alias("_n"), F.posexplode("_t").alias("_pos", "_token"))
+    window = W.partitionBy("query_id", "unit_id").orderBy("_pos").rowsBetween(0, width - 1)
+    counted = each.withColumn("_s", F.sum(F.array_contains("_wanted", F.col("_token")).cast("int")).over(window))
+    whole = counted.filter((F.col("_pos") == 0) | (F.col("_pos") + width <= F.col("_n")))
+    starts = whole.groupBy("query_id", "unit_id").agg(F.min(F.struct((-F.col("_s")).alias("s"), (F.col("_pos") + 1).alias("at"))).alias("_b"))
+    best = rows.join(starts.select("query_id", "unit_id", F.col("_b.at").alias("_at")), ["query_id", "unit_id"])
     shown = F.transform(F.slice("_t", F.col("_at"), F.lit(width)), lambda t: F.when(F.array_contains("_wanted", t), F.concat(F.lit("<mark>"), t, F.lit("</mark>"))).otherwise(t))
     before, after = F.when(F.col("_at") > 1, "...").otherwise(""), F.when(F.col("_at") + width - 1 < F.size("_t"), "...").otherwise("")
     return best.select("query_id", "unit_id", F.concat(before, F.array_join(shown, " "), after).alias("snippet"))
