@@ -117,15 +117,15 @@ def _inside(page: Page, inside: set[str]) -> list[bool]:
 
 
 def subtree_hashes(html: str, page: Page) -> list[int]:
-    """A signed 64-bit hash of the markup of each element; 0 for the root and for elements with main text (an article or
-    what holds or is part of it), which are no templates."""
+    """A signed 64-bit hash of the markup of each element; 0 for the root, for elements inside a line, and for elements with
+    main text (an article or what holds or is part of it), which are no templates."""
     own = _inside(page, {"article", "main"})
     holds = [False] * len(page.tags)
     for e in range(len(page.tags) - 1, 0, -1):
         holds[page.parents[e]] = holds[page.parents[e]] or holds[e] or page.tags[e] in ("article", "main")
     hashes = [0]
     for e in range(1, len(page.tags)):
-        if own[e] or holds[e] or page.tags[e] in ("html", "body", "head"):
+        if own[e] or holds[e] or page.tags[e] in INLINE or page.tags[e] in ("html", "body", "head"):
             hashes.append(0)
         else:
             start, end = page.spans[e]
