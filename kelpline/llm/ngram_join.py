@@ -20,7 +20,7 @@ from .words import Bits, hashes_of, in_slices, sequence_key, shingles, words_in
 #: Words of a shingle; sets link at a Jaccard similarity of NUMERATOR / DENOMINATOR.
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 75, 100
 #: At most this many tokens are known to be frequent: those with at least 1 / FREQUENT of all tokens.
-FREQUENT = 1 << 17
+FREQUENT = 1 << 20
 #: The most shared prefix tokens that a set may ask for, and what verifying a candidate costs against reading a token.
 MOST_MATCHES, VERIFY_COST = 4, 50.0
 #: Rows of a frequent token that meet in one group; a more frequent one is dealt to several.
@@ -28,6 +28,9 @@ GROUP_ROWS = 4_096
 #: Shared prefix tokens from which a group's first set is compared at once. This only saves work: all other candidates
 #: between components are compared afterwards.
 EARLY_MATCHES = 3
+#: Groups of this many sets have further rounds of early comparisons, each with the first set that isn't yet in the
+#: component of the group's least.
+CROWD, ROUNDS = 64, 3
 
 
 @dataclass
@@ -57,7 +60,7 @@ def prefix(tokens: np.ndarray, order: Order) -> tuple[np.ndarray, np.ndarray, in
     if both ask for m or more. A longer prefix reads more postings, and in return fewer candidates reach m matches; the
     m with the least estimated cost is taken, postings * (1 + VERIFY_COST / m)."""
     counts = order.count_of(tokens)
-    at = np.lexsort((tokens, counts))
+    at = np.argsort(counts, kind="stable")  # tokens are sorted
     n = len(tokens)
     must = least_overlap(n)
     most = min(MOST_MATCHES, must)
@@ -68,28 +71,31 @@ def prefix(tokens: np.ndarray, order: Order) -> tuple[np.ndarray, np.ndarray, in
     return tokens[taken], counts[taken], best
 
 
-def _profile(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in in_slices(batches, "text"):
-        hashes = [hashes_of(words_in(t, lower=True)) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([sequence_key(h) for h in hashes], pa.binary()), pa.array([len(shingles(h)) for h in hashes], pa.int64())],
-            ["doc_id", "key", "n_shingles"],
-        )
+PROFILE = "doc_id long, key binary, n_shingles long, token long, n long"
+_PROFILE = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n_shingles", pa.int64()), ("token", pa.int64()), ("n", pa.int64())])
 
 
-def _repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tokens of several distinct sets of a slice, with how many."""
+def _profile(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row (doc_id, key, n_shingles) for each text, and for each slice rows (token, n) of the tokens that several of its
+    distinct sets have, with how many."""
     for batch in in_slices(batches, "text"):
-        sets = {}
+        keys, sets = [], {}
         for text in batch.column("text").to_pylist():
             hashes = hashes_of(words_in(text, lower=True))
-            sets.setdefault(sequence_key(hashes), hashes)
-        tokens, counts = np.unique(np.concatenate([shingles(h) for h in sets.values()]), return_counts=True)
+            keys.append(sequence_key(hashes))
+            if keys[-1] not in sets:
+                sets[keys[-1]] = shingles(hashes)
+        tokens, counts = np.unique(np.concatenate(list(sets.values())), return_counts=True)
         often = counts > 1
-        yield pa.RecordBatch.from_arrays([pa.array(tokens[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], ["token", "n"])
+        n, m = len(keys), int(often.sum())
+        sizes = [len(sets[k]) for k in keys]
+        none = lambda k, t: pa.nulls(k, t)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), none(n, pa.int64()), none(n, pa.int64())], schema=_PROFILE)
+        if m:
+            yield pa.RecordBatch.from_arrays([none(m, pa.int64()), none(m, pa.binary()), none(m, pa.int64()), pa.array(tokens[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], schema=_PROFILE)
 
 
-#: size_and_matches is the set's size * 16 + matches asked for; the group is 0 but for frequent tokens.
+#: size_and_matches is the set's size * 16 + matches asked for; the part is 0 but for tokens dealt to several groups.
 PREFIX = "token long, part int, doc_id long, size_and_matches long"
 
 
@@ -105,9 +111,10 @@ def _prefix_rows(batches: Iterable[pa.RecordBatch], order: Order) -> Iterator[pa
             seen.add(key)
             tokens = shingles(hashes)
             kept, counts, matches = prefix(tokens, order)
-            parts = np.maximum(1, counts // GROUP_ROWS)
+            parts = counts // GROUP_ROWS
             own = int.from_bytes(key[:4], "little")
-            out.append((kept.view(np.int64), (own % parts).astype(np.int32), np.full(len(kept), doc_id, np.int64), np.full(len(kept), 16 * len(tokens) + matches, np.int64)))
+            part = np.where(parts > 1, 1 + own % np.maximum(parts, 1), 0)
+            out.append((kept.view(np.int64), part.astype(np.int32), np.full(len(kept), doc_id, np.int64), np.full(len(kept), 16 * len(tokens) + matches, np.int64)))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["token", "part", "doc_id", "size_and_matches"])
 
@@ -145,12 +152,12 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(right, "b").join(left, "a").mapInArrow(_compare, "u long, v long").distinct()
 
 
-def frequent_tokens(docs: DataFrame, n_tokens: int) -> Order:
-    """Tokens with 1 / FREQUENT of all tokens or more, so FREQUENT at most. Slices tell the tokens that several of their
-    sets have, so a count may lack one for each slice; the order is the same for all sets, which is all that results
-    depend on."""
+def frequent_tokens(counted: DataFrame, n_tokens: int) -> Order:
+    """Tokens of ``counted`` (token, n) with 1 / FREQUENT of all tokens or more, so FREQUENT at most. Slices tell the tokens
+    that several of their sets have, so a count may lack one for each slice; the order is the same for all sets, which is
+    all that results depend on."""
     least = max(2, -(-n_tokens // FREQUENT))
-    found = docs.mapInArrow(_repeated, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toArrow()
+    found = counted.groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toArrow()
     tokens, counts = found.column("token").to_numpy().view(np.uint64), found.column("n").to_numpy()
     at = np.argsort(tokens)
     return Order(tokens[at], counts[at].astype(np.int64))
@@ -171,14 +178,15 @@ def link_components(docs: DataFrame) -> DataFrame:
     rather than its square, and no link between components is left out.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    profile = stash(rows.mapInArrow(_profile, "doc_id long, key binary, n_shingles long"))
+    told = stash(rows.mapInArrow(_profile, PROFILE))
+    profile = told.filter("key IS NOT NULL").select("doc_id", "key", "n_shingles")
     named = rows.filter("doc_id IS NOT NULL")
     n_tokens = profile.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("n")).first()["n"]
     classes = profile.filter("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("class_id"))
     members = stash(profile.join(classes, "key", "left").select("doc_id", "n_shingles", "class_id"))
     class_of = members.filter("doc_id IS NOT NULL AND class_id IS NOT NULL").select("doc_id", "class_id").distinct()
 
-    order = docs.sparkSession.sparkContext.broadcast(frequent_tokens(named, n_tokens))
+    order = docs.sparkSession.sparkContext.broadcast(frequent_tokens(told.filter("token IS NOT NULL").select("token", "n"), n_tokens))
     emitted = named.mapInArrow(lambda b: _prefix_rows(b, order.value), PREFIX)
     group = W.partitionBy("token", "part")
     met = (
@@ -190,11 +198,19 @@ def link_components(docs: DataFrame) -> DataFrame:
     postings = stash(met.join(class_of, "doc_id").select("token", "part", F.col("class_id").alias("id"), "size_and_matches").distinct())
 
     early = stash(_early_pairs(postings))
-    early_links = verified(early, named)
-    early_links = stash(early_links)
-    joined = components(early_links).select(F.col("node").alias("id"), "component")
+    links = stash(verified(early, named))
+    joined = components(links).select(F.col("node").alias("id"), "component")
+    crowds = W.partitionBy("token", "part")
+    crowded = stash(postings.withColumn("n", F.count("*").over(crowds)).filter(F.col("n") >= CROWD).drop("n"))
+    for _ in range(ROUNDS):
+        again = stash(_crowd_pairs(crowded, joined).join(early, ["a", "b"], "left_anti"))
+        if again.isEmpty():
+            break
+        early = early.unionByName(again)
+        links = links.unionByName(stash(verified(again, named)))
+        joined = components(links).select(F.col("node").alias("id"), "component")
     late = _late_pairs(postings, joined).join(early, ["a", "b"], "left_anti")
-    links = early_links.unionByName(verified(late, named))
+    links = links.unionByName(verified(late, named))
     found = components(links).select(F.col("node").alias("class_id"), F.col("component").alias("component_id"))
     own = members.withColumn("class_id", F.coalesce("class_id", "doc_id"))
     return own.join(found, "class_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "class_id").alias("component_id"))
@@ -206,18 +222,46 @@ def _near(one: str, other: str) -> Column:
     return (DENOMINATOR * F.least(a, b)) >= (NUMERATOR * F.greatest(a, b))
 
 
+def _least_shared(one: str, other: str) -> Column:
+    """How many prefix tokens two sets share at least if they link: as many as the less demanding one asks for, and what
+    their overlap must have beyond the rest after a prefix. Of the shared tokens up to the lower end of both prefixes all
+    are counted; the others lie behind one set's prefix."""
+    (a, a_asks), (b, b_asks) = ((F.shiftright(F.col(c), 4), F.col(c).bitwiseAND(F.lit(15))) for c in (one, other))
+    rest = [F.floor((n * NUMERATOR + DENOMINATOR - 1) / DENOMINATOR) - asks for n, asks in ((a, a_asks), (b, b_asks))]
+    both = NUMERATOR + DENOMINATOR
+    overlap = F.floor(((a + b) * NUMERATOR + both - 1) / both)
+    return F.greatest(F.least(a_asks, b_asks), overlap - F.greatest(*rest))
+
+
 def _early_pairs(postings: DataFrame) -> DataFrame:
     """Pairs of a group's first set with others of about its size that meet it EARLY_MATCHES times, and of the first sets
     of a token's groups."""
-    first = postings.groupBy("token", "part").agg(F.min(F.struct("id", "size_and_matches")).alias("first"))
-    first = first.select("token", "part", F.col("first.id").alias("a"), F.col("first.size_and_matches").alias("a_size"))
-    met = postings.join(first, ["token", "part"]).select("a", "a_size", F.col("id").alias("b"), F.col("size_and_matches").alias("b_size"))
-    top = first.groupBy("token").agg(F.min(F.struct("a", "a_size")).alias("t")).select("token", "t.*")
-    tops = first.filter("part > 0").select("token", F.col("a").alias("b"), F.col("a_size").alias("b_size")).join(top, "token").select("a", "a_size", "b", "b_size")
+    group = W.partitionBy("token", "part").orderBy("id", "size_and_matches")
+    first = F.first(F.struct("id", "size_and_matches")).over(group)
+    met = postings.withColumn("first", first).select(
+        F.col("first.id").alias("a"), F.col("first.size_and_matches").alias("a_size"), F.col("id").alias("b"), F.col("size_and_matches").alias("b_size")
+    )
+    heads = postings.filter("part > 0").groupBy("token", "part").agg(F.min(F.struct("id", "size_and_matches")).alias("h")).select("token", F.col("h.id").alias("b"), F.col("h.size_and_matches").alias("b_size"))
+    top = heads.groupBy("token").agg(F.min(F.struct("b", "b_size")).alias("t")).select("token", F.col("t.b").alias("a"), F.col("t.b_size").alias("a_size"))
+    tops = heads.join(top, "token").select("a", "a_size", "b", "b_size")
     pairs = met.unionByName(tops).filter(F.col("a") < F.col("b")).filter(_near("a_size", "b_size"))
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= EARLY_MATCHES).select("a", "b")
 
 
+def _crowd_pairs(crowded: DataFrame, joined: DataFrame) -> DataFrame:
+    """In each group, the first set outside of the least component, with all sets of other components that meet it
+    EARLY_MATCHES times."""
+    group = W.partitionBy("token", "part")
+    placed = crowded.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    outside = placed.withColumn("least", F.min("component").over(group))
+    head = F.min(F.when(F.col("component") > F.col("least"), F.struct("id", "size_and_matches", "component"))).over(group)
+    met = outside.withColumn("head", head).filter("head IS NOT NULL AND component <> head.component")
+    sides = met.select(
+        F.least("id", "head.id").alias("a"), F.greatest("id", "head.id").alias("b"), F.col("size_and_matches").alias("a_size"), F.col("head.size_and_matches").alias("b_size")
+    )
+    return sides.filter(_near("a_size", "b_size")).groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= EARLY_MATCHES).select("a", "b")
+
+
 def _late_pairs(postings: DataFrame, joined: DataFrame) -> DataFrame:
     """Pairs of different components that share as many prefix tokens as the less demanding of the two asks for."""
     placed = postings.join(joined, "id", "left").select("token", "id", "size_and_matches", F.coalesce("component", "id").alias("component"))
@@ -226,8 +270,7 @@ def _late_pairs(postings: DataFrame, joined: DataFrame) -> DataFrame:
     a = live.select("token", F.col("id").alias("a"), F.col("size_and_matches").alias("a_size"), F.col("component").alias("a_component"))
     b = live.select("token", F.col("id").alias("b"), F.col("size_and_matches").alias("b_size"), F.col("component").alias("b_component"))
     pairs = a.join(b, "token").filter("a < b AND a_component <> b_component").filter(_near("a_size", "b_size"))
-    least = F.least(F.col("a_size").bitwiseAND(F.lit(15)), F.col("b_size").bitwiseAND(F.lit(15)))
-    met = pairs.groupBy("a", "b", "a_size", "b_size").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    met = pairs.groupBy("a", "b", "a_size", "b_size").agg(F.count("*").alias("n")).filter(F.col("n") >= _least_shared("a_size", "b_size"))
     return met.select("a", "b").distinct()
 
 
