@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,13 +18,14 @@ from .common import table
 DICTIONARY, PASSAGE = 98_304, 1_024
 #: Bytes compressed at a time; a whole text is compressed block by block, so that a long text can't become its own
 #: dictionary.
-BLOCK = 2_048
-LEVEL = 3
+BLOCK = 512
+LEVEL = 6
 #: The most languages a model holds: those with the most training rows, so that the model has under 100 MB.
 MOST_LANGUAGES = 512
 #: A narrower margin between the two smallest sizes, as a share of the smallest, rejects the prediction.
 NARROW = 0.01
 UNKNOWN = "und"
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def held_out() -> Column:
@@ -32,9 +34,8 @@ def held_out() -> Column:
 
 
 def train(docs: DataFrame, max_languages: int = MOST_LANGUAGES) -> dict[str, bytes]:
-    """A dictionary for each lang of ``docs`` (doc_id, text, lang): passages of the rows with the least digests, the
-    most telling passages last, as zstandard finds the end of a dictionary cheapest. Rows without lang or text teach
-    nothing. The driver gets DICTIONARY bytes a language."""
+    """A dictionary for each lang of ``docs`` (doc_id, text, lang), those with the most rows first: letters of passages of
+    the rows with the least digests. Rows without lang or text teach nothing. The driver gets DICTIONARY bytes a language."""
     passage = F.substring("text", 1, PASSAGE)
     rows = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND length(text) > 0")
     rank = F.struct(F.md5(F.col("doc_id").cast("string")).alias("digest"), "doc_id")
@@ -51,7 +52,13 @@ def train(docs: DataFrame, max_languages: int = MOST_LANGUAGES) -> dict[str, byt
         .join(common, "lang", "left_semi")
     )
     passages = kept.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("at", "passage")), asc=False).alias("p"))
-    return {r["lang"]: "\n".join(x["passage"] for x in r["p"]).encode()[-DICTIONARY:] for r in passages.orderBy("lang").collect()}
+    ordered = passages.join(common, "lang").orderBy(F.desc("count"), "lang").collect()
+    return {r["lang"]: "\n".join(letters_of(x["passage"]) for x in r["p"]).encode("utf-8", "surrogatepass")[-DICTIONARY:] for r in ordered}
+
+
+def letters_of(text: str) -> str:
+    """Runs of letters in lower case, one space between: case, digits and symbols say nothing of a language."""
+    return " ".join(_LETTERS.findall(text.lower()))
 
 
 def _compressors(dictionaries: dict[str, bytes]) -> list:
@@ -74,7 +81,7 @@ def _sizes(batches: Iterator[pa.RecordBatch], dictionaries: dict[str, bytes]) ->
         for at, text in enumerate(batch.column("text")):
             content = text.as_py()
             if content:
-                data = content.encode()
+                data = letters_of(content).encode("utf-8", "surrogatepass")
                 blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
                 for k, compress in enumerate(compressors):
                     found[at, k] = sum(len(compress(b)) for b in blocks)
@@ -86,7 +93,8 @@ def _sizes(batches: Iterator[pa.RecordBatch], dictionaries: dict[str, bytes]) ->
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], narrow: float = NARROW) -> DataFrame:
     """doc_id, lang_pred, score, margin, rejected of every row of ``docs`` (doc_id, text).
 
-    A text is compressed with every language's dictionary; the smallest total names the language (then the first name).
+    A text's letters are compressed with every language's dictionary; the smallest total names the language (of equal
+    ones, the one with the most training rows).
     margin is what the second smallest has more, as a share of the smallest, and a margin under ``narrow`` rejects the
     prediction. score is the share of the smallest's weight when a size s weighs exp(-(s - smallest) / 8). A null text
     or one without a letter is UNKNOWN with score 0, and so is every text when there is no dictionary.
@@ -101,13 +109,13 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], narrow: float = NA
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)  # at most MOST_LANGUAGES * DICTIONARY bytes
     id_type = docs.schema["doc_id"].dataType.simpleString()
     sized = rows.mapInArrow(lambda b: _sizes(b, shared.value), f"doc_id {id_type}, has_letter boolean, sizes array<bigint>")
-    ranked = sized.withColumn("ranked", F.array_sort(F.arrays_zip("sizes", F.lit(names).alias("names"))))
-    ranked = ranked.select("doc_id", "has_letter", "sizes", F.col("ranked")[0].alias("best"), F.array_min("sizes").alias("least"), F.get(F.sort_array("sizes"), F.lit(1)).alias("second"))
+    ranked = sized.withColumn("ranked", F.array_sort(F.transform("sizes", lambda size, at: F.struct(size.alias("size"), at.alias("at")))))
+    ranked = ranked.select("doc_id", "has_letter", "sizes", F.get(F.lit(names), F.col("ranked")[0]["at"]).alias("best"), F.array_min("sizes").alias("least"), F.get(F.sort_array("sizes"), F.lit(1)).alias("second"))
     weights = F.aggregate("sizes", F.lit(0.0), lambda total, s: total + F.exp(-(s - F.col("least")) / 8.0))
-    margin = F.coalesce((F.col("second") - F.col("least")) / F.col("least"), F.lit(1.0))
+    margin = F.coalesce(F.try_divide(F.col("second") - F.col("least"), F.col("least")), F.lit(1.0))
     return ranked.select(
         "doc_id",
-        F.when(F.col("has_letter"), F.col("best.names")).otherwise(UNKNOWN).alias("lang_pred"),
+        F.when(F.col("has_letter"), F.col("best")).otherwise(UNKNOWN).alias("lang_pred"),
         F.when(F.col("has_letter"), 1 / weights).otherwise(0.0).alias("score"),
         F.when(F.col("has_letter"), margin).otherwise(0.0).alias("margin"),
         (~F.col("has_letter") | (margin < narrow)).alias("rejected"),
