@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from .words import Bits
 
-#: 2 ** 25 bits: the driver gets at most 2 ** 19 rows of 12 bytes, and a task 4 MB, whatever the number of keys. With
+#: 2 ** 26 bits: the driver gets at most 2 ** 20 rows of 12 bytes, and a task 8 MB, whatever the number of keys. With
 #: very many keys the filter lets more through; what it lets through is decided exactly afterwards.
-LOG2 = 25
+LOG2 = 26
 
 
 def gather_bits(keys: DataFrame, log2: int = LOG2) -> Broadcast:

@@ -29,7 +29,12 @@ def anchors(hashes: np.ndarray, size: int = WINDOW) -> np.ndarray:
     n = len(hashes) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    return np.lib.stride_tricks.sliding_window_view(runs, size - ANCHOR + 1).min(axis=1)
+    least, width = runs, 1
+    while width < size - ANCHOR + 1:  # the least of twice as many runs, or of as many more as are wanted
+        step = min(width, size - ANCHOR + 1 - width)
+        least = np.minimum(least[:-step], least[step:])
+        width += step
+    return least
 
 
 def covered(starts: np.ndarray, n_words: int, size: int = WINDOW) -> np.ndarray:
@@ -126,6 +131,17 @@ def _flagged(batches: Iterable[pa.RecordBatch], hit: Bits, wanted: bool) -> Iter
         yield batch.select(["doc_id", "text"]).filter(pa.array(mask if wanted else ~mask))
 
 
+def _ids(batches: Iterable[pa.RecordBatch], among: Bits) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.select(["doc_id"]).filter(pa.array(among.has(batch.column("mark").to_numpy().view(np.uint64))))
+
+
+def _firsts(batches: Iterable[pa.RecordBatch], gone: Bits, back: Bits) -> Iterator[pa.RecordBatch]:
+    for batch in in_slices(batches, "text"):
+        marks = batch.column("mark").to_numpy().view(np.uint64)
+        yield batch.filter(pa.array(~gone.has(marks) | back.has(marks)))
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text of every row of ``docs`` (doc_id, text).
 
@@ -144,12 +160,21 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     profile = stash(named.mapInArrow(_profile, "doc_id long, key binary, tag long, n_words long"))
     first = profile.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).filter("first_id < last_id")
     copies = profile.join(first, "key").filter(f"doc_id > first_id AND n_words >= {WINDOW}")
-    emptied = copies.select("doc_id", (F.lit(WHOLE << 32) + F.col("tag")).alias("place")).distinct()
-
-    several = named.mapInArrow(_anchor_rows, "anchor long, doc_id long").groupBy("anchor")
+    emptied = stash(copies.select("doc_id", (F.lit(WHOLE << 32) + F.col("tag")).alias("place")).distinct())
+
+    # Copies are left out by a filter of bounded size. What it would leave out beyond copies is known from the profile and
+    # taken in again.
+    gone = gather_bits(emptied.select(F.xxhash64("doc_id").alias("mark")))
+    wrongly = profile.select("doc_id", F.xxhash64("doc_id").alias("mark")).mapInArrow(lambda b: _ids(b, gone.value), "doc_id long")
+    wrongly = wrongly.join(emptied, "doc_id", "left_anti")
+    back = gather_bits(wrongly.select(F.xxhash64("doc_id").alias("mark")))
+    first_rows = named.withColumn("mark", F.xxhash64("doc_id"))
+    firsts = lambda b: _firsts(b, gone.value, back.value)
+
+    several = first_rows.mapInArrow(lambda b: _anchor_rows(firsts(b)), "anchor long, doc_id long").groupBy("anchor")
     several = several.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("anchor")
     shared = gather_bits(several)
-    found = named.mapInArrow(lambda b: _window_rows(b, shared.value), "window long, doc_id long, place long")
+    found = stash(first_rows.mapInArrow(lambda b: _window_rows(firsts(b), shared.value), "window long, doc_id long, place long"))
     owners = found.groupBy("window").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("b")).filter("owner < b")
     later = found.join(owners.select("window", "owner"), "window").filter("owner < doc_id").select("doc_id", "place")
     lost = stash(later.unionByName(emptied).groupBy("doc_id").agg(F.collect_list("place").alias("places")))

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Words whose hashes a Python worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 
 
 class _Hashes(dict):
@@ -63,7 +63,7 @@ def sequence_key(hashes: np.ndarray) -> bytes:
     return blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
-def in_slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def in_slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """The batches cut into slices of a bounded amount of text (or of one row)."""
     for batch in batches:
         step = max(1, int(batch.num_rows * most_bytes / max(most_bytes, batch.column(column).nbytes)))
@@ -76,10 +76,20 @@ class Bits:
     bits are collected as 64-bit words."""
 
     def __init__(self, log2: int, words: np.ndarray, values: np.ndarray) -> None:
-        self.log2 = log2
-        self.words = np.zeros(1 << (log2 - 6), np.uint64)
-        self.words[words] = values.astype(np.int64).view(np.uint64)
+        self.log2, self.at, self.values = log2, words.astype(np.int32), values.astype(np.int64).view(np.uint64)
+        self.words: np.ndarray | None = None
+
+    def __getstate__(self) -> tuple:
+        """Only words with a bit travel."""
+        return self.log2, self.at, self.values
+
+    def __setstate__(self, state: tuple) -> None:
+        self.log2, self.at, self.values = state
+        self.words = None
 
     def has(self, keys: np.ndarray) -> np.ndarray:
+        if self.words is None:
+            self.words = np.zeros(1 << (self.log2 - 6), np.uint64)
+            self.words[self.at] = self.values
         at = keys.astype(np.uint64, copy=False) & np.uint64((1 << self.log2) - 1)
         return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) != 0
