@@ -31,6 +31,8 @@ EARLY_MATCHES = 3
 #: Groups of this many sets have further rounds of early comparisons, each with the first set that isn't yet in the
 #: component of the group's least.
 CROWD, ROUNDS = 64, 3
+#: The most matches asked of a pair whose sizes are known.
+PAIR_MATCHES = 12
 
 
 @dataclass
@@ -95,8 +97,20 @@ def _profile(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([none(m, pa.int64()), none(m, pa.binary()), none(m, pa.int64()), pa.array(tokens[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], schema=_PROFILE)
 
 
-#: size_and_matches is the set's size * 16 + matches asked for; the part is 0 but for tokens dealt to several groups.
-PREFIX = "token long, part int, doc_id long, size_and_matches long"
+#: facts is the set's size * 2 ** 28 + the token's place in its prefix * 16 + matches asked for; the part is 0 but for
+#: tokens dealt to several groups.
+PREFIX = "token long, part int, doc_id long, facts long"
+
+
+def _firsts(batches: Iterable[pa.RecordBatch], gone: Bits, back: Bits) -> Iterator[pa.RecordBatch]:
+    for batch in in_slices(batches, "text"):
+        marks = batch.column("mark").to_numpy().view(np.uint64)
+        yield batch.filter(pa.array(~gone.has(marks) | back.has(marks)))
+
+
+def _among(batches: Iterable[pa.RecordBatch], gone: Bits) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.select(["mark"]).filter(pa.array(gone.has(batch.column("mark").to_numpy().view(np.uint64))))
 
 
 def _prefix_rows(batches: Iterable[pa.RecordBatch], order: Order) -> Iterator[pa.RecordBatch]:
@@ -114,9 +128,9 @@ def _prefix_rows(batches: Iterable[pa.RecordBatch], order: Order) -> Iterator[pa
             parts = counts // GROUP_ROWS
             own = int.from_bytes(key[:4], "little")
             part = np.where(parts > 1, 1 + own % np.maximum(parts, 1), 0)
-            out.append((kept.view(np.int64), part.astype(np.int32), np.full(len(kept), doc_id, np.int64), np.full(len(kept), 16 * len(tokens) + matches, np.int64)))
+            out.append((kept.view(np.int64), part.astype(np.int32), np.full(len(kept), doc_id, np.int64), (len(tokens) << 28) + (np.minimum(np.arange(len(kept)), (1 << 24) - 1) << 4) + matches))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["token", "part", "doc_id", "size_and_matches"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["token", "part", "doc_id", "facts"])
 
 
 def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,18 +198,23 @@ def link_components(docs: DataFrame) -> DataFrame:
     n_tokens = profile.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("n")).first()["n"]
     classes = profile.filter("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("class_id"))
     members = stash(profile.join(classes, "key", "left").select("doc_id", "n_shingles", "class_id"))
-    class_of = members.filter("doc_id IS NOT NULL AND class_id IS NOT NULL").select("doc_id", "class_id").distinct()
+    # Copies are left out by a filter of bounded size. What it leaves out beyond them is taken in again; a copy that comes
+    # in with it is compared like any other set.
+    mark = F.xxhash64("doc_id").alias("mark")
+    gone = gather_bits(members.filter("doc_id <> class_id").select(mark))
+    wrongly = members.filter("doc_id = class_id").select(mark).mapInArrow(lambda b: _among(b, gone.value), "mark long")
+    back = gather_bits(wrongly)
 
     order = docs.sparkSession.sparkContext.broadcast(frequent_tokens(told.filter("token IS NOT NULL").select("token", "n"), n_tokens))
-    emitted = named.mapInArrow(lambda b: _prefix_rows(b, order.value), PREFIX)
+    marked = named.withColumn("mark", F.xxhash64("doc_id"))
+    emitted = marked.mapInArrow(lambda b: _prefix_rows(_firsts(b, gone.value, back.value), order.value), PREFIX)
     group = W.partitionBy("token", "part")
     met = (
         emitted.repartition(partitions(docs.sparkSession), "token", "part")
         .withColumns({"low": F.min("doc_id").over(group), "high": F.max("doc_id").over(group)})
         .filter("low < high OR part > 0")
-        .select("token", "part", "doc_id", "size_and_matches")
     )
-    postings = stash(met.join(class_of, "doc_id").select("token", "part", F.col("class_id").alias("id"), "size_and_matches").distinct())
+    postings = stash(met.select("token", "part", F.col("doc_id").alias("id"), "facts"))
 
     early = stash(_early_pairs(postings))
     links = stash(verified(early, named))
@@ -216,32 +235,53 @@ def link_components(docs: DataFrame) -> DataFrame:
     return own.join(found, "class_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "class_id").alias("component_id"))
 
 
+def _size(facts: str) -> Column:
+    return F.shiftright(F.col(facts), 28)
+
+
+def _asks(facts: str) -> Column:
+    return F.col(facts).bitwiseAND(F.lit(15))
+
+
+def _place(facts: str) -> Column:
+    return F.shiftright(F.col(facts), 4).bitwiseAND(F.lit((1 << 24) - 1))
+
+
 def _near(one: str, other: str) -> Column:
     """Whether the sizes let two sets link."""
-    a, b = (F.shiftright(F.col(c), 4) for c in (one, other))
+    a, b = _size(one), _size(other)
     return (DENOMINATOR * F.least(a, b)) >= (NUMERATOR * F.greatest(a, b))
 
 
-def _least_shared(one: str, other: str) -> Column:
-    """How many prefix tokens two sets share at least if they link: as many as the less demanding one asks for, and what
-    their overlap must have beyond the rest after a prefix. Of the shared tokens up to the lower end of both prefixes all
-    are counted; the others lie behind one set's prefix."""
-    (a, a_asks), (b, b_asks) = ((F.shiftright(F.col(c), 4), F.col(c).bitwiseAND(F.lit(15))) for c in (one, other))
-    rest = [F.floor((n * NUMERATOR + DENOMINATOR - 1) / DENOMINATOR) - asks for n, asks in ((a, a_asks), (b, b_asks))]
+def _overlap(a: Column, b: Column) -> Column:
+    """Tokens that linked sets of these sizes share at least."""
     both = NUMERATOR + DENOMINATOR
-    overlap = F.floor(((a + b) * NUMERATOR + both - 1) / both)
-    return F.greatest(F.least(a_asks, b_asks), overlap - F.greatest(*rest))
+    return F.floor(((a + b) * NUMERATOR + both - 1) / both)
+
+
+def _pair_matches(one: str, other: str) -> Column:
+    """The matches m that a pair must have among the first size - overlap + m tokens of either: more than the sets ask for
+    on their own, as the sizes are known, but no more than both prefixes hold, nor than PAIR_MATCHES."""
+    a, b = _size(one), _size(other)
+    rest = [F.floor((n * NUMERATOR + DENOMINATOR - 1) / DENOMINATOR) - _asks(side) for n, side in ((a, one), (b, other))]
+    return F.greatest(F.lit(1), F.least(F.lit(PAIR_MATCHES), _overlap(a, b) - F.greatest(*rest)))
+
+
+def _in_pair_prefix(one: str, other: str) -> Column:
+    a, b = _size(one), _size(other)
+    open_ = _pair_matches(one, other) - _overlap(a, b)
+    return (_place(one) < a + open_) & (_place(other) < b + open_)
 
 
 def _early_pairs(postings: DataFrame) -> DataFrame:
     """Pairs of a group's first set with others of about its size that meet it EARLY_MATCHES times, and of the first sets
     of a token's groups."""
-    group = W.partitionBy("token", "part").orderBy("id", "size_and_matches")
-    first = F.first(F.struct("id", "size_and_matches")).over(group)
+    group = W.partitionBy("token", "part").orderBy("id", "facts")
+    first = F.first(F.struct("id", "facts")).over(group)
     met = postings.withColumn("first", first).select(
-        F.col("first.id").alias("a"), F.col("first.size_and_matches").alias("a_size"), F.col("id").alias("b"), F.col("size_and_matches").alias("b_size")
+        F.col("first.id").alias("a"), F.col("first.facts").alias("a_size"), F.col("id").alias("b"), F.col("facts").alias("b_size")
     )
-    heads = postings.filter("part > 0").groupBy("token", "part").agg(F.min(F.struct("id", "size_and_matches")).alias("h")).select("token", F.col("h.id").alias("b"), F.col("h.size_and_matches").alias("b_size"))
+    heads = postings.filter("part > 0").groupBy("token", "part").agg(F.min(F.struct("id", "facts")).alias("h")).select("token", F.col("h.id").alias("b"), F.col("h.facts").alias("b_size"))
     top = heads.groupBy("token").agg(F.min(F.struct("b", "b_size")).alias("t")).select("token", F.col("t.b").alias("a"), F.col("t.b_size").alias("a_size"))
     tops = heads.join(top, "token").select("a", "a_size", "b", "b_size")
     pairs = met.unionByName(tops).filter(F.col("a") < F.col("b")).filter(_near("a_size", "b_size"))
@@ -254,23 +294,23 @@ def _crowd_pairs(crowded: DataFrame, joined: DataFrame) -> DataFrame:
     group = W.partitionBy("token", "part")
     placed = crowded.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
     outside = placed.withColumn("least", F.min("component").over(group))
-    head = F.min(F.when(F.col("component") > F.col("least"), F.struct("id", "size_and_matches", "component"))).over(group)
+    head = F.min(F.when(F.col("component") > F.col("least"), F.struct("id", "facts", "component"))).over(group)
     met = outside.withColumn("head", head).filter("head IS NOT NULL AND component <> head.component")
     sides = met.select(
-        F.least("id", "head.id").alias("a"), F.greatest("id", "head.id").alias("b"), F.col("size_and_matches").alias("a_size"), F.col("head.size_and_matches").alias("b_size")
+        F.least("id", "head.id").alias("a"), F.greatest("id", "head.id").alias("b"), F.col("facts").alias("a_size"), F.col("head.facts").alias("b_size")
     )
     return sides.filter(_near("a_size", "b_size")).groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= EARLY_MATCHES).select("a", "b")
 
 
 def _late_pairs(postings: DataFrame, joined: DataFrame) -> DataFrame:
     """Pairs of different components that share as many prefix tokens as the less demanding of the two asks for."""
-    placed = postings.join(joined, "id", "left").select("token", "id", "size_and_matches", F.coalesce("component", "id").alias("component"))
+    placed = postings.join(joined, "id", "left").select("token", "id", "facts", F.coalesce("component", "id").alias("component"))
     open_tokens = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("token")
     live = stash(placed.join(open_tokens, "token"))
-    a = live.select("token", F.col("id").alias("a"), F.col("size_and_matches").alias("a_size"), F.col("component").alias("a_component"))
-    b = live.select("token", F.col("id").alias("b"), F.col("size_and_matches").alias("b_size"), F.col("component").alias("b_component"))
-    pairs = a.join(b, "token").filter("a < b AND a_component <> b_component").filter(_near("a_size", "b_size"))
-    met = pairs.groupBy("a", "b", "a_size", "b_size").agg(F.count("*").alias("n")).filter(F.col("n") >= _least_shared("a_size", "b_size"))
+    a = live.select("token", F.col("id").alias("a"), F.col("facts").alias("a_size"), F.col("component").alias("a_component"))
+    b = live.select("token", F.col("id").alias("b"), F.col("facts").alias("b_size"), F.col("component").alias("b_component"))
+    pairs = a.join(b, "token").filter("a < b AND a_component <> b_component").filter(_near("a_size", "b_size") & _in_pair_prefix("a_size", "b_size"))
+    met = pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(_pair_matches("a_size", "b_size")).alias("least")).filter("n >= least")
     return met.select("a", "b").distinct()
 
 
