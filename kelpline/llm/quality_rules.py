@@ -20,9 +20,8 @@ VECTOR = list(SPREAD)
 #: Share of a group's rows whose covariance has the least determinant, concentration steps, and rows that a group needs
 #: to be judged.
 COVERED, STEPS, LEAST_ROWS = 0.75, 3, 40
-#: Squared Mahalanobis distance beyond which a row goes. It is far out in the tail of five normal components, as short
-#: texts have heavier tails than that.
-TOO_FAR = 80.0
+#: Share of normal rows that a group's cut keeps.
+KEPT_SHARE = 0.9999
 
 
 def statistics(docs: DataFrame) -> DataFrame:
@@ -86,13 +85,22 @@ def _below_chi2(x: float, odd: int) -> float:
     return math.erf(math.sqrt(x / 2)) - math.sqrt(2 * x / math.pi) * math.exp(-x / 2) * total
 
 
-def consistency(covered: float = COVERED, p: int = len(VECTOR)) -> float:
-    """What the covariance of the inner share of normal rows lacks: covered / P(chi2(p + 2) <= that share's quantile)."""
+def chi2_quantile(share: float, p: int = len(VECTOR)) -> float:
+    """The value that a chi-square variable with ``p`` (odd) degrees of freedom is below with probability ``share``."""
     low, high = 0.0, 200.0
     for _ in range(100):
         middle = (low + high) / 2
-        low, high = (middle, high) if _below_chi2(middle, p) < covered else (low, middle)
-    return covered / _below_chi2(low, p + 2)
+        low, high = (middle, high) if _below_chi2(middle, p) < share else (low, middle)
+    return low
+
+
+#: Squared Mahalanobis distance beyond which a row goes: 25.7, by the law of normal components rather than fitted to data.
+TOO_FAR = chi2_quantile(KEPT_SHARE)
+
+
+def consistency(covered: float = COVERED, p: int = len(VECTOR)) -> float:
+    """What the covariance of the inner share of normal rows lacks: covered / P(chi2(p + 2) <= that share's quantile)."""
+    return covered / _below_chi2(chi2_quantile(covered, p), p + 2)
 
 
 def _factored(moments: DataFrame, scale: float) -> DataFrame:

@@ -224,6 +224,28 @@ def test_robust_distance_equals_numpy(spark):
     assert abs(quality_rules.consistency() - 1.41) < 0.02
 
 
+def junk_table(spark, groups):
+    """Prose in each group (lang, source, rows) with a few link lists and shouted or decorated texts, whose ids are 1000 on."""
+    rng = random.Random(8)
+    words = [f"{a}{b}" for a in "bcdfghklmnprst" for b in ("alo", "erin", "ute", "osta", "imes")]
+    prose = lambda: "".join(f"{' '.join(rng.choices(words, k=rng.randint(8, 14))).capitalize()}. " for _ in range(rng.randint(8, 20)))
+    junk = [
+        " | ".join(rng.choice(words).capitalize() for _ in range(150)),
+        " | ".join(" ".join(rng.choices(words, k=2)).capitalize() for _ in range(60)),
+        "\n".join(["read more here"] + [" ".join(rng.choices(words, k=4)) + " # % $ & *" for _ in range(40)]),
+    ]
+    rows = [(i, prose(), *group[:2]) for i, group in enumerate(g for g in groups for _ in range(g[2]))]
+    rows += [(1000 + i, t, *groups[-1][:2]) for i, t in enumerate(junk)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+
+
+def test_quality_cut_is_a_quantile_and_takes_link_lists(spark):
+    assert abs(quality_rules.chi2_quantile(0.999) - 20.515) < 1e-3 and abs(quality_rules.TOO_FAR - 25.745) < 1e-3
+    table = junk_table(spark, [("en", "s", 120)])
+    kept = {r.doc_id for r in quality_rules.filter_documents(table).collect()}
+    assert kept == set(range(120))
+
+
 def test_mixing(spark, docs, empty):
     rows = [(i, "w " * (5 + i % 4), "en" if i % 2 else "de", f"src{i % 3}") for i in range(300)]
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
