@@ -246,6 +246,20 @@ def test_quality_cut_is_a_quantile_and_takes_link_lists(spark):
     assert kept == set(range(120))
 
 
+def test_quality_takes_moderate_outliers(spark):
+    """Menus and texts with many separators lie between the quantile and the 80 that was the cut once."""
+    rng = random.Random(12)
+    words = [f"{a}{b}" for a in "bcdfghklmnprst" for b in ("alo", "erin", "ute", "osta", "imes")]
+    prose = lambda: "".join(f"{' '.join(rng.choices(words, k=rng.randint(8, 14))).capitalize()}. " for _ in range(rng.randint(8, 20)))
+    menus = [" | ".join(" ".join(rng.choices(words, k=n)).capitalize() for _ in range(40)) for n in (3, 4, 5)]
+    signs = [prose() + " # $ % &" * n for n in (8, 9)]
+    rows = [(i, t, "en", "s") for i, t in enumerate([prose() for _ in range(200)] + menus + signs)]
+    table = quality_rules.statistics(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3))
+    got = {r.doc_id: r for r in quality_rules.judge(table, quality_rules.fit(table)).collect()}
+    assert all(quality_rules.TOO_FAR < got[i].q_distance < 80 and not got[i].q_kept for i in range(200, 205))
+    assert all(got[i].q_kept for i in range(200))
+
+
 def test_mixing(spark, docs, empty):
     rows = [(i, "w " * (5 + i % 4), "en" if i % 2 else "de", f"src{i % 3}") for i in range(300)]
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
