@@ -18,7 +18,7 @@ CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPREAD = {"v_word": 0.10, "v_symbol": 0.60, "v_capital": 0.35, "v_line": 0.20, "v_repeat": 0.15}
 VECTOR = list(SPREAD)
 #: Share of a group's rows whose covariance has the least determinant, concentration steps, and rows that a group needs
-#: to be judged.
+#: to be judged by an estimate of its own; smaller ones are judged by their language's, or that of all rows.
 COVERED, STEPS, LEAST_ROWS = 0.75, 3, 40
 #: Share of normal rows that a group's cut keeps.
 KEPT_SHARE = 0.9999
@@ -76,6 +76,21 @@ def _group() -> Column:
     return F.struct(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"))
 
 
+def _level(at: int) -> Column:
+    """What the rows of ``group`` are estimated with: 0 is the group, 1 its language, 2 all rows."""
+    lang, source = (F.col("group")[name] if at < least else F.lit("") for name, least in (("lang", 2), ("source", 1)))
+    return F.struct(F.lit(at).alias("level"), lang.alias("lang"), source.alias("source"))
+
+
+def _levels(rows: DataFrame) -> DataFrame:
+    """The groups of ``rows`` (group, q_failed), each with the level it is judged by (used): the first with LEAST_ROWS
+    passing rows, or all rows."""
+    sizes = stash(rows.groupBy("group").agg(F.count(F.when(~F.col("q_failed"), 1)).alias("n")))
+    langs = sizes.groupBy(F.col("group.lang").alias("lang")).agg(F.sum("n").alias("n_lang"))
+    used = F.when(F.col("n") >= LEAST_ROWS, _level(0)).when(F.col("n_lang") >= LEAST_ROWS, _level(1)).otherwise(_level(2))
+    return sizes.join(langs, F.col("group.lang") == F.col("lang")).select("group", used.alias("used"))
+
+
 def _below_chi2(x: float, odd: int) -> float:
     """P(chi-square with an odd number of degrees of freedom <= x)."""
     total = term = 1.0
@@ -126,12 +141,16 @@ def _distance(rows: DataFrame) -> DataFrame:
 
 
 def fit(rows: DataFrame) -> DataFrame:
-    """Estimates of each group (struct of lang and source, null as empty) of ``rows`` with the components VECTOR: count,
-    means and factor. From medians and median deviations, concentration steps take the share COVERED of rows nearest to
-    the last estimate and estimate again; each step's determinant is no larger. Every row counts; groups are summed up
-    before they are shuffled, and a step's estimates, a row a group, are written before they are used."""
+    """Estimates for each group (struct of lang and source, null as empty) of ``rows`` with the components VECTOR: count,
+    means and factor; of its own rows, or those of its language or of all where it is small. From medians and median
+    deviations, concentration steps take the share COVERED of rows nearest to the last estimate and estimate again; each
+    step's determinant is no larger. Every row counts, once in each level that is used; levels are summed up before they
+    are shuffled, and a step's estimates, a row a level, are written before they are used."""
     # Written before it is filtered: a filter would be pushed down and repeat the statistics in its condition.
-    passing = stash(rows.select(_group().alias("group"), "q_failed", *VECTOR)).filter("NOT q_failed").drop("q_failed")
+    vectors = stash(rows.select(_group().alias("group"), "q_failed", *VECTOR))
+    levels = stash(_levels(vectors))
+    leveled = vectors.filter("NOT q_failed").select(F.explode(F.array(*map(_level, range(3)))).alias("used"), *VECTOR)
+    passing = stash(leveled.join(levels.select("used").distinct(), "used", "left_semi").withColumnRenamed("used", "group"))
     middle = passing.groupBy("group").agg(F.count("*").alias("n_rows"), *[F.percentile_approx(c, 0.5, 10_000).alias(f"m_{c}") for c in VECTOR])
     off = [F.percentile_approx(F.abs(F.col(c) - F.col(f"m_{c}")), 0.5, 10_000).alias(f"d_{c}") for c in VECTOR]
     middle = stash(middle)
@@ -150,15 +169,15 @@ def fit(rows: DataFrame) -> DataFrame:
             *[F.covar_pop(b, a).alias(f"c_{b}_{a}") for i, a in enumerate(VECTOR) for b in VECTOR[: i + 1]],
         )
         estimate = stash(_factored(moments, consistency()))
-    return estimate
+    return stash(levels.join(estimate.withColumnRenamed("group", "used"), "used").drop("used"))
 
 
 def judge(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """``rows`` with q_distance and q_kept: not failed, and within TOO_FAR of its group's estimate. A group of fewer than
-    LEAST_ROWS passing rows isn't judged further."""
+    """``rows`` with q_distance and q_kept: not failed, and within TOO_FAR of its group's estimate. Every passing row has
+    one."""
     held = estimates.withColumnRenamed("group", "_group")
     judged = _distance(rows.withColumn("_group", _group()).join(held, "_group", "left"))
-    near = F.col("n_rows").isNull() | (F.col("n_rows") < LEAST_ROWS) | (F.col("distance") <= TOO_FAR)
+    near = F.coalesce(F.col("distance") <= TOO_FAR, F.lit(False))
     # One condition on both sides of the join, so that no part of it is pushed below the statistics.
     against = F.greatest(F.col("q_failed").cast("int"), (~near).cast("int"))
     extra = [f"m_{a}" for a in VECTOR] + [f"z_{a}" for a in VECTOR] + [f"l_{a}_{b}" for i, a in enumerate(VECTOR) for b in VECTOR[: i + 1]]

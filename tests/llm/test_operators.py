@@ -260,6 +260,20 @@ def test_quality_takes_moderate_outliers(spark):
     assert all(got[i].q_kept for i in range(200))
 
 
+def test_quality_judges_small_groups(spark):
+    """By their language where it has enough rows, else by all rows."""
+    large, tail = [("en", "s", 120)], [("en", "rare", 5)]
+    table = junk_table(spark, large + tail)
+    assert {r.doc_id for r in quality_rules.filter_documents(table).collect()} == set(range(125))
+    rows = quality_rules.statistics(junk_table(spark, [*large, ("de", "a", 3), (None, None, 2)])).localCheckpoint()
+    estimates = {tuple(r["group"]): r for r in quality_rules.fit(rows).collect()}
+    assert {g: r.n_rows for g, r in estimates.items()} == {("en", "s"): 120, ("de", "a"): 126, ("", ""): 126}  # one junk text passes the base rules
+    got = quality_rules.judge(rows, quality_rules.fit(rows)).collect()
+    assert all(r.q_distance is not None and r.q_kept == (r.doc_id < 1000) for r in got)
+    tiny = quality_rules.statistics(junk_table(spark, [("en", "a", 30), ("en", "b", 30)]))
+    assert {r.n_rows for r in quality_rules.fit(tiny).collect()} == {61}
+
+
 def test_mixing(spark, docs, empty):
     rows = [(i, "w " * (5 + i % 4), "en" if i % 2 else "de", f"src{i % 3}") for i in range(300)]
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
