@@ -114,15 +114,16 @@ def _among(batches: Iterable[pa.RecordBatch], gone: Bits) -> Iterator[pa.RecordB
 
 
 def _prefix_rows(batches: Iterable[pa.RecordBatch], order: Order) -> Iterator[pa.RecordBatch]:
-    """The prefix of each row, once for each word sequence in a task."""
-    seen: set[bytes] = set()
+    """The prefix of each row, but of those that have the words of an earlier one in the task and no smaller id: the least
+    id of a word sequence always has its prefix, whatever comes first."""
+    seen: dict[bytes, int] = {}
     for batch in in_slices(batches, "text"):
         out: list[tuple[np.ndarray, ...]] = []
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             hashes = hashes_of(words_in(text, lower=True))
-            if not len(hashes) or (key := sequence_key(hashes)) in seen:
+            if not len(hashes) or seen.get(key := sequence_key(hashes), doc_id + 1) <= doc_id:
                 continue
-            seen.add(key)
+            seen[key] = doc_id
             tokens = shingles(hashes)
             kept, counts, matches = prefix(tokens, order)
             parts = counts // GROUP_ROWS

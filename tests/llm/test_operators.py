@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from kelpline.llm import exact_dedup, html_text, language_id, mixing, ngram_join, packing, quality_rules, sharding, site_quality, substring_dedup
+from kelpline.llm import bitsets, exact_dedup, html_text, language_id, mixing, ngram_join, packing, quality_rules, sharding, site_quality, substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, range int, key string, _text string"
@@ -77,6 +77,16 @@ def test_ngram_join(docs, empty):
     assert ngram_join.link_components(empty).count() == 0
 
 
+def test_ngram_join_of_copies_before_their_least_id(spark, monkeypatch):
+    """In a filter of 64 bits all copies collide, and come first in the only task."""
+    monkeypatch.setattr(ngram_join, "gather_bits", lambda keys: bitsets.gather_bits(keys, 6))
+    text = lambda i: " ".join(f"w{i}x{k}" for k in range(60))
+    rows = [(at + i, text(i) + more, "en", "s") for at, more in ((1000, ""), (500, " more"), (0, "")) for i in range(99, -1, -1)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1)
+    got = {r.doc_id: r.component_id for r in ngram_join.link_components(table).collect()}
+    assert got == {at + i: i for at in (0, 500, 1000) for i in range(100)}
+
+
 def test_prefix_asks_for_more_matches_when_tokens_are_frequent():
     tokens = np.arange(100, dtype=np.uint64)
     rare = ngram_join.Order(np.zeros(0, np.uint64), np.zeros(0, np.int64))
