@@ -6,16 +6,24 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stash
 from .words import Bits
 
-#: 2 ** 26 bits: the driver gets at most 2 ** 20 rows of 12 bytes, and a task 8 MB, whatever the number of keys. With
-#: very many keys the filter lets more through; what it lets through is decided exactly afterwards.
-LOG2 = 26
+#: Bits for each key, so that about one foreign key in BITS_A_KEY passes, and the most and least bits as powers of two.
+#: A set has at most 2 ** 29 bits (64 MB in a task; the driver gets 2 ** 23 rows of 12 bytes): beyond 16 million keys more
+#: foreign ones pass, which costs work but changes no result, as what passes is decided exactly afterwards.
+BITS_A_KEY, LEAST_LOG2, MOST_LOG2 = 32, 16, 29
 
 
-def gather_bits(keys: DataFrame, log2: int = LOG2) -> Broadcast:
-    """Broadcast Bits of the only column, a well-mixed long, of ``keys``."""
-    name = keys.columns[0]
+def size_for(n_keys: int) -> int:
+    """The power of two of bits for so many keys."""
+    return min(MOST_LOG2, max(LEAST_LOG2, (max(1, n_keys) * BITS_A_KEY - 1).bit_length()))
+
+
+def gather_bits(keys: DataFrame, log2: int | None = None) -> Broadcast:
+    """Broadcast Bits of the only column, a well-mixed long, of ``keys``; sized by their number unless ``log2`` is given."""
+    name, keys = keys.columns[0], stash(keys)
+    log2 = size_for(keys.count()) if log2 is None else log2
     at = F.col(name).bitwiseAND(F.lit((1 << log2) - 1))
     words = keys.select(F.shiftright(at, 6).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast({name} & 63 AS int))").alias("bit"))
     found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
