@@ -20,6 +20,8 @@ from .words import Bits, hashes_of, in_slices, sequence_key, windows, words_in
 
 #: Words of a window, and of the runs of which a window's anchor is the one with the least hash.
 WINDOW, ANCHOR = 13, 5
+#: The first multiplier of a window's second hash.
+OTHER = 24
 
 
 def anchors(hashes: np.ndarray, size: int = WINDOW) -> np.ndarray:
@@ -79,11 +81,12 @@ def _anchor_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _window_rows(batches: Iterable[pa.RecordBatch], shared: Bits) -> Iterator[pa.RecordBatch]:
-    """The windows whose anchor may be shared: window, doc_id and place (start * 2 ** 32 + a tag of the row). A row with
+    """The windows whose anchor may be shared: window and check (128 bits of hashes), doc_id and place (start * 2 ** 32 + a
+    tag of the row). A row with
     the words of one that had no larger id is left out: it is a copy, or the same document again."""
     seen: dict[bytes, int] = {}
     for batch in in_slices(batches, "text"):
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        out: list[tuple[np.ndarray, ...]] = []
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             hashes = hashes_of(words_in(text))
             if len(hashes) < WINDOW or seen.get(key := sequence_key(hashes), doc_id + 1) <= doc_id:
@@ -91,10 +94,11 @@ def _window_rows(batches: Iterable[pa.RecordBatch], shared: Bits) -> Iterator[pa
             seen[key] = doc_id
             at = np.flatnonzero(shared.has(anchors(hashes)))
             if len(at):
-                out.append((windows(hashes, WINDOW)[at].view(np.int64), np.full(len(at), doc_id, np.int64), (at.astype(np.int64) << 32) | _tag(key)))
+                other = windows(hashes, WINDOW, OTHER)[at].view(np.int64)
+                out.append((windows(hashes, WINDOW)[at].view(np.int64), other, np.full(len(at), doc_id, np.int64), (at.astype(np.int64) << 32) | _tag(key)))
         if out:
-            w, d, p = (np.concatenate(c) for c in zip(*out, strict=True))
-            yield _batch([("window", w, pa.int64()), ("doc_id", d, pa.int64()), ("place", p, pa.int64())])
+            w, c, d, p = (np.concatenate(x) for x in zip(*out, strict=True))
+            yield _batch([("window", w, pa.int64()), ("check", c, pa.int64()), ("doc_id", d, pa.int64()), ("place", p, pa.int64())])
 
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_text string"
@@ -174,9 +178,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     several = first_rows.mapInArrow(lambda b: _anchor_rows(firsts(b)), "anchor long, doc_id long").groupBy("anchor")
     several = several.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("anchor")
     shared = gather_bits(several)
-    found = stash(first_rows.mapInArrow(lambda b: _window_rows(firsts(b), shared.value), "window long, doc_id long, place long"))
-    owners = found.groupBy("window").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("b")).filter("owner < b")
-    later = found.join(owners.select("window", "owner"), "window").filter("owner < doc_id").select("doc_id", "place")
+    found = stash(first_rows.mapInArrow(lambda b: _window_rows(firsts(b), shared.value), "window long, check long, doc_id long, place long"))
+    owners = found.groupBy("window", "check").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("b")).filter("owner < b")
+    # Owners are written, so that both sides of the join are plain shuffles and a hot window's rows can be split.
+    later = found.join(stash(owners.drop("b")), ["window", "check"]).filter("owner < doc_id").select("doc_id", "place")
     lost = stash(later.unionByName(emptied).groupBy("doc_id").agg(F.collect_list("place").alias("places")))
 
     hit = gather_bits(lost.select(F.xxhash64("doc_id").alias("mark")))

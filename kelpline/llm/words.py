@@ -37,14 +37,15 @@ def hashes_of(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
 
 
-def windows(hashes: np.ndarray, size: int) -> np.ndarray:
-    """64-bit hashes of each run of ``size`` words; none if there are fewer."""
+def windows(hashes: np.ndarray, size: int, first: int = 0) -> np.ndarray:
+    """64-bit hashes of each run of ``size`` words; none if there are fewer. Another ``first`` of the multipliers gives
+    other hashes."""
     n = len(hashes) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    total = hashes[:n] * _PLACES[0]
+    total = hashes[:n] * _PLACES[first]
     for k in range(1, size):
-        total += hashes[k : k + n] * _PLACES[k]
+        total += hashes[k : k + n] * _PLACES[first + k]
     total ^= total >> np.uint64(31)
     total *= np.uint64(0xD6E8FEB86659FD93)
     total ^= total >> np.uint64(32)
