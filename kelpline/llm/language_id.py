@@ -2,30 +2,28 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stash, table
 
 #: Bytes of a language's raw-content dictionary, and of the passage that a training document gives to it. A language
-#: takes DICTIONARY / PASSAGE passages: a bounded sample of the labelled rows.
-DICTIONARY, PASSAGE = 98_304, 1_024
+#: takes DICTIONARY / PASSAGE passages: a bounded sample of the labelled rows. Very many languages share MODEL bytes.
+DICTIONARY, PASSAGE, MODEL = 98_304, 1_024, 50_000_000
 #: Bytes compressed at a time; a whole text is compressed block by block, so that a long text can't become its own
 #: dictionary.
 BLOCK = 512
 LEVEL = 6
-#: The most languages a model holds: those with the most training rows, so that the model has under 100 MB.
-MOST_LANGUAGES = 512
 #: A narrower margin between the two smallest sizes, as a share of the smallest, rejects the prediction.
 NARROW = 0.01
 UNKNOWN = "und"
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 def held_out() -> Column:
@@ -33,23 +31,23 @@ def held_out() -> Column:
     return F.pmod(F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")), F.lit(4)) == 2
 
 
-def train(docs: DataFrame, max_languages: int = MOST_LANGUAGES) -> dict[str, bytes]:
-    """A dictionary for each lang of ``docs`` (doc_id, text, lang), those with the most rows first: letters of passages of
-    the rows with the least digests. Rows without lang or text teach nothing. The driver gets DICTIONARY bytes a language."""
+def train(docs: DataFrame, model_bytes: int = MODEL) -> dict[str, bytes]:
+    """A dictionary for each lang of ``docs`` (doc_id, text, lang), the one with the most rows first: letters of passages of
+    the rows with the least digests. Rows without lang or text teach nothing. The driver gets DICTIONARY bytes a language,
+    or less where there are so many that ``model_bytes`` don't hold that (each has a passage at least)."""
     passage = F.substring("text", 1, PASSAGE)
     rows = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND length(text) > 0")
     rank = F.struct(F.md5(F.col("doc_id").cast("string")).alias("digest"), "doc_id")
     first = rows.select("lang", rank.alias("rank"), F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("salt"), passage.alias("passage"))
-    each = DICTIONARY // PASSAGE
     salted = W.partitionBy("lang", "salt").orderBy("rank", "passage")
     whole = W.partitionBy("lang").orderBy("rank", "passage")
-    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages)
+    common = stash(rows.groupBy("lang").count())
+    each = max(1, min(DICTIONARY, model_bytes // max(1, common.count())) // PASSAGE)
     kept = (
         first.withColumn("at", F.row_number().over(salted))
         .filter(F.col("at") <= each)
         .withColumn("at", F.row_number().over(whole))
         .filter(F.col("at") <= each)
-        .join(common, "lang", "left_semi")
     )
     passages = kept.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("at", "passage")), asc=False).alias("p"))
     ordered = passages.join(common, "lang").orderBy(F.desc("count"), "lang").collect()
@@ -106,7 +104,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], narrow: float = NA
         return rows.select(
             "doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("margin"), F.lit(True).alias("rejected")
         )
-    shared = docs.sparkSession.sparkContext.broadcast(dictionaries)  # at most MOST_LANGUAGES * DICTIONARY bytes
+    shared = docs.sparkSession.sparkContext.broadcast(dictionaries)  # at most MODEL bytes, or a passage a language
     id_type = docs.schema["doc_id"].dataType.simpleString()
     sized = rows.mapInArrow(lambda b: _sizes(b, shared.value), f"doc_id {id_type}, has_letter boolean, sizes array<bigint>")
     ranked = sized.withColumn("ranked", F.array_sort(F.transform("sizes", lambda size, at: F.struct(size.alias("size"), at.alias("at")))))
