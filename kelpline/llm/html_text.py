@@ -12,11 +12,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stash, table
+from .common import MOST_BROADCAST, join_small, stash, table
 from .words import in_slices
 
-#: A subtree is a template where this share of a host's pages, and this many of them, have it.
-SHARE, LEAST_PAGES = 0.2, 5
+#: A subtree is a template of a host where it recurs on this share of the host's pages (two of them at least), and of every
+#: host where pages of so many hosts have it, which is all that a host of one page can go by.
+SHARE, LEAST_HOSTS = 0.05, 3
 
 #: Fixed values of HTML: elements without an end tag, elements inside a line, and elements whose content is no markup.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -27,6 +28,9 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 #: Elements up to which an end tag or CLOSES looks for an open element.
 SCOPES = set("article main section div table ul ol dl body html nav aside form header footer blockquote".split())
 
+#: Elements of main text, and in them of prose, which is no template however often it recurs.
+MAIN = {"article", "main"}
+PROSE = set("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th tr figcaption caption".split())
 #: Elements that never hold main text, and those that don't outside of an article.
 NEVER = set("script style noscript template head title nav footer aside form button select textarea iframe object svg canvas dialog menu xmp noframes noembed".split())
 OUTSIDE = {"header"}
@@ -117,15 +121,20 @@ def _inside(page: Page, inside: set[str]) -> list[bool]:
 
 
 def subtree_hashes(html: str, page: Page) -> list[int]:
-    """A signed 64-bit hash of the markup of each element; 0 for the root, for elements inside a line, and for elements with
-    main text (an article or what holds or is part of it), which are no templates."""
-    own = _inside(page, {"article", "main"})
-    holds = [False] * len(page.tags)
-    for e in range(len(page.tags) - 1, 0, -1):
-        holds[page.parents[e]] = holds[page.parents[e]] or holds[e] or page.tags[e] in ("article", "main")
+    """A signed 64-bit hash of the markup of each element; 0 for what can't be a template: the root, elements inside a line,
+    an article and what holds it, and in an article prose and whatever has more than half of its text."""
+    own, n = _inside(page, MAIN), len(page.tags)
+    size, holds = [0] * n, [False] * n
+    for e, text in page.texts:
+        size[e] += len(text.strip())
+    for e in range(n - 1, 0, -1):
+        size[page.parents[e]] += size[e]
+        holds[page.parents[e]] = holds[page.parents[e]] or holds[e] or page.tags[e] in MAIN
+    whole = sum(size[e] for e in range(1, n) if own[e] and not own[page.parents[e]])
     hashes = [0]
-    for e in range(1, len(page.tags)):
-        if own[e] or holds[e] or page.tags[e] in INLINE or page.tags[e] in ("html", "body", "head"):
+    for e in range(1, n):
+        tag = page.tags[e]
+        if holds[e] or tag in INLINE or tag in MAIN or tag in ("html", "body", "head") or (own[e] and (tag in PROSE or 2 * size[e] > whole)):
             hashes.append(0)
         else:
             start, end = page.spans[e]
@@ -135,20 +144,21 @@ def subtree_hashes(html: str, page: Page) -> list[int]:
 
 
 def main_text(html: str, templates: frozenset[int] = frozenset()) -> str:
-    """The text of the page's articles, or of its whole body where it has none, without marked elements and templates.
-    Where a page has nothing but templates, they are its text (a site of copies)."""
+    """What is left of the page without templates and marked elements: the text of its articles where they have any, else
+    all of its body. Where a page has nothing but templates, they are its text (a site of copies)."""
     page = parse(html)
     hashes = subtree_hashes(html, page) if templates else [0] * len(page.tags)
-    own = _inside(page, {"article", "main"})
+    own = _inside(page, MAIN)
     junk, cut = [False], [False]
     for e in range(1, len(page.tags)):
         parent, tag = page.parents[e], page.tags[e]
-        junk.append(junk[parent] or tag in NEVER or page.marked[e] or (tag in OUTSIDE and not own[e]))
         cut.append(cut[parent] or (hashes[e] != 0 and hashes[e] in templates))
-    has_main = any(own[e] and not junk[e] and text.strip() for e, text in page.texts)
+        junk.append(junk[parent] or tag in NEVER or page.marked[e] or (tag in OUTSIDE and not own[e]))
 
     def joined(without: list[bool]) -> str:
-        return " ".join(unescape("".join(t for e, t in page.texts if not junk[e] and not without[e] and (own[e] or not has_main))).split())
+        left = [(own[e], text) for e, text in page.texts if not junk[e] and not without[e]]
+        has_main = any(o and text.strip() for o, text in left)
+        return " ".join(unescape("".join(text for o, text in left if o or not has_main)).split())
 
     return joined(cut) or joined([False] * len(page.tags))
 
@@ -167,13 +177,17 @@ def _hash_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], ["host", "hash"])
 
 
-def templates(pages: DataFrame, share: float = SHARE, least: int = LEAST_PAGES) -> DataFrame:
-    """host and the hashes of its templates. As a template is on a share of a host's pages, a host has at most 1 / share
-    times as many as a page has elements."""
+def templates(pages: DataFrame, share: float = SHARE, least_hosts: int = LEAST_HOSTS) -> DataFrame:
+    """host and the hashes of its templates, for every host of ``pages`` (host, html). Counts are of pages that have a
+    subtree, whatever they repeat. As a template is on a share of a host's pages, a host has at most 1 / share times as
+    many of its own as a page has elements; what recurs across hosts counts where the host has it."""
     counts = stash(pages.mapInArrow(_hash_rows, "host string, hash long").groupBy("host", "hash").agg(F.count("*").alias("n")))
     n_pages = counts.filter("hash = 0").select("host", F.col("n").alias("n_pages"))
-    found = counts.filter(F.col("hash") != 0).filter(F.col("n") >= least).join(n_pages, "host")
-    return found.filter(F.col("n") >= share * F.col("n_pages")).groupBy("host").agg(F.collect_list("hash").alias("templates"))
+    subtrees = counts.filter(F.col("hash") != 0)
+    across = subtrees.groupBy("hash").agg(F.count("*").alias("n_hosts")).filter(F.col("n_hosts") >= least_hosts)
+    own = subtrees.join(n_pages, "host").filter((F.col("n") >= 2) & (F.col("n") >= share * F.col("n_pages"))).select("host", "hash")
+    found = own.unionByName(subtrees.join(across, "hash").select("host", "hash")).distinct()
+    return found.groupBy("host").agg(F.collect_list("hash").alias("templates"))
 
 
 def _extracted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,14 +203,21 @@ def _extracted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def extract(pages: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """page_id, url, text of every row of ``pages`` (page_id, url, html). A null html is an empty page; a null url or one
     without a host belongs to the host of no name. Character references are decoded, white space is one space, blocks
-    are joined by a space. Rows with equal or null ids each have their row; no rows give none."""
-    rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    known = templates(rows.select("host", "html"))
+    are joined by a space. Rows with equal or null ids each have their row; no rows give none. Other columns of ``pages``
+    are ignored.
+
+    Subtrees are hashed where a page is read and counted by host; only hashes are shuffled. Html stays where it is while
+    templates have at most ``most_broadcast`` bytes; beyond that it is shuffled once, with a host dealt to SALTS tasks."""
+    host = host_of(F.col("url"))
+    rows = pages.select("page_id", "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
+    known = stash(templates(rows.select("host", "html")))
+    size = known.agg(F.coalesce(F.sum(8 * F.size("templates") + F.length("host") + 40), F.lit(0)).alias("n")).first()["n"]
     id_type = pages.schema["page_id"].dataType.simpleString()
-    return rows.join(known, "host", "left").mapInArrow(_extracted, f"page_id {id_type}, url string, text string")
+    joined = join_small(rows, known, "host", size, ["page_id", "url"], most=most_broadcast)
+    return joined.mapInArrow(_extracted, f"page_id {id_type}, url string, text string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
