@@ -8,30 +8,43 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stash, table, text_of, without_spaces, words_of
+from .common import join_small, stash, table, text_of, without_spaces, words_of
 
 MIN_WORDS = 50
 SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: The components of a row's vector and the least spread (standard deviation) that each is given, so that a component
-#: that hardly varies in a group can't reject on its own for a trifle.
-SPREAD = {"v_word": 0.10, "v_symbol": 0.60, "v_capital": 0.35, "v_line": 0.20, "v_repeat": 0.15}
-VECTOR = list(SPREAD)
-#: Share of a group's rows whose covariance has the least determinant, concentration steps, and rows that a group needs
-#: to be judged by an estimate of its own; smaller ones are judged by their language's, or that of all rows.
-COVERED, STEPS, LEAST_ROWS = 0.75, 3, 40
-#: Share of normal rows that a group's cut keeps.
-KEPT_SHARE = 0.9999
+#: Printing characters of ASCII that are no letters or digits.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Code points of a short word, and words of a run whose distinct words are counted.
+SHORT, RUN = 3, 50
+#: The components of a row's vector: log of the mean word length; square roots of capitals and marks for each word, of the
+#: share of words that repeat in a run, and of the share of short words. A square root gives counts a spread that doesn't
+#: depend on their mean, and none of these is constant in prose.
+VECTOR = ["v_word", "v_capital", "v_mark", "v_repeat", "v_short"]
+#: A row's deviations are weighed as those of a mean of its words; more words than this count as the differences between
+#: texts, which don't shrink with length.
+FULL_WORDS = 3_000
+#: Share of a group's rows whose covariance has the least determinant; concentration steps end when no log determinant
+#: changes by more than STEADY, or after MOST_STEPS.
+COVERED, STEADY, MOST_STEPS = 0.75, 0.01, 30
+#: Rows that an estimate of the level above counts as in a group's: groups are shrunk to their language, these to all.
+SHRINK_ROWS = 50
+#: What each variance has more than estimated, as a share: enough for a factor in directions without any spread.
+RIDGE = 1e-9
+#: Share of normal rows that a group's cut keeps: one clean document in a million goes.
+KEPT_SHARE = 0.999999
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """``docs`` with q_words, q_chars, q_symbols, q_dup_lines, q_repeat, q_failed and the components VECTOR. A null or
-    empty text has no words and fails."""
+    """``docs`` with q_words, q_chars, q_symbols, q_dup_lines, q_repeat, q_failed, the components VECTOR and their weight. A
+    null or empty text has no words and fails; components of rows that fail may be null."""
     lines = F.filter(F.split(F.col("_text"), "\n"), lambda line: without_spaces(line) != "")
     triple = F.transform(
         F.sequence(F.lit(0), F.col("q_words").cast("int") - 3),
         lambda i: F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2)),
     )
+    n_runs = F.floor(F.col("q_words") / RUN).cast("int")
+    distinct = lambda i: F.size(F.array_distinct(F.slice("_words", i * RUN + 1, RUN)))
     counted = (
         docs.withColumn("_text", text_of())
         .withColumns({"_words": words_of(F.col("_text")), "_lines": lines, "_bare": without_spaces(F.col("_text"))})
@@ -41,11 +54,13 @@ def statistics(docs: DataFrame) -> DataFrame:
                 "q_chars": F.length("_bare").cast("long"),
                 "q_symbols": (F.length("_bare") - F.length(F.translate("_bare", SYMBOLS, ""))).cast("long"),
                 "_capitals": F.length("_bare") - F.length(F.translate("_bare", CAPITALS, "")),
-                "_n_lines": F.size("_lines"),
+                "_marks": F.length("_bare") - F.length(F.translate("_bare", MARKS, "")),
+                "_short": F.size(F.filter("_words", lambda w: F.length(w) <= SHORT)),
                 "q_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
             }
         )
         .withColumn("_triples", F.when(F.col("q_words") >= 3, triple))
+        .withColumn("_runs", F.when(F.col("q_words") >= RUN, F.transform(F.sequence(F.lit(0), n_runs - 1), distinct)))
         .drop("_text", "_bare", "_words", "_lines")
     )
     placed = F.array_sort(F.transform("_triples", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -62,13 +77,14 @@ def statistics(docs: DataFrame) -> DataFrame:
             {
                 "q_failed": (F.col("q_words") < MIN_WORDS) | (100 * F.col("q_repeat") > 50 * F.col("q_words")),
                 "v_word": F.log(chars / words),
-                "v_symbol": F.log1p(1000 * F.col("q_symbols") / chars),
-                "v_capital": F.log1p(100 * F.col("_capitals") / chars),
-                "v_line": F.col("q_dup_lines") / F.greatest("_n_lines", F.lit(1)),
-                "v_repeat": F.col("q_repeat") / words,
+                "v_capital": F.sqrt(F.col("_capitals") / words),
+                "v_mark": F.sqrt(F.col("_marks") / words),
+                "v_repeat": F.sqrt(1 - F.aggregate("_runs", F.lit(0), lambda a, n: a + n) / (F.size("_runs") * RUN)),
+                "v_short": F.sqrt(F.col("_short") / words),
+                "weight": words * FULL_WORDS / (words + FULL_WORDS),
             }
         )
-        .drop("_placed", "_capitals", "_n_lines")
+        .drop("_placed", "_capitals", "_marks", "_short", "_runs")
     )
 
 
@@ -77,20 +93,11 @@ def _group() -> Column:
 
 
 def _level(at: int) -> Column:
-    """What the rows of ``group`` are estimated with: 0 is the group, 1 its language, 2 all rows."""
-    lang, source = (F.col("group")[name] if at < least else F.lit("") for name, least in (("lang", 2), ("source", 1)))
+    """What a row of ``group`` is estimated with: 0 is all rows, 1 its language, 2 the group."""
+    lang, source = (F.col("group")[name] if at >= least else F.lit("") for name, least in (("lang", 1), ("source", 2)))
     return F.struct(F.lit(at).alias("level"), lang.alias("lang"), source.alias("source"))
 
 
-def _levels(rows: DataFrame) -> DataFrame:
-    """The groups of ``rows`` (group, q_failed), each with the level it is judged by (used): the first with LEAST_ROWS
-    passing rows, or all rows."""
-    sizes = stash(rows.groupBy("group").agg(F.count(F.when(~F.col("q_failed"), 1)).alias("n")))
-    langs = sizes.groupBy(F.col("group.lang").alias("lang")).agg(F.sum("n").alias("n_lang"))
-    used = F.when(F.col("n") >= LEAST_ROWS, _level(0)).when(F.col("n_lang") >= LEAST_ROWS, _level(1)).otherwise(_level(2))
-    return sizes.join(langs, F.col("group.lang") == F.col("lang")).select("group", used.alias("used"))
-
-
 def _below_chi2(x: float, odd: int) -> float:
     """P(chi-square with an odd number of degrees of freedom <= x)."""
     total = term = 1.0
@@ -109,92 +116,119 @@ def chi2_quantile(share: float, p: int = len(VECTOR)) -> float:
     return low
 
 
-#: Squared Mahalanobis distance beyond which a row goes: 25.7, by the law of normal components rather than fitted to data.
+#: Squared Mahalanobis distance beyond which a row goes, by the law of normal components rather than fitted to data.
 TOO_FAR = chi2_quantile(KEPT_SHARE)
 
 
-def consistency(covered: float = COVERED, p: int = len(VECTOR)) -> float:
-    """What the covariance of the inner share of normal rows lacks: covered / P(chi2(p + 2) <= that share's quantile)."""
-    return covered / _below_chi2(chi2_quantile(covered, p), p + 2)
+#: What half of the squared distances of normal rows are below.
+MIDDLE = chi2_quantile(0.5)
+PAIRS = [(a, b) for i, a in enumerate(VECTOR) for b in VECTOR[: i + 1]]
+
 
+def _shrunk(raw: DataFrame) -> DataFrame:
+    """Level rows (at, n_rows and estimates) with each estimate drawn to that of the level above, by rows."""
+    values = [c for c in raw.columns if c not in ("at", "n_rows")]
+    above = raw.filter("at.level = 0")
+    levels = [above]
+    for level in (1, 2):
+        lang = F.col("at.lang") if level == 2 else F.lit("")
+        own = raw.filter(F.col("at.level") == level).withColumn("parent", F.struct(F.lit(level - 1).alias("level"), lang.alias("lang"), F.lit("").alias("source")))
+        upper = above.select(F.col("at").alias("parent"), *[F.col(c).alias(f"up_{c}") for c in values])
+        part = F.col("n_rows") / (F.col("n_rows") + SHRINK_ROWS)
+        above = own.join(upper, "parent").select("at", "n_rows", *[(part * F.col(c) + (1 - part) * F.col(f"up_{c}")).alias(c) for c in values])
+        levels.append(above)
+    return levels[0].unionByName(levels[1]).unionByName(levels[2])
 
-def _factored(moments: DataFrame, scale: float) -> DataFrame:
-    """Group rows with means m_i and covariances c_i_j: the Cholesky factor l_i_j of scale * c plus the least spreads."""
+
+def _factored(moments: DataFrame) -> DataFrame:
+    """Level rows with means m_a and covariances c_a_b: the Cholesky factor l_a_b, and log_det."""
     out = moments
-    for i, a in enumerate(VECTOR):
-        for j, b in enumerate(VECTOR[: i + 1]):
-            rest = F.col(f"c_{b}_{a}") * scale + (SPREAD[a] ** 2 if a == b else 0.0)
-            for c in VECTOR[:j]:
+    for a in VECTOR:
+        for b in VECTOR[: VECTOR.index(a) + 1]:
+            rest = F.col(f"c_{a}_{b}") * (1 + RIDGE) + 1e-15 if a == b else F.col(f"c_{a}_{b}")
+            for c in VECTOR[: VECTOR.index(b)]:
                 rest = rest - F.col(f"l_{a}_{c}") * F.col(f"l_{b}_{c}")
-            out = out.withColumn(f"l_{a}_{b}", F.sqrt(rest) if a == b else rest / F.col(f"l_{b}_{b}"))
-    return out.drop(*[f"c_{b}_{a}" for i, a in enumerate(VECTOR) for b in VECTOR[: i + 1]])
+            out = out.withColumn(f"l_{a}_{b}", F.sqrt(F.greatest(rest, F.col(f"c_{a}_{a}") * RIDGE + 1e-15)) if a == b else rest / F.col(f"l_{b}_{b}"))
+    return out.withColumn("log_det", 2 * sum((F.log(f"l_{a}_{a}") for a in VECTOR), F.lit(0.0))).drop(*[f"c_{a}_{b}" for a, b in PAIRS])
 
 
 def _distance(rows: DataFrame) -> DataFrame:
-    """Squared Mahalanobis distance by forward substitution."""
+    """Weighted squared Mahalanobis distance by forward substitution."""
     for i, a in enumerate(VECTOR):
         rest = F.col(a) - F.col(f"m_{a}")
         for b in VECTOR[:i]:
             rest = rest - F.col(f"l_{a}_{b}") * F.col(f"z_{b}")
         rows = rows.withColumn(f"z_{a}", rest / F.col(f"l_{a}_{a}"))
-    return rows.withColumn("distance", sum((F.col(f"z_{a}") ** 2 for a in VECTOR), F.lit(0.0)))
+    return rows.withColumn("distance", F.col("weight") * sum((F.col(f"z_{a}") ** 2 for a in VECTOR), F.lit(0.0)))
+
+
+def _quantile(value: Column | str, share: float) -> Column:
+    return F.percentile_approx(value, share, 10_000)
 
 
 def fit(rows: DataFrame) -> DataFrame:
-    """Estimates for each group (struct of lang and source, null as empty) of ``rows`` with the components VECTOR: count,
-    means and factor; of its own rows, or those of its language or of all where it is small. From medians and median
-    deviations, concentration steps take the share COVERED of rows nearest to the last estimate and estimate again; each
-    step's determinant is no larger. Every row counts, once in each level that is used; levels are summed up before they
-    are shuffled, and a step's estimates, a row a level, are written before they are used."""
+    """A row for each group (struct of lang and source, null as empty) of ``rows`` with the components VECTOR: means,
+    Cholesky factor and scale of its estimate.
+
+    Minimum covariance determinant with weights: from medians and median deviations, concentration steps take the share
+    COVERED of rows nearest to the last estimate and estimate means and covariances again, until determinants are steady.
+    Groups, languages and all rows are estimated side by side, and each step draws a group's estimate to its language's
+    and that to all rows', so that a group of a few rows is judged by what is known of its kind. The scale lets half of
+    a group's distances lie below the median of the chi-square law. Rows that fail the base rules teach nothing.
+
+    Levels are summed up before they are shuffled; a step's estimates, a row a level, are written before they are used."""
     # Written before it is filtered: a filter would be pushed down and repeat the statistics in its condition.
-    vectors = stash(rows.select(_group().alias("group"), "q_failed", *VECTOR))
-    levels = stash(_levels(vectors))
-    leveled = vectors.filter("NOT q_failed").select(F.explode(F.array(*map(_level, range(3)))).alias("used"), *VECTOR)
-    passing = stash(leveled.join(levels.select("used").distinct(), "used", "left_semi").withColumnRenamed("used", "group"))
-    middle = passing.groupBy("group").agg(F.count("*").alias("n_rows"), *[F.percentile_approx(c, 0.5, 10_000).alias(f"m_{c}") for c in VECTOR])
-    off = [F.percentile_approx(F.abs(F.col(c) - F.col(f"m_{c}")), 0.5, 10_000).alias(f"d_{c}") for c in VECTOR]
-    middle = stash(middle)
-    deviation = passing.join(middle, "group").groupBy("group").agg(*off)
-    start = middle.join(deviation, "group").withColumns(
-        {f"c_{b}_{a}": (F.col(f"d_{a}") * 1.4826) ** 2 if a == b else F.lit(0.0) for i, a in enumerate(VECTOR) for b in VECTOR[: i + 1]}
-    )
-    estimate = stash(_factored(start.drop(*[f"d_{c}" for c in VECTOR]), 1.0))
-    for _ in range(STEPS):
-        near = _distance(passing.join(estimate, "group")).select("group", "n_rows", "distance", *VECTOR)
-        edge = stash(near.groupBy("group").agg(F.percentile_approx("distance", COVERED, 10_000).alias("edge")))
-        inner = near.join(edge, "group").filter("distance <= edge")
-        moments = inner.groupBy("group").agg(
+    vectors = stash(rows.select(_group().alias("group"), "q_failed", "weight", *VECTOR))
+    passing = vectors.filter("NOT q_failed").select(F.explode(F.array(*map(_level, range(3)))).alias("at"), "weight", *VECTOR)
+    middle = stash(passing.groupBy("at").agg(F.count("*").alias("n_rows"), *[_quantile(c, 0.5).alias(f"m_{c}") for c in VECTOR]))
+    n_levels = middle.count()
+    near = lambda estimates: join_small(passing, estimates, "at", 400 * n_levels, ["weight", *VECTOR], "inner")
+
+    off = [_quantile(F.abs(F.col(c) - F.col(f"m_{c}")) * F.sqrt("weight"), 0.5).alias(f"d_{c}") for c in VECTOR]
+    spread = near(middle.drop("n_rows")).groupBy("at").agg(*off)
+    start = middle.join(spread, "at").select("at", "n_rows", *[f"m_{c}" for c in VECTOR], *[((F.col(f"d_{a}") * 1.4826) ** 2 if a == b else F.lit(0.0)).alias(f"c_{a}_{b}") for a, b in PAIRS])
+    estimate = stash(_factored(_shrunk(start)))
+    for _ in range(MOST_STEPS):
+        far = _distance(near(estimate)).select("at", "n_rows", "weight", "distance", *VECTOR)
+        edge = stash(far.groupBy("at").agg(_quantile("distance", COVERED).alias("edge")))
+        inner = join_small(far, edge, "at", 60 * n_levels, ["weight", *VECTOR], "inner").filter("distance <= edge")
+        sums = inner.groupBy("at").agg(
             F.first("n_rows").alias("n_rows"),
-            *[F.avg(c).alias(f"m_{c}") for c in VECTOR],
-            *[F.covar_pop(b, a).alias(f"c_{b}_{a}") for i, a in enumerate(VECTOR) for b in VECTOR[: i + 1]],
+            F.count("*").alias("n"),
+            F.sum("weight").alias("w"),
+            *[(F.sum(F.col("weight") * F.col(c)) / F.sum("weight")).alias(f"m_{c}") for c in VECTOR],
+            *[F.sum(F.col("weight") * F.col(a) * F.col(b)).alias(f"s_{a}_{b}") for a, b in PAIRS],
         )
-        estimate = stash(_factored(moments, consistency()))
-    return stash(levels.join(estimate.withColumnRenamed("group", "used"), "used").drop("used"))
+        moments = sums.select("at", "n_rows", *[f"m_{c}" for c in VECTOR], *[((F.col(f"s_{a}_{b}") - F.col("w") * F.col(f"m_{a}") * F.col(f"m_{b}")) / F.col("n")).alias(f"c_{a}_{b}") for a, b in PAIRS])
+        last, estimate = estimate, stash(_factored(_shrunk(moments)))
+        moved = estimate.join(last.select("at", F.col("log_det").alias("last")), "at").agg(F.max(F.abs(F.col("log_det") - F.col("last"))).alias("by")).first()
+        if moved["by"] is None or moved["by"] <= STEADY:
+            break
+    scale = _distance(near(estimate)).groupBy("at").agg(F.first("n_rows").alias("n_rows"), (_quantile("distance", 0.5) / MIDDLE).alias("scale"))
+    held = estimate.drop("n_rows", "log_det").join(_shrunk(scale), "at").filter("at.level = 2")
+    return stash(held.withColumn("group", F.struct("at.lang", "at.source")).drop("at"))
 
 
 def judge(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     """``rows`` with q_distance and q_kept: not failed, and within TOO_FAR of its group's estimate. Every passing row has
-    one."""
+    a distance."""
     held = estimates.withColumnRenamed("group", "_group")
-    judged = _distance(rows.withColumn("_group", _group()).join(held, "_group", "left"))
-    near = F.coalesce(F.col("distance") <= TOO_FAR, F.lit(False))
+    judged = _distance(join_small(rows.withColumn("_group", _group()), held, "_group", 400 * held.count(), ["weight", *VECTOR]))
+    far = F.col("distance") / F.greatest("scale", F.lit(1e-12))
+    near = F.coalesce(far <= TOO_FAR, F.lit(False))
     # One condition on both sides of the join, so that no part of it is pushed below the statistics.
     against = F.greatest(F.col("q_failed").cast("int"), (~near).cast("int"))
-    extra = [f"m_{a}" for a in VECTOR] + [f"z_{a}" for a in VECTOR] + [f"l_{a}_{b}" for i, a in enumerate(VECTOR) for b in VECTOR[: i + 1]]
-    return (
-        judged.withColumn("q_kept", against == 0)
-        .withColumnRenamed("distance", "q_distance")
-        .drop("_group", "n_rows", *extra)
-    )
+    extra = [f"m_{a}" for a in VECTOR] + [f"z_{a}" for a in VECTOR] + [f"l_{a}_{b}" for a, b in PAIRS]
+    return judged.withColumn("q_kept", against == 0).withColumn("q_distance", far).drop("_group", "n_rows", "scale", "distance", *extra)
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
-    """The kept rows of ``docs`` (with text, lang, source), with its columns. Texts aren't shuffled: only the estimates
-    come back to them."""
-    needed = docs.select("text", "lang", "source")
-    estimates = fit(statistics(needed))
+    """The kept rows of ``docs`` (with text, lang, source), with its columns. A null text fails, a null lang or source is a
+    name of its own, repeated rows are each judged, and no rows give none. Rows are written once with their statistics,
+    and texts aren't shuffled: only the estimates come back to them."""
     own = docs.select(F.struct(*docs.columns).alias("_row"), "text", "lang", "source")
-    return judge(statistics(own), estimates).filter("q_kept").select("_row.*")
+    rows = stash(statistics(own).drop("text"))
+    return judge(rows, fit(rows)).filter("q_kept").select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
