@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpline.jobs.tables import REQUESTS_SQL, UNITS_SQL, requests, table, units
-from kelpline.operators import evaluation, fusion, indexing, recall
+from kelpline.operators import evaluation, fusion, indexing, recall, retrieval
 from kelpline.operators.cleaning import active_units
 
 #: Signals of the test data; defaults of the library are the fixed rules of the knowledge base.
@@ -74,14 +74,12 @@ sb AS (SELECT *, list_position(s, list_max(s)) AS a0 FROM ss)
 SELECT query_id, unit_id, CASE WHEN a0 > 1 THEN '...' ELSE '' END || array_to_string(list_transform(t[a0:a0 + 39], lambda x: CASE WHEN list_contains(w, x) THEN '<mark>' || x || '</mark>' ELSE x END), ' ') || CASE WHEN a0 + 39 < len(t) THEN '...' ELSE '' END AS snippet FROM sb"""
 
 
-def _grams(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    active = active_units(units(spark, d)).select("id", "text")
-    grams = indexing.char_wb_ngrams(active)
-    return grams, indexing.tfidf_vocabulary(grams, active.count())
+def _active_texts(spark: SparkSession, d: str) -> DataFrame:
+    return active_units(units(spark, d)).select("id", "text")
 
 
 def q_ngram_vocabulary(spark: SparkSession, d: str) -> DataFrame:
-    return _grams(spark, d)[1].withColumn("idf", F.round("idf", 6))
+    return indexing.gram_vocabulary(_active_texts(spark, d)).withColumn("idf", F.round("idf", 6))
 
 
 _GRAMS = r"""
@@ -93,9 +91,17 @@ _VOCABULARY = _GRAMS.format("active") + """,
 vocab AS (SELECT gram, sum(tf)::BIGINT AS total, count(*) AS df, ln((1.0::DOUBLE + (SELECT count(*) FROM active)) / (1.0::DOUBLE + count(*))) + 1.0::DOUBLE AS idf FROM grams GROUP BY gram ORDER BY total DESC, gram LIMIT 1024)"""
 
 
+def _gram_index(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    active = _active_texts(spark, d)
+    vocabulary = indexing.gram_vocabulary(active)
+    return {"vocabulary": vocabulary, "vectors": indexing.gram_vectors(active, vocabulary)}
+
+
 def q_tfidf_norms(spark: SparkSession, d: str) -> DataFrame:
-    vectors = indexing.tfidf_vectors(*_grams(spark, d))
-    return vectors.groupBy("id").agg(F.count("*").alias("n_grams"), F.round(F.sum("weight"), 6).alias("sum_weight"), F.round(F.sum(F.col("weight") ** 2), 6).alias("norm"))
+    vectors = _gram_index(spark, d)["vectors"]
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    squares = F.transform("weight", lambda x: x * x)
+    return vectors.select("id", F.size("at").cast("long").alias("n_grams"), F.round(total("weight"), 6).alias("sum_weight"), F.round(total(squares), 6).alias("norm"))
 
 
 _VECTORS = """
@@ -104,9 +110,7 @@ vec AS (SELECT id, gram, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight F
 
 
 def q_tfidf_recall(spark: SparkSession, d: str) -> DataFrame:
-    grams, vocabulary = _grams(spark, d)
-    asked = indexing.char_wb_ngrams(requests(spark, d).select(F.col("query_id").alias("id"), "text"))
-    return recall.sparse_dot_recall(indexing.tfidf_vectors(asked, vocabulary).withColumnRenamed("id", "query_id"), indexing.tfidf_vectors(grams, vocabulary), k=20)
+    return retrieval.gram_recall(requests(spark, d), _gram_index(spark, d), 20)
 
 
 _ASKED = _GRAMS.format("(SELECT query_id AS id, text FROM requests)").replace("gw AS", "qw AS").replace("gp AS", "qp AS").replace("gn AS", "qn AS").replace("grams AS", "qgrams AS").replace("FROM gw", "FROM qw").replace("FROM gp", "FROM qp").replace("FROM gn", "FROM qn")
@@ -182,12 +186,33 @@ kw AS (SELECT DISTINCT keyword, [keyword] AS tags FROM sk),"""
 )
 
 
+def _index(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    return indexing.build_index(units(spark, d))
+
+
+def _queries(spark: SparkSession, d: str) -> DataFrame:
+    return requests(spark, d).withColumn("rewritten_queries", F.array("text"))
+
+
 def _hits(spark: SparkSession, d: str) -> DataFrame:
-    return fusion.all_hits(sparse=q_bm25_or(spark, d), metadata=q_metadata_recall(spark, d), safety=q_safety_recall(spark, d))
+    return retrieval.recall_hits(_queries(spark, d), units(spark, d), _index(spark, d), RULES, op="or")
+
+
+def q_rebuild_index(spark: SparkSession, d: str) -> DataFrame:
+    return indexing.index_sizes(_index(spark, d))
+
+
+def q_retrieve(spark: SparkSession, d: str) -> DataFrame:
+    """The requests with their analyses as separate tables, without a reply for every fourth."""
+    asked = requests(spark, d)
+    texts = asked.select("query_id", F.col("text").alias("patient_text"))
+    analyses = asked.select("query_id", "scenario_tags", "role_focus", "risk_signals", "contraindication_signals", F.when(F.col("query_id") % 2 == 0, F.array("text")).alias("rewritten_queries"))
+    found = retrieval.retrieve(texts, analyses, units(spark, d), _index(spark, d), _replies(spark, d), RULES, op="or")
+    return found.select("query_id", "bucket", "bucket_rank", "unit_id", "score", "source")
 
 
 _HITS = _bm25_sql("bm", "text", False) + "," + _METADATA + "," + _SAFETY + """,
-hits AS (SELECT query_id, unit_id, 'sparse' AS route, 1 AS ro, pos, score, 0.0::DOUBLE AS boost FROM bm UNION ALL SELECT query_id, unit_id, 'metadata', 2, pos, score, 0.0 FROM md UNION ALL SELECT query_id, unit_id, 'safety', 3, pos, score, boost FROM sa)"""
+hits AS (SELECT query_id, id AS unit_id, 'dense' AS route, 0 AS ro, pos, score, 0.0::DOUBLE AS boost FROM tfr UNION ALL SELECT query_id, unit_id, 'sparse', 1, pos, score, 0.0::DOUBLE FROM bm UNION ALL SELECT query_id, unit_id, 'metadata', 2, pos, score, 0.0 FROM md UNION ALL SELECT query_id, unit_id, 'safety', 3, pos, score, boost FROM sa)"""
 
 
 def q_fuse(spark: SparkSession, d: str) -> DataFrame:
@@ -295,7 +320,7 @@ _TFR = """
 qwv AS (SELECT id, gram, tf * idf AS w FROM qgrams JOIN vocab USING (gram)),
 qvec AS (SELECT id AS query_id, gram, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS q FROM qwv),
 tfs AS (SELECT query_id, id, round(sum(weight * q), 6) AS score FROM vec JOIN qvec USING (gram) GROUP BY ALL),
-tfr AS (SELECT query_id, id, score, pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS pos FROM tfs) WHERE pos <= 20)"""
+tfr AS (SELECT query_id, id, score, pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS pos FROM tfs) WHERE pos <= {0})"""
 
 
 def q_apply_ground_truth(spark: SparkSession, d: str) -> DataFrame:
@@ -323,11 +348,12 @@ QUERIES = {
     "ngram_vocabulary": q_ngram_vocabulary, "tfidf_norms": q_tfidf_norms, "tfidf_recall": q_tfidf_recall, "dense_recall": q_dense_recall, "normalize_vectors": q_normalize_vectors,
     "tag_search": q_tag_search, "metadata_recall": q_metadata_recall, "safety_recall": q_safety_recall, "fuse": q_fuse, "rerank": q_rerank, "rerank_requests": q_rerank_requests,
     "bundle": q_bundle, "route_debug": q_route_debug, "evaluate": q_evaluate, "evaluate_summary": q_evaluate_summary, "evaluate_by_scenario": q_evaluate_by_scenario,
+    "retrieve": q_retrieve, "rebuild_index": q_rebuild_index,
     "compare_targets": q_compare_targets, "discover_ground_truth": q_discover_ground_truth, "apply_ground_truth": q_apply_ground_truth, "prepare_queries": q_prepare_queries,
 }
-_TO_HITS = f"{BASE}, {_POSTINGS}, {_HITS}"
+_TO_TFR = f"{BASE}, {_VOCABULARY}, {_VECTORS}, {_ASKED}, {_TFR.format(20)}"
+_TO_HITS = f"{BASE}, {_VOCABULARY}, {_VECTORS}, {_ASKED}, {_TFR.format(50)}, {_POSTINGS}, {_HITS}"
 _TO_BUNDLE = f"{_TO_HITS}, {_FUSE}, {_RERANK}, {_BUNDLE}"
-_TO_TFR = f"{BASE}, {_VOCABULARY}, {_VECTORS}, {_ASKED}, {_TFR}"
 _TO_TRUTH = f"{_TO_TFR}, {_POSTINGS}, {_bm25_sql('bm', 'text', False)}, {_TRUTH}"
 ORACLES = {
     "document_frequencies": f"{BASE}, {_POSTINGS} SELECT token, df FROM dfs",
@@ -347,6 +373,9 @@ ORACLES = {
     "rerank": f"{_TO_HITS}, {_FUSE}, {_RERANK} SELECT * FROM ranked",
     "rerank_requests": f"{_TO_HITS}, {_FUSE} SELECT query_id, md5(substring(any_value(r.text), 1, 300)) AS query_md5, md5(string_agg(substring(u.text, 1, 200), '|' ORDER BY pos)) AS passages_md5 FROM fused JOIN units u ON u.id = unit_id JOIN requests r USING (query_id) WHERE pos <= 20 GROUP BY query_id",
     "bundle": f"{_TO_BUNDLE} SELECT query_id, bucket, bucket_rank, unit_id, score FROM bundle",
+    "retrieve": f"{_TO_BUNDLE} SELECT query_id, bucket, bucket_rank, unit_id, score, source FROM bundle",
+    "rebuild_index": f"""{BASE}, {_VOCABULARY}, {_VECTORS}, {_POSTINGS} SELECT 'vocabulary' AS part, count(*) AS n_rows FROM vocab UNION ALL SELECT 'vectors', count(DISTINCT id) FROM vec
+      UNION ALL SELECT 'postings', count(*) FROM posts UNION ALL SELECT 'tokens', count(*) FROM dfs UNION ALL SELECT 'units', n_units FROM stats""",
     "route_debug": f"{_TO_HITS} SELECT query_id, count(*) FILTER (WHERE route = 'dense') AS dense, count(*) FILTER (WHERE route = 'sparse') AS sparse, count(*) FILTER (WHERE route = 'metadata') AS metadata, count(*) FILTER (WHERE route = 'safety') AS safety FROM hits GROUP BY query_id",
     "evaluate": f"{_TO_BUNDLE}, {_EVAL} SELECT * FROM details",
     "evaluate_summary": f"{_TO_BUNDLE}, {_EVAL} SELECT * FROM summary",

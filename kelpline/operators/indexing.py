@@ -2,41 +2,157 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kelpline.functions.text import tokens
+from kelpline.operators.cleaning import active_units
 
 MAX_FEATURES = 1024
+#: Words whose grams a Python worker remembers.
+REMEMBERED = 200_000
 
 
-def char_wb_ngrams(units: DataFrame, low: int = 2, high: int = 4) -> DataFrame:
-    """id, gram, tf: n-grams within words padded by a space; a padded word of length L has L - n + 1 grams of n <= L."""
-    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: w != "")
-    padded = units.select("id", F.explode(words).alias("w")).groupBy("id", "w").agg(F.count("*").alias("n"))
-    padded = padded.select("id", "n", F.concat(F.lit(" "), "w", F.lit(" ")).alias("p"))
+def _words() -> Column:
+    return F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: w != "")
 
-    def of_size(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length("p") - n + 1, F.lit(1)))
-        return F.when(F.length("p") >= n, F.transform(starts, lambda i: F.substring(F.col("p"), i, F.lit(n)))).otherwise(F.expr("cast(array() AS array<string>)"))
 
-    grams = F.flatten(F.array(*[of_size(n) for n in range(low, high + 1)]))
-    return padded.select("id", "n", F.explode(grams).alias("gram")).groupBy("id", "gram").agg(F.sum("n").alias("tf"))
+def _grams_of(low: int, high: int) -> Column:
+    """The n-grams of the word ``w``, padded by a space: a padded word of length L has L - n + 1 grams of n <= L."""
+    padded = F.concat(F.lit(" "), "w", F.lit(" "))
 
+    def of_size(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1)))
+        return F.when(F.length(padded) >= n, F.transform(starts, lambda i: F.substring(padded, i, F.lit(n)))).otherwise(F.expr("cast(array() AS array<string>)"))
 
-def tfidf_vocabulary(grams: DataFrame, n_units: int, max_features: int = MAX_FEATURES) -> DataFrame:
-    """gram, total, df, idf of the ``max_features`` most frequent grams, ties by gram."""
-    counted = grams.groupBy("gram").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
-    top = counted.orderBy(F.desc("total"), "gram").limit(max_features)
-    return top.withColumn("idf", F.log((1.0 + n_units) / (1.0 + F.col("df"))) + 1.0)
+    return F.flatten(F.array(*[of_size(n) for n in range(low, high + 1)]))
 
 
-def tfidf_vectors(grams: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """id, gram, weight: tf * idf at unit length. The vocabulary has a fixed size and is broadcast."""
-    weighted = grams.join(F.broadcast(vocabulary.select("gram", "idf")), "gram").withColumn("w", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("id")))
-    return weighted.select("id", "gram", (F.col("w") / norm).alias("weight"))
+def char_wb_ngrams(units: DataFrame, low: int = 2, high: int = 4) -> DataFrame:
+    """id, gram, tf: all n-grams within the words of each unit (id, text)."""
+    words = units.select("id", F.explode(_words()).alias("w")).groupBy("id", "w").agg(F.count("*").alias("n"))
+    return words.select("id", "n", F.explode(_grams_of(low, high)).alias("gram")).groupBy("id", "gram").agg(F.sum("n").alias("tf"))
+
+
+def gram_vocabulary(units: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
+    """gram, total, df, idf of the ``max_features`` grams that are most frequent in ``units`` (id, text), ties by gram.
+
+    Words are counted over all units before they are cut into grams, so that a gram is made once for each distinct word;
+    units are read again only for the df of the grams that stay."""
+    counted = units.select(F.explode(_words()).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    totals = counted.select("n", F.explode(_grams_of(2, 4)).alias("gram")).groupBy("gram").agg(F.sum("n").alias("total"))
+    top = totals.orderBy(F.desc("total"), "gram").limit(max_features).collect()  # at most max_features, as what follows
+    counts = gram_counts(units, [r["gram"] for r in top]).counts
+    df = {r["at"]: r["df"] for r in counts.select(F.explode("at").alias("at")).groupBy("at").agg(F.count("*").alias("df")).collect()}
+    n_units = units.count()
+    rows = [(r["gram"], r["total"], df[i], math.log((1.0 + n_units) / (1.0 + df[i])) + 1.0) for i, r in enumerate(top)]
+    return units.sparkSession.createDataFrame(rows, "gram string, total long, df long, idf double")
+
+
+@dataclass
+class Counts:
+    """counts: id, at (the places of a unit's grams in ``names``) and tf, of units that have any."""
+
+    names: list[str]
+    counts: DataFrame
+
+
+def _count_rows(batches: Iterator[pa.RecordBatch], at_of: dict[str, int], low: int, high: int) -> Iterator[pa.RecordBatch]:
+    known: dict[str, np.ndarray] = {}
+    for batch in batches:
+        ids, at, tf = [], [], []
+        for row, words in enumerate(batch.column("words").to_pylist()):
+            found = []
+            for word in words:
+                places = known.get(word)
+                if places is None:
+                    padded = f" {word} "
+                    grams = [padded[i : i + n] for n in range(low, high + 1) for i in range(len(padded) - n + 1)]
+                    places = np.array([at_of[g] for g in grams if g in at_of], np.int32)
+                    if len(known) >= REMEMBERED:
+                        known.clear()
+                    known[word] = places
+                found.append(places)
+            if found and len(own := np.concatenate(found)):
+                places, counts = np.unique(own, return_counts=True)
+                ids.append(row)
+                at.append(places)
+                tf.append(counts)
+        ends = pa.array(np.cumsum([0, *map(len, at)]), pa.int32())
+        flat = lambda parts, t: pa.ListArray.from_arrays(ends, pa.array(np.concatenate(parts) if parts else np.zeros(0), t))
+        yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(ids, pa.int64())), flat(at, pa.int32()), flat(tf, pa.int64())], ["id", "at", "tf"])
+
+
+def gram_counts(units: DataFrame, names: Sequence[str]) -> Counts:
+    """How often each unit (id, text) has each of the grams ``names``, a list of bounded size. Nothing is shuffled."""
+    at_of = units.sparkSession.sparkContext.broadcast({g: i for i, g in enumerate(names)})
+    id_type = units.schema["id"].dataType.simpleString()
+    rows = units.select("id", _words().alias("words"))
+    return Counts(list(names), rows.mapInArrow(lambda b: _count_rows(b, at_of.value, 2, 4), f"id {id_type}, at array<int>, tf array<bigint>"))
+
+
+def gram_vectors(units: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """id, at, weight: tf * idf at unit length as two arrays, at being places in the vocabulary (gram, idf) in the order of
+    grams; of units that have any gram."""
+    rows = sorted((r["gram"], r["idf"]) for r in vocabulary.select("gram", "idf").collect())  # at most max_features
+    idf = F.lit([x for _, x in rows]) if rows else F.expr("cast(array() AS array<double>)")
+    counts = gram_counts(units, [g for g, _ in rows]).counts
+    weighed = counts.withColumn("w", F.zip_with("at", "tf", lambda at, tf: tf * F.get(idf, at)))
+    norm = F.sqrt(F.aggregate("w", F.lit(0.0), lambda a, x: a + x * x))
+    return weighed.withColumn("norm", norm).select("id", "at", F.transform("w", lambda x: x / F.col("norm")).alias("weight"))
+
+
+def build_index(units: DataFrame, max_features: int = MAX_FEATURES) -> dict[str, DataFrame]:
+    """The tables of an index over the active ones of ``units``: vocabulary, vectors, postings and stats."""
+    active = active_units(units)
+    vocabulary = gram_vocabulary(active, max_features)
+    return {"vocabulary": vocabulary, "vectors": gram_vectors(active, vocabulary), "postings": text_postings(active), "stats": text_stats(active)}
+
+
+def rebuild_index(units: DataFrame, path: str, buckets: int = 64) -> DataFrame:
+    """Write the index tables below ``path``, postings by ``buckets`` of tokens, and return their sizes (part, n_rows)."""
+    spark = units.sparkSession
+    built = build_index(units)
+    built["vocabulary"].write.mode("overwrite").parquet(f"{path}/vocabulary")
+    held = spark.read.parquet(f"{path}/vocabulary")
+    gram_vectors(active_units(units), held).write.mode("overwrite").parquet(f"{path}/vectors")
+    bucketed = built["postings"].withColumn("bucket", bucket_of(F.col("token"), buckets))
+    bucketed.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    built["stats"].write.mode("overwrite").parquet(f"{path}/stats")
+    return index_sizes({name: spark.read.parquet(f"{path}/{name}") for name in built})
+
+
+def bucket_of(token: Column, buckets: int) -> Column:
+    """Readers of some tokens filter postings by their buckets, which prunes the files that are read."""
+    return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
+
+
+def add_to_index(units: DataFrame, path: str, buckets: int = 64) -> None:
+    """Append vectors and postings of new active ``units`` to an index, with the vocabulary that it has. The stats become
+    those of all units; document frequencies are counted from postings."""
+    spark = units.sparkSession
+    active, vocabulary = active_units(units), spark.read.parquet(f"{path}/vocabulary")
+    gram_vectors(active, vocabulary).write.mode("append").parquet(f"{path}/vectors")
+    text_postings(active).withColumn("bucket", bucket_of(F.col("token"), buckets)).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{path}/postings")
+    old, new = spark.read.parquet(f"{path}/stats").first(), text_stats(active).first()
+    n = old["n_units"] + new["n_units"]
+    total = sum(x["n_units"] * (x["avg_len"] or 0.0) for x in (old, new))
+    spark.createDataFrame([(n, total / n if n else None)], "n_units long, avg_len double").write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def index_sizes(index: dict[str, DataFrame]) -> DataFrame:
+    """part, n_rows of each table of an index, and the number of distinct tokens."""
+    out = [index[name].agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("part"), "n_rows") for name in ("vocabulary", "vectors", "postings")]
+    out.append(document_frequencies(index["postings"]).agg(F.count("*").alias("n_rows")).select(F.lit("tokens").alias("part"), "n_rows"))
+    out.append(index["stats"].select(F.lit("units").alias("part"), F.col("n_units").alias("n_rows")))
+    return reduce(DataFrame.unionByName, out)
 
 
 def normalize_vectors(vectors: DataFrame, column: str = "embedding") -> DataFrame:

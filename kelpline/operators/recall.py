@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -19,12 +20,23 @@ QUERY_BLOCK, ROW_BLOCK = 4_096, 2_048
 K1, B = 1.2, 0.75
 
 
+def _pairs(requests: DataFrame, name: str) -> Column:
+    """The entries of the map ``name`` as "key=value, ...", by key; null where there are none or no such column."""
+    if name not in requests.columns:
+        return F.lit(None).cast("string")
+    entries = F.array_sort(F.map_entries(name))
+    text = F.array_join(F.transform(entries, lambda e: F.concat_ws("=", e["key"], e["value"])), ", ")
+    return F.when(F.size(name) > 0, text)
+
+
 def analysis_requests(requests: DataFrame) -> DataFrame:
-    """query_id and prompt."""
+    """query_id and prompt. The lines of the maps risk_assessment and dyadic_analysis are there where these aren't empty."""
     lines = F.concat_ws(
         "\n",
         F.concat(F.lit("Patient: "), F.coalesce("patient_text", F.lit(""))),
         F.concat(F.lit("Family: "), F.coalesce("family_text", F.lit(""))),
+        F.concat(F.lit("Risk: "), _pairs(requests, "risk_assessment")),
+        F.concat(F.lit("Dyadic: "), _pairs(requests, "dyadic_analysis")),
     )
     return requests.select("query_id", lines.alias("prompt"))
 
@@ -43,38 +55,66 @@ def rewrites(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.posexplode("rewritten_queries").alias("rewrite_no", "text"))
 
 
+def _top(scores: np.ndarray, units: pa.Array, ids: pa.Array, numbers: np.ndarray, k: int, least: float) -> pa.RecordBatch:
+    """The hits of a block of units (columns of ``scores``) that may be among a query's ``k`` best."""
+    taken = min(k, scores.shape[1])
+    edge = np.partition(scores, scores.shape[1] - taken, axis=1)[:, scores.shape[1] - taken]
+    q, u = np.nonzero((scores >= edge[:, None] - 1e-6) & (scores > least))
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(q)), pa.array(numbers[q]), units.take(pa.array(u)), pa.array(scores[q, u])], ["query_id", "rewrite_no", "unit_id", "score"])
+
+
 def _best(batches: Iterator[pa.RecordBatch], matrix: np.ndarray, ids: pa.Array, numbers: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
     """The best ``k`` rows of each block for each query."""
     for batch in batches:
         for start in range(0, batch.num_rows, ROW_BLOCK):
             part = batch.slice(start, ROW_BLOCK)
             vectors = part.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
-            scores = matrix @ vectors.T
-            taken = min(k, part.num_rows)
-            edge = np.partition(scores, part.num_rows - taken, axis=1)[:, part.num_rows - taken]
-            q, u = np.nonzero(scores >= edge[:, None] - 1e-6)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), pa.array(numbers[q]), part.column("unit_id").take(pa.array(u)), pa.array(scores[q, u])], ["query_id", "rewrite_no", "unit_id", "score"])
+            yield _top(matrix @ vectors.T, part.column("unit_id"), ids, numbers, k, -np.inf)
+
+
+def _scattered(at: pa.ListArray, weight: pa.ListArray, width: int) -> np.ndarray:
+    """Rows of places and weights as a matrix."""
+    out = np.zeros((len(at), width))
+    out[np.repeat(np.arange(len(at)), np.diff(at.offsets.to_numpy())), at.flatten().to_numpy()] = weight.flatten().to_numpy()
+    return out
+
+
+def _best_sparse(batches: Iterator[pa.RecordBatch], matrix: np.ndarray, ids: pa.Array, numbers: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROW_BLOCK):
+            part = batch.slice(start, ROW_BLOCK)
+            vectors = _scattered(part.column("at"), part.column("weight"), matrix.shape[1])
+            yield _top(matrix @ vectors.T, part.column("unit_id"), ids, numbers, k, 0.0)
+
+
+def _block_recall(queries: DataFrame, k: int, schema: str, score: Callable[[Broadcast], DataFrame], matrix_of: Callable[[pa.Table], np.ndarray]) -> DataFrame:
+    """query_id, unit_id, score, pos of all ``queries`` (query_id, rewrite_no and their vectors), block by block."""
+    spark = queries.sparkSession
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    found = spark.createDataFrame([], schema)
+    own = queries.withColumns({"rewrite_no": F.col("rewrite_no").cast("int"), "_block": F.pmod(F.xxhash64("query_id", "rewrite_no"), F.lit(blocks))})
+    for block in range(blocks):
+        part = own.filter(F.col("_block") == block).orderBy("query_id", "rewrite_no").toArrow().combine_chunks()
+        if part.num_rows:
+            shared = spark.sparkContext.broadcast((matrix_of(part), part.column("query_id").combine_chunks(), part.column("rewrite_no").to_numpy()))
+            found = found.unionByName(score(shared))
+    found = found.withColumn("score", F.round("score", 6))
+    top = W.partitionBy("query_id", "rewrite_no").orderBy(F.desc("score"), "unit_id")
+    return first_hits(found.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= k))
 
 
 def dense_recall(queries: DataFrame, vectors: DataFrame, k: int = 50) -> DataFrame:
     """query_id, unit_id, score, pos: the exact ``k`` best inner products of each rewrite (query_id, rewrite_no,
     embedding) over ``vectors`` (unit_id, embedding), scores to 6 places and ties by unit; of a unit that several rewrites
-    find, the first one's hit. Queries are a stated set that is broadcast in blocks of QUERY_BLOCK vectors; each task keeps
-    the best of its rows, and a partial top-k comes before the shuffle by query."""
-    spark = vectors.sparkSession
+    find, the first one's hit. Queries are a stated set that is broadcast in blocks of about QUERY_BLOCK vectors, of which
+    the driver gets one at a time; each task keeps the best of its rows, and a partial top-k comes before the shuffle by
+    query. Every block reads the vectors once."""
     rows = vectors.filter("embedding IS NOT NULL").select("unit_id", "embedding")
     unit, query = vectors.schema["unit_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
     schema = f"query_id {query}, rewrite_no int, unit_id {unit}, score double"
-    table = queries.select("query_id", F.col("rewrite_no").cast("int").alias("rewrite_no"), "embedding").orderBy("query_id", "rewrite_no").toArrow()
-    found = spark.createDataFrame([], schema)
-    for start in range(0, table.num_rows, QUERY_BLOCK):
-        part = table.slice(start, QUERY_BLOCK).combine_chunks()
-        flat = part.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        block = spark.sparkContext.broadcast((flat.reshape(part.num_rows, -1), part.column("query_id").combine_chunks(), part.column("rewrite_no").to_numpy()))
-        found = found.unionByName(rows.mapInArrow(lambda b, block=block: _best(b, *block.value, k), schema))
-    found = found.withColumn("score", F.round("score", 6))
-    top = W.partitionBy("query_id", "rewrite_no").orderBy(F.desc("score"), "unit_id")
-    return first_hits(found.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= k))
+    flat = lambda part: part.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+    asked = queries.filter("embedding IS NOT NULL").select("query_id", "rewrite_no", "embedding")
+    return _block_recall(asked, k, schema, lambda block: rows.mapInArrow(lambda b: _best(b, *block.value, k), schema), flat)
 
 
 def first_hits(hits: DataFrame) -> DataFrame:
@@ -85,12 +125,15 @@ def first_hits(hits: DataFrame) -> DataFrame:
     return kept.select("query_id", "unit_id", "score", place.alias("pos"))
 
 
-def sparse_dot_recall(query_vectors: DataFrame, unit_vectors: DataFrame, k: int = 50) -> DataFrame:
-    """As dense_recall over (query_id, gram, weight) and (id, gram, weight): units that share no gram aren't returned."""
-    q = query_vectors.select("query_id", "gram", F.col("weight").alias("_q"))
-    scored = unit_vectors.join(q, "gram").groupBy("query_id", F.col("id").alias("unit_id")).agg(F.round(F.sum(F.col("weight") * F.col("_q")), 6).alias("score"))
-    top = W.partitionBy("query_id").orderBy(F.desc("score"), "unit_id")
-    return scored.withColumn("pos", F.row_number().over(top)).filter(F.col("pos") <= k)
+def sparse_dot_recall(query_vectors: DataFrame, unit_vectors: DataFrame, width: int, k: int = 50) -> DataFrame:
+    """As dense_recall over (query_id, rewrite_no, at, weight) and (id, at, weight), places below ``width`` and weights in two
+    arrays: units that share no place aren't returned. Rows are laid out in blocks where they are scored."""
+    rows = unit_vectors.select(F.col("id").alias("unit_id"), "at", "weight")
+    unit, query = rows.schema["unit_id"].dataType.simpleString(), query_vectors.schema["query_id"].dataType.simpleString()
+    schema = f"query_id {query}, rewrite_no int, unit_id {unit}, score double"
+    flat = lambda part: _scattered(part.column("at").combine_chunks(), part.column("weight").combine_chunks(), width)
+    asked = query_vectors.select("query_id", "rewrite_no", "at", "weight")
+    return _block_recall(asked, k, schema, lambda block: rows.mapInArrow(lambda b: _best_sparse(b, *block.value, k), schema), flat)
 
 
 def bm25_recall(queries: DataFrame, postings: DataFrame, stats: DataFrame, k: int = 30, op: str = "and") -> DataFrame:
