@@ -15,18 +15,21 @@ HEAD = 48
 RANGE_ROWS, SAMPLED, MOST_RANGES = 200_000, 12, 16_384
 
 
-def _digested(docs: DataFrame) -> DataFrame:
-    """Rows with the normalised text and the sort key; equal texts have equal keys. The tie spreads equal keys."""
-    norm = docs.select("doc_id", F.length(text_of()).alias("n_chars"), without_spaces(text_of()).alias("norm"))
+def _keyed(docs: DataFrame) -> DataFrame:
+    """id, n_chars, normalised text, its digest and sort key, of the rows of ``docs`` (doc_id, text); equal texts have equal
+    keys. The tie spreads equal keys."""
+    norm = docs.select(F.col("doc_id").alias("id"), F.length(text_of()).alias("n_chars"), without_spaces(text_of()).alias("norm"))
     sha = norm.withColumn("sha", F.sha2("norm", 256))
-    return sha.withColumn("sort_key", F.concat(F.substring("norm", 1, HEAD), F.lit("\x00"), "sha")).withColumn(
-        "tied_key", F.concat("sort_key", F.lpad(F.hex(F.xxhash64("doc_id", "n_chars")), 16, "0"))
-    )
+    return _with_tie(sha.withColumn("sort_key", F.concat(F.substring("norm", 1, HEAD), F.lit("\x00"), "sha")))
+
+
+def _with_tie(keyed: DataFrame) -> DataFrame:
+    return keyed.withColumn("tied_key", F.concat("sort_key", F.lpad(F.hex(F.xxhash64("id", "n_chars")), 16, "0")))
 
 
 def _splitters(docs: DataFrame, rows: int, ranges: int) -> list[str]:
-    sampled = docs.sample(fraction=min(1.0, SAMPLED * ranges / max(1, rows)), seed=7)
-    keys = sorted(x["tied_key"].encode() for x in _digested(sampled).select("tied_key").collect())
+    sampled = docs.select("doc_id", "text").sample(fraction=min(1.0, SAMPLED * ranges / max(1, rows)), seed=7)
+    keys = sorted(x["tied_key"].encode() for x in _keyed(sampled).select("tied_key").collect())
     return sorted({keys[len(keys) * k // ranges].decode() for k in range(1, ranges)}, key=str.encode) if keys else []
 
 
@@ -48,6 +51,31 @@ def _range_of(key: Column, splitters: list[str]) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(len(splitters).bit_length() + 1)), start, step)["low"]
 
 
+def _sorted_runs(keyed: DataFrame, docs: DataFrame, *kept: str) -> DataFrame:
+    """The rows of ``keyed`` (n_chars, sha, sort_key, tied_key and the columns ``kept``, with the normalised text as norm or
+    the row that has it), sorted within ranges of content: range, place, run (of equal texts in the range, the one that
+    stays first), first_of_run, and at the range's first and last row the normalised text as edge. ``docs`` are the rows
+    that splitters are sampled from."""
+    spark = docs.sparkSession
+    rows = docs.count()
+    ranges = min(MOST_RANGES, max(4 * partitions(spark), -(-rows // RANGE_ROWS)))
+    dealt = keyed.withColumn("range", _range_of(F.col("tied_key"), _splitters(docs, rows, ranges))).drop("tied_key").repartition(partitions(spark), "range")
+    dealt = dealt if "norm" in dealt.columns else dealt.withColumn("norm", without_spaces(text_of("row.text")))
+    in_order = W.partitionBy("range").orderBy("sort_key", "norm", F.desc("n_chars"), F.asc_nulls_last("id"))
+    first, last = F.lag("sort_key").over(in_order).isNull(), F.lead("sort_key").over(in_order).isNull()
+    new = first | (F.lag("norm").over(in_order) != F.col("norm"))
+    return (
+        dealt.withColumns({"new": new, "end": first | last, "place": F.row_number().over(in_order)})
+        .withColumn("run", F.sum(F.col("new").cast("long")).over(in_order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+        .select(*kept, "id", "n_chars", "sha", "range", "place", "run", F.col("new").alias("first_of_run"), F.when(F.col("end"), F.col("norm")).alias("edge"))
+    )
+
+
+def _best() -> Column:
+    """The order in which rows of a group stay."""
+    return F.struct((-F.col("n_chars")).alias("fewer"), F.col("id").isNull().alias("no_id"), "id", "range", "place")
+
+
 def content_sort(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -58,49 +86,35 @@ def content_sort(docs: DataFrame) -> DataFrame:
     neighbour. A large group of copies is cut into several ranges by a tie in the key: its runs touch the edges of
     their ranges and are joined there, again by full comparison. Texts are shuffled once.
     """
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    rows = docs.count()
-    ranges = min(MOST_RANGES, max(4 * partitions(spark), -(-rows // RANGE_ROWS)))
-    split = _digested(docs).withColumn("range", _range_of(F.col("tied_key"), _splitters(docs, rows, ranges)))
-    in_order = W.partitionBy("range").orderBy("sort_key", "norm", F.desc("n_chars"), F.asc_nulls_last("doc_id"))
-    first, last = F.lag("sort_key").over(in_order).isNull(), F.lead("sort_key").over(in_order).isNull()
-    slim = stash(
-        split.drop("tied_key")
-        .repartition(partitions(spark), "range")
-        .withColumn("new", (first | (F.lag("norm").over(in_order) != F.col("norm"))).cast("long"))
-        .select(
-            "doc_id",
-            "n_chars",
-            "sha",
-            "range",
-            F.row_number().over(in_order).alias("place"),
-            F.sum("new").over(in_order.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("run"),
-            F.when(first | last, F.col("norm")).alias("edge"),
-        )
-    )
-    best = F.struct((-F.col("n_chars")).alias("fewer"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "range", "place")
-    runs = slim.groupBy("range", "run").agg(F.min(best).alias("best"), F.count("*").alias("n"), F.max("edge").alias("edge"))
+    slim = stash(_sorted_runs(_keyed(docs), docs).drop("first_of_run"))
+    runs = slim.groupBy("range", "run").agg(F.min(_best()).alias("best"), F.count("*").alias("n"), F.max("edge").alias("edge"))
     runs = stash(runs)
-    # A run at an edge may go on in the next range. There are two such runs in a range at most.
-    joined = runs.filter("edge IS NOT NULL").groupBy("edge").agg(F.min("best").alias("all_best"), F.sum("n").alias("all_n"))
-    runs = runs.join(joined, "edge", "left").select(
-        "range", "run", F.coalesce("all_best", "best").alias("best"), F.coalesce("all_n", "n").alias("group_size")
-    )
+    # A run at an edge may go on in the next range. There are two such runs in a range at most; the others are whole.
+    joined = runs.filter("edge IS NOT NULL").groupBy("edge").agg(F.min("best").alias("best"), F.sum("n").alias("group_size"))
+    whole = runs.filter("edge IS NULL").select("range", "run", "best", F.col("n").alias("group_size"))
+    at_edges = runs.filter("edge IS NOT NULL").select("range", "run", "edge").join(joined, "edge").select("range", "run", "best", "group_size")
     kept = (F.col("best.range") == F.col("range")) & (F.col("best.place") == F.col("place"))
-    return slim.join(runs, ["range", "run"]).select(
-        "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", kept.alias("kept"), F.col("sha").alias("text_sha256")
+    return slim.join(whole.unionByName(at_edges), ["range", "run"]).select(
+        F.col("id").alias("doc_id"), F.col("best.id").alias("keep_id"), "group_size", kept.alias("kept"), F.col("sha").alias("text_sha256")
     )
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (with doc_id, text) that stay, with its columns. Of rows that repeat an id and a text, the one
-    with the most code points stays."""
-    stay = content_sort(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    keyed = docs.withColumn("_own_sha", F.sha2(without_spaces(text_of()), 256))
-    found = keyed.join(stay, (F.col("_own_sha") == F.col("_sha")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    again = W.partitionBy("_sha", "_id").orderBy(F.desc(F.length(text_of())))
-    return found.withColumn("_again", F.row_number().over(again)).filter("_again = 1").select(*docs.columns)
+    """The rows of ``docs`` (with doc_id, text) that stay, with its columns; of rows that repeat an id and a text, one. The
+    first row of each run is the best of its range; only those of the two runs at a range's edges are compared with other
+    ranges'. Texts are shuffled once."""
+    # Whole rows are shuffled in place of the normalised text, which is made again from them.
+    norm = without_spaces(text_of())
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.length(text_of()).alias("n_chars"), norm.substr(1, HEAD).alias("head"), F.sha2(norm, 256).alias("sha"))
+    keyed = _with_tie(rows.withColumn("sort_key", F.concat("head", F.lit("\x00"), "sha")).drop("head"))
+    ahead = _sorted_runs(keyed, docs, "row").filter("first_of_run OR edge IS NOT NULL")
+    ahead = stash(ahead.withColumn("at_edge", F.col("edge").isNotNull()).drop("edge"))
+    heads, edges = ahead.filter("first_of_run"), ahead.filter("at_edge").select("range", "run").distinct()
+    inner = heads.join(F.broadcast(edges), ["range", "run"], "left_anti")  # two runs a range at most
+    outer = heads.join(F.broadcast(edges), ["range", "run"], "left_semi")
+    best = outer.groupBy(without_spaces(text_of("row.text")).alias("norm")).agg(F.min(_best()).alias("best"))
+    stay = best.select(F.col("best.range").alias("range"), F.col("best.place").alias("place"))
+    return inner.select("row.*").unionByName(outer.join(stay, ["range", "place"]).select("row.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
