@@ -21,18 +21,16 @@ from .words import Bits, hashes_of, in_slices, sequence_key, shingles, words_in
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 75, 100
 #: At most this many tokens are known to be frequent: those with at least 1 / FREQUENT of all tokens.
 FREQUENT = 1 << 20
-#: The most shared prefix tokens that a set may ask for, and what verifying a candidate costs against reading a token.
-MOST_MATCHES, VERIFY_COST = 4, 50.0
+#: The most shared prefix tokens that a set may ask for, and what verifying the sets that share a token costs against
+#: pairing it with them.
+MOST_MATCHES, VERIFY_COST = 4, 8.0
 #: Rows of a frequent token that meet in one group; a more frequent one is dealt to several.
 GROUP_ROWS = 4_096
+#: Tokens ahead of a posting that it carries.
+AHEAD = 6
 #: Shared prefix tokens from which a group's first set is compared at once. This only saves work: all other candidates
 #: between components are compared afterwards.
 EARLY_MATCHES = 3
-#: Groups of this many sets have further rounds of early comparisons, each with the first set that isn't yet in the
-#: component of the group's least.
-CROWD, ROUNDS = 64, 3
-#: The most matches asked of a pair whose sizes are known.
-PAIR_MATCHES = 12
 
 
 @dataclass
@@ -55,22 +53,16 @@ def least_overlap(n: int) -> int:
     return -(-n * NUMERATOR // DENOMINATOR)
 
 
-def prefix(tokens: np.ndarray, order: Order) -> tuple[np.ndarray, np.ndarray, int]:
-    """The prefix of a sorted token set, the known counts of its tokens and how many of them a partner must share.
+def prefix(tokens: np.ndarray, order: Order) -> tuple[np.ndarray, np.ndarray]:
+    """The longest prefix that a sorted token set may need, in the global order, and the known counts of its tokens.
 
-    With m matches asked for, the prefix has n - least_overlap + m tokens: two linked sets share m of the first so many
-    if both ask for m or more. A longer prefix reads more postings, and in return fewer candidates reach m matches; the
-    m with the least estimated cost is taken, postings * (1 + VERIFY_COST / m)."""
+    With m matches asked for, a set's prefix has n - least_overlap + m tokens: two linked sets share m of the first so
+    many if both ask for m or more. How many a set asks for is decided when the tokens' counts are known (``_asking``)."""
     counts = order.count_of(tokens)
-    at = np.argsort(counts, kind="stable")  # tokens are sorted
     n = len(tokens)
     must = least_overlap(n)
-    most = min(MOST_MATCHES, must)
-    postings = np.cumsum(counts[at])
-    base = n - must
-    best = min(range(1, most + 1), key=lambda m: (postings[base + m - 1] * (1 + VERIFY_COST / m), m))
-    taken = at[: base + best]
-    return tokens[taken], counts[taken], best
+    taken = np.argsort(counts, kind="stable")[: n - must + min(MOST_MATCHES, must)]  # tokens are sorted
+    return tokens[taken], counts[taken]
 
 
 PROFILE = "doc_id long, key binary, n_shingles long, token long, n long"
@@ -97,8 +89,8 @@ def _profile(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([none(m, pa.int64()), none(m, pa.binary()), none(m, pa.int64()), pa.array(tokens[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], schema=_PROFILE)
 
 
-#: facts is the set's size * 2 ** 28 + the token's place in its prefix * 16 + matches asked for; the part is 0 but for
-#: tokens dealt to several groups.
+#: facts is the set's size * 2 ** 24 + the token's place in its prefix; the part is 0 but for tokens dealt to several
+#: groups.
 PREFIX = "token long, part int, doc_id long, facts long"
 
 
@@ -125,11 +117,11 @@ def _prefix_rows(batches: Iterable[pa.RecordBatch], order: Order) -> Iterator[pa
                 continue
             seen[key] = doc_id
             tokens = shingles(hashes)
-            kept, counts, matches = prefix(tokens, order)
+            kept, counts = prefix(tokens, order)
             parts = counts // GROUP_ROWS
             own = int.from_bytes(key[:4], "little")
             part = np.where(parts > 1, 1 + own % np.maximum(parts, 1), 0)
-            out.append((kept.view(np.int64), part.astype(np.int32), np.full(len(kept), doc_id, np.int64), (len(tokens) << 28) + (np.minimum(np.arange(len(kept)), (1 << 24) - 1) << 4) + matches))
+            out.append((kept.view(np.int64), part.astype(np.int32), np.full(len(kept), doc_id, np.int64), (len(tokens) << 24) + np.arange(len(kept))))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["token", "part", "doc_id", "facts"])
 
@@ -179,7 +171,7 @@ def frequent_tokens(counted: DataFrame, n_tokens: int) -> Order:
 
 
 def link_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text).
+    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text); other columns are ignored.
 
     Words are runs of characters other than space and U+0009 to U+000D, A to Z in lower case. A row's set is its distinct
     shingles of SHINGLE words; a shorter text is one shingle; a text without words, or null, has an empty set and links
@@ -190,7 +182,8 @@ def link_components(docs: DataFrame) -> DataFrame:
     Copies share a class before anything is compared. Each class sends its prefix to groups by token. In a group the
     first set is compared with the others first, which joins most near copies into components; then only pairs of
     different components that share enough prefix tokens are compared. So a large group of near copies costs its size
-    rather than its square, and no link between components is left out.
+    rather than its square, and no link between components is left out. Sets are compared whole, by 64-bit hashes of
+    their shingles.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     told = stash(rows.mapInArrow(_profile, PROFILE))
@@ -212,23 +205,14 @@ def link_components(docs: DataFrame) -> DataFrame:
     group = W.partitionBy("token", "part")
     met = (
         emitted.repartition(partitions(docs.sparkSession), "token", "part")
-        .withColumns({"low": F.min("doc_id").over(group), "high": F.max("doc_id").over(group)})
+        .withColumns({"low": F.min("doc_id").over(group), "high": F.max("doc_id").over(group), "n": F.count("*").over(group)})
         .filter("low < high OR part > 0")
     )
-    postings = stash(met.select("token", "part", F.col("doc_id").alias("id"), "facts"))
+    postings = stash(_asking(met.select("token", "part", F.col("doc_id").alias("id"), "facts", "n")))
 
     early = stash(_early_pairs(postings))
     links = stash(verified(early, named))
     joined = components(links).select(F.col("node").alias("id"), "component")
-    crowds = W.partitionBy("token", "part")
-    crowded = stash(postings.withColumn("n", F.count("*").over(crowds)).filter(F.col("n") >= CROWD).drop("n"))
-    for _ in range(ROUNDS):
-        again = stash(_crowd_pairs(crowded, joined).join(early, ["a", "b"], "left_anti"))
-        if again.isEmpty():
-            break
-        early = early.unionByName(again)
-        links = links.unionByName(stash(verified(again, named)))
-        joined = components(links).select(F.col("node").alias("id"), "component")
     late = _late_pairs(postings, joined).join(early, ["a", "b"], "left_anti")
     links = links.unionByName(verified(late, named))
     found = components(links).select(F.col("node").alias("class_id"), F.col("component").alias("component_id"))
@@ -237,21 +221,15 @@ def link_components(docs: DataFrame) -> DataFrame:
 
 
 def _size(facts: str) -> Column:
-    return F.shiftright(F.col(facts), 28)
-
-
-def _asks(facts: str) -> Column:
-    return F.col(facts).bitwiseAND(F.lit(15))
+    return F.shiftright(F.col(facts), 24)
 
 
 def _place(facts: str) -> Column:
-    return F.shiftright(F.col(facts), 4).bitwiseAND(F.lit((1 << 24) - 1))
+    return F.col(facts).bitwiseAND(F.lit((1 << 24) - 1))
 
 
-def _near(one: str, other: str) -> Column:
-    """Whether the sizes let two sets link."""
-    a, b = _size(one), _size(other)
-    return (DENOMINATOR * F.least(a, b)) >= (NUMERATOR * F.greatest(a, b))
+def _least_overlap(n: Column) -> Column:
+    return F.floor((n * NUMERATOR + DENOMINATOR - 1) / DENOMINATOR)
 
 
 def _overlap(a: Column, b: Column) -> Column:
@@ -260,75 +238,109 @@ def _overlap(a: Column, b: Column) -> Column:
     return F.floor(((a + b) * NUMERATOR + both - 1) / both)
 
 
-def _pair_matches(one: str, other: str) -> Column:
-    """The matches m that a pair must have among the first size - overlap + m tokens of either: more than the sets ask for
-    on their own, as the sizes are known, but no more than both prefixes hold, nor than PAIR_MATCHES."""
-    a, b = _size(one), _size(other)
-    rest = [F.floor((n * NUMERATOR + DENOMINATOR - 1) / DENOMINATOR) - _asks(side) for n, side in ((a, one), (b, other))]
-    return F.greatest(F.lit(1), F.least(F.lit(PAIR_MATCHES), _overlap(a, b) - F.greatest(*rest)))
+def _asking(met: DataFrame) -> DataFrame:
+    """``met`` (token, part, id, facts, n) with what a set learns when its tokens are counted: asks, the matches m that it
+    asks for; the rank of the token among the prefix's shared ones, and the AHEAD shared ones before it; and how many of
+    the prefix's tokens the set has alone. A prefix that is longer by a
+    token meets the sets that have this token, too, and in return fewer reach m matches. The sets met in the prefix for a
+    partner of its own size, from the counts n of all data, times (1 + VERIFY_COST / m ** 2) estimate the cost of m; the
+    m with the least is taken."""
+    size, own = _size("facts"), W.partitionBy("id")
+    costs = []
+    for m in range(1, MOST_MATCHES + 1):
+        meets = F.sum(F.when(_place("facts") < size - _overlap(size, size) + m, F.col("n") - 1).otherwise(0)).over(own)
+        costs.append(F.when(_least_overlap(size) >= m, F.struct((meets * (1 + VERIFY_COST / m**2)).alias("cost"), F.lit(m).alias("m"))))
+    ahead = [F.lag("token", k).over(own.orderBy("facts", "token")) for k in range(1, AHEAD + 1)]
+    longest = size - _least_overlap(size) + F.least(F.lit(MOST_MATCHES), _least_overlap(size))
+    return met.withColumns(
+        {
+            "asks": F.array_min(F.array(*costs))["m"],
+            "rank": F.dense_rank().over(own.orderBy("facts")) - 1,
+            "alone": longest - F.count("*").over(own),
+            "ahead": F.array_compact(F.array(*ahead)),
+        }
+    )
 
 
-def _in_pair_prefix(one: str, other: str) -> Column:
+def _near(one: str, other: str) -> Column:
+    """Whether the sizes let two sets link."""
     a, b = _size(one), _size(other)
-    open_ = _pair_matches(one, other) - _overlap(a, b)
-    return (_place(one) < a + open_) & (_place(other) < b + open_)
+    return (DENOMINATOR * F.least(a, b)) >= (NUMERATOR * F.greatest(a, b))
 
 
-def _early_pairs(postings: DataFrame) -> DataFrame:
-    """Pairs of a group's first set with others of about its size that meet it EARLY_MATCHES times, and of the first sets
-    of a token's groups."""
-    group = W.partitionBy("token", "part").orderBy("id", "facts")
-    first = F.first(F.struct("id", "facts")).over(group)
-    met = postings.withColumn("first", first).select(
-        F.col("first.id").alias("a"), F.col("first.facts").alias("a_size"), F.col("id").alias("b"), F.col("facts").alias("b_size")
-    )
-    heads = postings.filter("part > 0").groupBy("token", "part").agg(F.min(F.struct("id", "facts")).alias("h")).select("token", F.col("h.id").alias("b"), F.col("h.facts").alias("b_size"))
-    top = heads.groupBy("token").agg(F.min(F.struct("b", "b_size")).alias("t")).select("token", F.col("t.b").alias("a"), F.col("t.b_size").alias("a_size"))
-    tops = heads.join(top, "token").select("a", "a_size", "b", "b_size")
-    pairs = met.unionByName(tops).filter(F.col("a") < F.col("b")).filter(_near("a_size", "b_size"))
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= EARLY_MATCHES).select("a", "b")
+def _in_pair_prefix(matches: Column, one: str, other: str) -> Column:
+    """Whether the token is in the prefix that the pair's sizes leave to either set. Linked sets share _overlap of their
+    tokens, so a set may have size - overlap tokens that the other lacks. With its m-th match it is among the first so
+    many + m, and among the shared ones it comes earlier by as many as the set has alone."""
+    a, b = _size(f"{one}_facts"), _size(f"{other}_facts")
+    fits = []
+    for x, n in ((one, a), (other, b)):
+        room = n - _overlap(a, b) + matches
+        fits.append((_place(f"{x}_facts") < room) & (F.col(f"{x}_rank") < room - F.col(f"{x}_alone")))
+    return fits[0] & fits[1]
 
 
-def _crowd_pairs(crowded: DataFrame, joined: DataFrame) -> DataFrame:
-    """In each group, the first set outside of the least component, with all sets of other components that meet it
-    EARLY_MATCHES times."""
-    group = W.partitionBy("token", "part")
-    placed = crowded.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    outside = placed.withColumn("least", F.min("component").over(group))
-    head = F.min(F.when(F.col("component") > F.col("least"), F.struct("id", "facts", "component"))).over(group)
-    met = outside.withColumn("head", head).filter("head IS NOT NULL AND component <> head.component")
-    sides = met.select(
-        F.least("id", "head.id").alias("a"), F.greatest("id", "head.id").alias("b"), F.col("facts").alias("a_size"), F.col("head.facts").alias("b_size")
-    )
-    return sides.filter(_near("a_size", "b_size")).groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= EARLY_MATCHES).select("a", "b")
+def _early_pairs(postings: DataFrame) -> DataFrame:
+    """Pairs of a group's first set with others that meet it EARLY_MATCHES times in the prefix that a pair of their sizes
+    has, and of the first sets of a token's groups."""
+    own = F.struct("id", "facts", "asks", "rank", "alone")
+    side = lambda x, of: [F.col(f"{of}{c}").alias(f"{x}_{c}") for c in ("id", "facts", "asks", "rank", "alone")]
+    first = F.first(own).over(W.partitionBy("token", "part").orderBy("id", "facts"))
+    met = postings.withColumn("first", first).select(*side("a", "first."), *side("b", ""))
+    heads = postings.filter("part > 0").groupBy("token", "part").agg(F.min(own).alias("head"))
+    top = heads.groupBy("token").agg(F.min("head").alias("top"))
+    tops = heads.join(top, "token").select(*side("a", "top."), *side("b", "head."))
+    pairs = met.unionByName(tops).filter("a_id < b_id").filter(_near("a_facts", "b_facts") & _in_pair_prefix(F.least("a_asks", "b_asks"), "a", "b"))
+    return pairs.groupBy(F.col("a_id").alias("a"), F.col("b_id").alias("b")).agg(F.count("*").alias("n")).filter(F.col("n") >= EARLY_MATCHES).select("a", "b")
 
 
 def _late_pairs(postings: DataFrame, joined: DataFrame) -> DataFrame:
-    """Pairs of different components that share as many prefix tokens as the less demanding of the two asks for."""
-    placed = postings.join(joined, "id", "left").select("token", "id", "facts", F.coalesce("component", "id").alias("component"))
-    open_tokens = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("token")
-    live = stash(placed.join(open_tokens, "token"))
-    a = live.select("token", F.col("id").alias("a"), F.col("facts").alias("a_size"), F.col("component").alias("a_component"))
-    b = live.select("token", F.col("id").alias("b"), F.col("facts").alias("b_size"), F.col("component").alias("b_component"))
-    pairs = a.join(b, "token").filter("a < b AND a_component <> b_component").filter(_near("a_size", "b_size") & _in_pair_prefix("a_size", "b_size"))
-    met = pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(_pair_matches("a_size", "b_size")).alias("least")).filter("n >= least")
-    return met.select("a", "b").distinct()
+    """Pairs of different components that share as many prefix tokens as the less demanding of the two asks for.
+
+    A token's sets in the component that most of them have are paired with the others only, never among themselves. Of
+    the others, the token's place leaves few: a set that has too many tokens alone can't link and meets nothing. Sets
+    that share many tokens meet at the first few: at a token where they can see as many earlier matches as are asked
+    for, they pass."""
+    size = _size("facts")
+    placed = (
+        postings.filter(F.col("rank") < size - _least_overlap(size) + F.col("asks") - F.col("alone"))
+        .join(joined, "id", "left")
+        .select("token", "id", "facts", "asks", "rank", "alone", "ahead", F.coalesce("component", "id").alias("component"))
+    )
+    placed = stash(placed)
+    shares = placed.groupBy("token", "component").agg(F.count("*").alias("n"))
+    main = shares.groupBy("token").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("n")).filter("n > 1")
+    live = placed.join(stash(main.select("token", "main")), "token")
+    side = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("id", "facts", "asks", "rank", "alone", "ahead", "component")]
+    a = live.filter("component <> main").select("token", *side("a"))
+    b = live.select("token", *side("b"), (F.col("component") == F.col("main")).alias("b_main"))
+    asks = F.least("a_asks", "b_asks")
+    pairs = (
+        a.join(b, "token")
+        .filter("a_component <> b_component AND (b_main OR a_id < b_id)")
+        .filter(_near("a_facts", "b_facts") & _in_pair_prefix(asks, "a", "b"))
+        .filter(F.size(F.array_intersect("a_ahead", "b_ahead")) < asks)
+    )
+    sides = [F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")]
+    return pairs.groupBy(*sides).agg(F.count("*").alias("n"), F.min(asks).alias("asks")).filter("n >= asks").select("a", "b")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (with doc_id, text) whose id is the smallest of their component, with its columns; rows with
     a null id stay. Only rows that a filter of bounded size takes for dropped ones are shuffled."""
-    dropped = stash(link_components(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct())
-    bits = gather_bits(dropped.select(F.xxhash64("_id").alias("mark")))
+    dropped = stash(link_components(docs).filter("doc_id <> component_id").select("doc_id").distinct())
+    bits = gather_bits(dropped.select(F.xxhash64("doc_id").alias("mark")))
 
     @F.pandas_udf("boolean")
     def may_go(marks: pd.Series) -> pd.Series:
         return pd.Series(bits.value.has(marks.to_numpy().view(np.uint64)))
 
-    marked = docs.withColumn("_may_go", may_go(F.xxhash64(F.col("doc_id").cast("long"))))
-    stay = marked.filter("NOT _may_go OR doc_id IS NULL").select(*docs.columns)
-    doubtful = marked.filter("_may_go AND doc_id IS NOT NULL").select(*docs.columns)
-    return stay.unionByName(doubtful.join(dropped, F.col("doc_id") == F.col("_id"), "left_anti"))
+    # The row travels as one column, so that its names can't clash with ours.
+    own_id = F.col("doc_id").cast("long")
+    marked = docs.select(F.struct(*docs.columns).alias("row"), own_id.alias("doc_id")).withColumn("may_go", may_go(F.xxhash64("doc_id")))
+    stay = marked.filter("NOT may_go OR doc_id IS NULL").select("row.*")
+    doubtful = marked.filter("may_go AND doc_id IS NOT NULL").join(dropped, "doc_id", "left_anti").select("row.*")
+    return stay.unionByName(doubtful)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
