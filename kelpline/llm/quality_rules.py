@@ -26,7 +26,9 @@ VECTOR = ["v_word", "v_capital", "v_mark", "v_repeat", "v_short"]
 FULL_WORDS = 3_000
 #: Share of a group's rows whose covariance has the least determinant; concentration steps end when no log determinant
 #: changes by more than STEADY, or after MOST_STEPS.
-COVERED, STEADY, MOST_STEPS = 0.75, 0.01, 30
+COVERED, STEADY, MOST_STEPS = 0.75, 0.05, 30
+#: Steps from one look at the determinants to the next.
+LOOK = 2
 #: Rows that an estimate of the level above counts as in a group's: groups are shrunk to their language, these to all.
 SHRINK_ROWS = 50
 #: What each variance has more than estimated, as a share: enough for a factor in directions without any spread.
@@ -141,25 +143,23 @@ def _shrunk(raw: DataFrame) -> DataFrame:
 
 
 def _factored(moments: DataFrame) -> DataFrame:
-    """Level rows with means m_a and covariances c_a_b: the Cholesky factor l_a_b, and log_det."""
+    """Level rows with means m_a and covariances c_a_b: the Cholesky factor l_a_b, column by column, and log_det."""
     out = moments
-    for a in VECTOR:
-        for b in VECTOR[: VECTOR.index(a) + 1]:
-            rest = F.col(f"c_{a}_{b}") * (1 + RIDGE) + 1e-15 if a == b else F.col(f"c_{a}_{b}")
-            for c in VECTOR[: VECTOR.index(b)]:
-                rest = rest - F.col(f"l_{a}_{c}") * F.col(f"l_{b}_{c}")
-            out = out.withColumn(f"l_{a}_{b}", F.sqrt(F.greatest(rest, F.col(f"c_{a}_{a}") * RIDGE + 1e-15)) if a == b else rest / F.col(f"l_{b}_{b}"))
-    return out.withColumn("log_det", 2 * sum((F.log(f"l_{a}_{a}") for a in VECTOR), F.lit(0.0))).drop(*[f"c_{a}_{b}" for a, b in PAIRS])
+    for k, b in enumerate(VECTOR):
+        left = lambda a, b=b, k=k: sum((-F.col(f"l_{a}_{c}") * F.col(f"l_{b}_{c}") for c in VECTOR[:k]), F.col(f"c_{a}_{b}"))
+        out = out.withColumn(f"l_{b}_{b}", F.sqrt(F.greatest(left(b) + F.col(f"c_{b}_{b}") * RIDGE, F.col(f"c_{b}_{b}") * RIDGE) + 1e-15))
+        if VECTOR[k + 1 :]:
+            out = out.withColumns({f"l_{a}_{b}": left(a) / F.col(f"l_{b}_{b}") for a in VECTOR[k + 1 :]})
+    log_det = 2 * sum((F.log(f"l_{a}_{a}") for a in VECTOR), F.lit(0.0))
+    return out.select("at", "n_rows", *[f"m_{a}" for a in VECTOR], *[f"l_{a}_{b}" for a, b in PAIRS], log_det.alias("log_det"))
 
 
-def _distance(rows: DataFrame) -> DataFrame:
+def _distance() -> Column:
     """Weighted squared Mahalanobis distance by forward substitution."""
-    for i, a in enumerate(VECTOR):
-        rest = F.col(a) - F.col(f"m_{a}")
-        for b in VECTOR[:i]:
-            rest = rest - F.col(f"l_{a}_{b}") * F.col(f"z_{b}")
-        rows = rows.withColumn(f"z_{a}", rest / F.col(f"l_{a}_{a}"))
-    return rows.withColumn("distance", F.col("weight") * sum((F.col(f"z_{a}") ** 2 for a in VECTOR), F.lit(0.0)))
+    z: list[Column] = []
+    for k, a in enumerate(VECTOR):
+        z.append(sum((-F.col(f"l_{a}_{b}") * z[j] for j, b in enumerate(VECTOR[:k])), F.col(a) - F.col(f"m_{a}")) / F.col(f"l_{a}_{a}"))
+    return F.col("weight") * sum((x * x for x in z), F.lit(0.0))
 
 
 def _quantile(value: Column | str, share: float) -> Column:
@@ -188,9 +188,9 @@ def fit(rows: DataFrame) -> DataFrame:
     spread = near(middle.drop("n_rows")).groupBy("at").agg(*off)
     start = middle.join(spread, "at").select("at", "n_rows", *[f"m_{c}" for c in VECTOR], *[((F.col(f"d_{a}") * 1.4826) ** 2 if a == b else F.lit(0.0)).alias(f"c_{a}_{b}") for a, b in PAIRS])
     estimate = stash(_factored(_shrunk(start)))
-    for _ in range(MOST_STEPS):
-        far = _distance(near(estimate)).select("at", "n_rows", "weight", "distance", *VECTOR)
-        edge = stash(far.groupBy("at").agg(_quantile("distance", COVERED).alias("edge")))
+    for step in range(1, MOST_STEPS + 1):
+        far = near(estimate).select("at", "n_rows", "weight", _distance().alias("distance"), *VECTOR)
+        edge = far.groupBy("at").agg(_quantile("distance", COVERED).alias("edge"))
         inner = join_small(far, edge, "at", 60 * n_levels, ["weight", *VECTOR], "inner").filter("distance <= edge")
         sums = inner.groupBy("at").agg(
             F.first("n_rows").alias("n_rows"),
@@ -200,11 +200,12 @@ def fit(rows: DataFrame) -> DataFrame:
             *[F.sum(F.col("weight") * F.col(a) * F.col(b)).alias(f"s_{a}_{b}") for a, b in PAIRS],
         )
         moments = sums.select("at", "n_rows", *[f"m_{c}" for c in VECTOR], *[((F.col(f"s_{a}_{b}") - F.col("w") * F.col(f"m_{a}") * F.col(f"m_{b}")) / F.col("n")).alias(f"c_{a}_{b}") for a, b in PAIRS])
-        last, estimate = estimate, stash(_factored(_shrunk(moments)))
-        moved = estimate.join(last.select("at", F.col("log_det").alias("last")), "at").agg(F.max(F.abs(F.col("log_det") - F.col("last"))).alias("by")).first()
-        if moved["by"] is None or moved["by"] <= STEADY:
-            break
-    scale = _distance(near(estimate)).groupBy("at").agg(F.first("n_rows").alias("n_rows"), (_quantile("distance", 0.5) / MIDDLE).alias("scale"))
+        last, estimate = estimate, stash(_factored(_shrunk(stash(moments))))
+        if step % LOOK == 0:
+            moved = estimate.join(last.select("at", F.col("log_det").alias("last")), "at").agg(F.max(F.abs(F.col("log_det") - F.col("last"))).alias("by")).first()
+            if moved["by"] is None or moved["by"] <= STEADY:
+                break
+    scale = near(estimate).groupBy("at").agg(F.first("n_rows").alias("n_rows"), (_quantile(_distance(), 0.5) / MIDDLE).alias("scale"))
     held = estimate.drop("n_rows", "log_det").join(_shrunk(scale), "at").filter("at.level = 2")
     return stash(held.withColumn("group", F.struct("at.lang", "at.source")).drop("at"))
 
@@ -213,13 +214,13 @@ def judge(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     """``rows`` with q_distance and q_kept: not failed, and within TOO_FAR of its group's estimate. Every passing row has
     a distance."""
     held = estimates.withColumnRenamed("group", "_group")
-    judged = _distance(join_small(rows.withColumn("_group", _group()), held, "_group", 400 * held.count(), ["weight", *VECTOR]))
-    far = F.col("distance") / F.greatest("scale", F.lit(1e-12))
-    near = F.coalesce(far <= TOO_FAR, F.lit(False))
+    judged = join_small(rows.withColumn("_group", _group()), held, "_group", 400 * held.count(), ["weight", *VECTOR])
+    judged = judged.withColumn("q_distance", _distance() / F.greatest("scale", F.lit(1e-12)))
+    near = F.coalesce(F.col("q_distance") <= TOO_FAR, F.lit(False))
     # One condition on both sides of the join, so that no part of it is pushed below the statistics.
     against = F.greatest(F.col("q_failed").cast("int"), (~near).cast("int"))
-    extra = [f"m_{a}" for a in VECTOR] + [f"z_{a}" for a in VECTOR] + [f"l_{a}_{b}" for a, b in PAIRS]
-    return judged.withColumn("q_kept", against == 0).withColumn("q_distance", far).drop("_group", "n_rows", "scale", "distance", *extra)
+    extra = [f"m_{a}" for a in VECTOR] + [f"l_{a}_{b}" for a, b in PAIRS]
+    return judged.withColumn("q_kept", against == 0).drop("_group", "n_rows", "scale", *extra)
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
