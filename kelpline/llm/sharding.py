@@ -5,15 +5,17 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from hashlib import blake2b
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import stash, table, text_of
 
-#: Groups smaller than 1 / PARCELS of all bytes travel in one of PARCELS parcels, dealt by the group's hash. So at most
-#: PARCELS groups are large and the packing never sees more than 2 * PARCELS items, whatever the corpus holds.
-PARCELS = 4096
+#: Bits of a group's size that count: groups with equal ones are a class of about one size. Sizes up to 4,095 bytes are
+#: classes of their own, larger ones differ from their class by less than 1 / 2,048. A class is all that the packing sees
+#: of its groups, so the driver gets a few thousand rows (2 ** 11 for each power of two of sizes) whatever the corpus
+#: holds.
+SIZE_BITS = 12
 #: Rows that one task numbers.
 SLOT_ROWS = 50_000
 
@@ -70,89 +72,116 @@ class CapacityTree:
         return high
 
 
-def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
-    """The bin of each item: items by falling size (then position) enter the tightest bin that holds them, or open a
-    new one. An item above the capacity gets a bin of its own."""
-    bins: list[int] = [0] * len(sizes)
+def best_fit_decreasing(sizes: list[int], counts: list[int], capacity: int) -> list[list[tuple[int, int]]]:
+    """Where the items of each class (equal ``sizes``, ``counts`` of them) go: runs (bin, number). Items by falling size
+    enter the tightest bin that holds them, or open a new one; as the items of a class are alike, a bin that was the
+    tightest takes as many as it holds. An item above the capacity gets a bin of its own."""
+    runs: list[list[tuple[int, int]]] = [[] for _ in sizes]
     tree, opened = CapacityTree(), 0
     for at in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-        found = tree.tightest(sizes[at])
-        remaining, bins[at] = found if found else (max(capacity, sizes[at]), opened)
-        opened += not found
-        tree.add(remaining - sizes[at], bins[at])
-    return bins
-
-
-def into_fixed_bins(sizes: list[int], n_bins: int) -> list[int]:
+        left = counts[at]
+        while left:
+            found = tree.tightest(sizes[at])
+            remaining, bin_ = found if found else (max(capacity, sizes[at]), opened)
+            opened += not found
+            n = min(left, remaining // sizes[at])
+            runs[at].append((bin_, n))
+            tree.add(remaining - n * sizes[at], bin_)
+            left -= n
+    return runs
+
+
+def into_fixed_bins(sizes: list[int], counts: list[int], n_bins: int) -> list[list[tuple[int, int]]]:
     """Best fit decreasing into at most ``n_bins`` bins at the least capacity that bisection finds. Items above a fair
     share of what is left take a bin each, so that they don't raise the capacity of the others."""
-    bins = [0] * len(sizes)
-    rest = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
-    left, total, taken = n_bins, sum(sizes), 0
+    runs: list[list[tuple[int, int]]] = [[] for _ in sizes]
+    rest = sorted((i for i in range(len(sizes)) if counts[i]), key=lambda i: (-sizes[i], i))
+    own = list(counts)
+    left, total, taken = n_bins, sum(s * c for s, c in zip(sizes, counts, strict=True)), 0
     while rest and left > 1 and sizes[rest[0]] * left > total:
-        bins[rest[0]] = taken
-        total -= sizes[rest.pop(0)]
+        runs[rest[0]].append((taken, 1))
+        total -= sizes[rest[0]]
+        own[rest[0]] -= 1
         left, taken = left - 1, taken + 1
+        if not own[rest[0]]:
+            rest.pop(0)
     if not rest:
-        return bins
-    own = [sizes[i] for i in rest]
-    low, high = max(own[0], -(-total // left)), own[0] + -(-total // left)
-    packed = best_fit_decreasing(own, high)
+        return runs
+    some, many = [sizes[i] for i in rest], [own[i] for i in rest]
+    bins = lambda packed: max(b for r in packed for b, _ in r) + 1
+    low, high = max(some[0], -(-total // left)), some[0] + -(-total // left)
+    packed = best_fit_decreasing(some, many, high)
     while low < high:
         middle = (low + high) // 2
-        tried = best_fit_decreasing(own, middle)
-        if max(tried) < left:
+        tried = best_fit_decreasing(some, many, middle)
+        if bins(tried) <= left:
             packed, high = tried, middle
         else:
             low = middle + 1
-    for at, b in zip(rest, packed, strict=True):
-        bins[at] = taken + b
-    return bins
-
-
-def assign_shards(docs: DataFrame, n_shards: int = 16, parcels: int = PARCELS) -> DataFrame:
-    """Columns doc_id, size, text_crc32, shard, slot of every row of ``docs`` (doc_id, text).
+    for at, found in zip(rest, packed, strict=True):
+        runs[at] += [(taken + b, n) for b, n in found]
+    return runs
+
+
+def _class(size: Column) -> Column:
+    """The size without the bits beyond its first SIZE_BITS."""
+    drop = F.greatest(F.floor(F.log2(size.cast("double"))).cast("int") - (SIZE_BITS - 1), F.lit(0))
+    return F.call_function("shiftleft", F.call_function("shiftright", size, drop), drop)
+
+
+def _digests(docs: DataFrame) -> DataFrame:
+    """row (all columns), t (the text), size and key of each row of ``docs``."""
+    own = docs.select(F.struct(*docs.columns).alias("row"), text_of().alias("t"))
+    return own.withColumns({"size": (F.octet_length("t") + 1).cast("long"), "key": F.unhex(F.sha2("t", 256))})
+
+
+def group_shards(rows: DataFrame, n_shards: int = 16) -> DataFrame:
+    """key and shard of every distinct key (a digest of a text) of ``rows`` (key, size). Groups of equal texts are counted
+    by class of size, classes are packed, and the groups of a class are dealt out in the order of their digests: they are
+    numbered in chunks, so that a class of any number of groups takes many tasks."""
+    spark = rows.sparkSession
+    groups = rows.groupBy("key").agg(F.sum("size").alias("bytes")).withColumn("class", _class(F.col("bytes")))
+    groups = stash(groups.withColumn("chunk", F.conv(F.substring(F.hex("key"), 1, 3), 16, 10).cast("int")))  # 4,096 chunks in order of digests
+    chunks = stash(groups.groupBy("class", "chunk").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")))
+    classes = chunks.groupBy("class").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).orderBy("class").collect()
+    runs = into_fixed_bins([-(-x["bytes"] // x["n"]) for x in classes], [x["n"] for x in classes], n_shards)
+    spans = [(x["class"], start, start + n, shard) for x, own in zip(classes, runs, strict=True) for start, n, shard in _spans(own)]
+    placed = spark.createDataFrame(spans, "class long, low long, high long, shard int")
+    before = W.partitionBy("class").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
+    starts = chunks.select("class", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    number = F.row_number().over(W.partitionBy("class", "chunk").orderBy("key")) - 1
+    numbered = groups.withColumn("number", number).join(starts, ["class", "chunk"]).withColumn("place", F.col("start") + F.col("number"))
+    spans_of = placed.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("high", "shard"))).alias("spans"))
+    dealt = numbered.join(F.broadcast(spans_of), "class")  # n_shards spans a class at most
+    return dealt.select("key", F.filter("spans", lambda s: s["high"] > F.col("place"))[0]["shard"].alias("shard"))
+
+
+def _spans(runs: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(start, number, shard) of runs one after another; runs of one shard are joined."""
+    joined: dict[int, int] = {}
+    for shard, n in runs:
+        joined[shard] = joined.get(shard, 0) + n
+    out, start = [], 0
+    for shard, n in sorted(joined.items()):
+        out.append((start, n, shard))
+        start += n
+    return out
+
+
+def assign_shards(docs: DataFrame, n_shards: int = 16) -> DataFrame:
+    """Columns doc_id, size, text_crc32, shard, slot of every row of ``docs`` (doc_id, text); others are ignored.
 
     The size is the text's UTF-8 bytes plus 1; equal texts (null counts as empty) share a shard. A group above an
-    even share of the bytes has a shard to itself, as groups are indivisible. Rows with equal or null ids each have a
-    row; no rows give no rows. Text is read once and never shuffled; rows travel as a digest of some 60 bytes.
+    even share of the bytes has a shard to itself, as groups are indivisible. Groups are packed by their sizes; shards
+    differ by about the size of the smallest groups, plus 1 / 2,048 of the bytes of groups above 4,095 bytes at most. Rows
+    with equal or null ids each have a row; no rows give no rows. Texts are read but never shuffled; rows travel as a digest
+    of some 60 bytes.
     """
-    rows = stash(
-        docs.select("doc_id", text_of().alias("t")).select(
-            "doc_id",
-            (F.octet_length("t") + 1).cast("long").alias("size"),
-            F.crc32(F.encode("t", "UTF-8")).alias("text_crc32"),
-            F.unhex(F.sha2("t", 256)).alias("key"),
-        )
-    )
-    total = rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
-    parcel = F.pmod(F.xxhash64("key"), F.lit(parcels)).cast("int")
-    groups = stash(rows.groupBy("key").agg(F.sum("size").alias("bytes"))).withColumn("parcel", parcel)
-    is_large = F.col("bytes") * parcels > F.lit(total["bytes"])
-    large = groups.filter(is_large).select("key", "bytes").orderBy("key").collect()
-    small = groups.filter(~is_large).groupBy("parcel").agg(F.sum("bytes").alias("bytes")).orderBy("parcel").collect()
-    bins = into_fixed_bins([x["bytes"] for x in [*large, *small]], n_shards)
-
-    spark = docs.sparkSession
-    of_large = spark.createDataFrame(
-        [(bytes(x["key"]), b) for x, b in zip(large, bins, strict=False)], "key binary, own_shard int"
-    )
-    of_small = spark.createDataFrame(
-        [(x["parcel"], b) for x, b in zip(small, bins[len(large) :], strict=True)], "parcel int, parcel_shard int"
-    )
-    chunks = max(1, -(-total["rows"] // SLOT_ROWS))
-    placed = (
-        rows.withColumn("parcel", parcel)
-        .join(F.broadcast(of_large), "key", "left")  # at most `parcels` rows
-        .join(F.broadcast(of_small), "parcel", "left")  # at most `parcels` rows
-        .select(
-            "doc_id",
-            "size",
-            "text_crc32",
-            F.coalesce("own_shard", "parcel_shard").alias("shard"),
-            F.pmod(F.xxhash64("doc_id", "key"), F.lit(chunks)).cast("int").alias("chunk"),
-        )
-    )
+    rows = stash(_digests(docs).withColumn("text_crc32", F.crc32(F.encode("t", "UTF-8"))).select("row.doc_id", "size", "text_crc32", "key"))
+    shards = stash(group_shards(rows, n_shards))
+    n_chunks = max(1, -(-rows.count() // SLOT_ROWS))
+    placed = rows.join(shards, "key").select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id", "key"), F.lit(n_chunks)).cast("int").alias("chunk"))
+    placed = stash(placed)
     before = W.partitionBy("shard").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
     starts = (
         placed.groupBy("shard", "chunk")
@@ -168,9 +197,12 @@ def assign_shards(docs: DataFrame, n_shards: int = 16, parcels: int = PARCELS) -
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = 16) -> None:
-    """Write the columns of ``docs`` as one folder a shard, joined to the assignment on doc_id (ids must be unique)."""
-    placed = assign_shards(docs, n_shards).select("doc_id", "shard", "slot")
-    docs.join(placed, "doc_id").write.partitionBy("shard").parquet(path)
+    """Write all rows and columns of ``docs`` (with text) as one folder a shard, shard=0 and so on; rows are found by the
+    digest of their text, so nulls and repeated ids lose and add nothing. A column of ``docs`` named shard is replaced."""
+    own = _digests(docs)
+    shards = stash(group_shards(own.select("key", "size"), n_shards))
+    kept = [F.col(f"row.{c}") for c in docs.columns if c != "shard"]
+    own.join(shards, "key").select(*kept, "shard").write.partitionBy("shard").parquet(path)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
