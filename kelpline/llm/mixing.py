@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stash, table, text_of
+from .common import join_small, stash, table, text_of
 
 #: The levels of the tree, root first.
 LEVELS = ("domain", "lang", "source")
@@ -16,7 +16,7 @@ LEVELS = ("domain", "lang", "source")
 UNNAMED = "(none)"
 #: Weights among siblings by level and name; a name that isn't here weighs 1.
 WEIGHTS: dict[str, dict[str, float]] = {
-    "domain": {"head": 3.0, "tail": 2.0},
+    "domain": {"web": 3.0, "books": 2.0},
     "lang": {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 2.0},
     "source": {"src0": 2.0},
 }
@@ -28,14 +28,15 @@ BUDGET_SHARE = 1.0
 SLICE_DIGITS = 3
 
 
-def domain_of(source: Column) -> Column:
-    """Sources with names of up to four characters form the head, all others the tail."""
-    return F.when(F.length(source) <= 4, F.lit("head")).otherwise(F.lit("tail"))
+#: The domain of each source of the tables of documents; a source that isn't here is of the domain OTHER.
+DOMAINS: dict[str, str] = {f"src{i}": "web" if i < 10 else "books" if i < 16 else "forums" for i in range(20)}
+OTHER = "other"
 
 
-def _leaf() -> Column:
+def _leaf(domains: Mapping[str, str]) -> Column:
     lang, source = (F.coalesce(F.col(c), F.lit(UNNAMED)) for c in ("lang", "source"))
-    return F.struct(domain_of(source).alias("domain"), lang.alias("lang"), source.alias("source"))
+    listed = F.create_map(*[F.lit(x) for pair in domains.items() for x in pair]) if domains else F.expr("cast(map() AS map<string, string>)")
+    return F.struct(F.coalesce(F.try_element_at(listed, source), F.lit(OTHER)).alias("domain"), lang.alias("lang"), source.alias("source"))
 
 
 def _tokens() -> Column:
@@ -91,9 +92,9 @@ def leaf_budgets(leaves: DataFrame, budget: int, max_epochs: int, weights: Mappi
     return leaves.join(budgets, list(LEVELS))
 
 
-def leaf_cuts(docs: DataFrame, budget_share: float, max_epochs: int, weights: Mapping[str, Mapping[str, float]], seed: int) -> DataFrame:
+def leaf_cuts(docs: DataFrame, budget_share: float, max_epochs: int, weights: Mapping[str, Mapping[str, float]], seed: int, domains: Mapping[str, str] = DOMAINS) -> DataFrame:
     """A row a leaf: leaf, budget, full_epochs, cut_key (the first seeded key that the partial epoch leaves out)."""
-    slim = stash(docs.select("doc_id", _leaf().alias("leaf"), _tokens().alias("n_tokens")))
+    slim = stash(docs.select("doc_id", _leaf(domains).alias("leaf"), _tokens().alias("n_tokens")))
     leaves = slim.groupBy("leaf").agg(F.sum("n_tokens").alias("tokens")).select("leaf.*", "tokens")
     leaves = stash(leaves)
     tokens = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n")).first()["n"]
@@ -133,26 +134,23 @@ def mix(
     max_epochs: int = MAX_EPOCHS,
     weights: Mapping[str, Mapping[str, float]] = WEIGHTS,
     seed: int = SEED,
+    domains: Mapping[str, str] = DOMAINS,
 ) -> DataFrame:
     """The columns of ``docs`` (with doc_id, text, lang, source) and mix_domain, mix_tokens, mix_epochs: how often each
-    row is selected, 0 for rows that aren't.
+    row is selected, 0 for rows that aren't. A column of ``docs`` with such a name is replaced.
 
-    Tokens are words. Each leaf gives whole epochs, then the prefix of one more epoch in the order of a seeded digest
-    of the id, up to the document that reaches the leaf's budget. Rows with the same id are selected together; a null
-    lang or source is a name of its own; a leaf without tokens isn't selected. No rows give no rows. Only digests of
-    rows are shuffled: the cut of a leaf is a single key, so texts stay where they are read.
+    Tokens are words; the domain of a source is looked up in ``domains``. Each leaf gives whole epochs, then the prefix of
+    one more epoch in the order of a seeded digest of the id, up to the document that reaches the leaf's budget. Rows with
+    the same id are selected together; a null lang or source is a name of its own; a leaf without tokens isn't selected.
+    No rows give no rows. Only digests of rows are shuffled: the cut of a leaf is a single key, so texts stay where they
+    are read unless there are too many leaves to broadcast.
     """
-    cuts = leaf_cuts(docs.select("doc_id", "text", "lang", "source"), budget_share, max_epochs, weights, seed)
-    cuts = stash(cuts.withColumnsRenamed({"leaf": "_leaf", "budget": "_budget", "full_epochs": "_full", "cut_key": "_cut"}))
-    partial = (_key(seed, F.col("_full")) < F.col("_cut")).cast("int")
-    return (
-        docs.withColumn("_leaf", _leaf())
-        .join(cuts, "_leaf")
-        .withColumn("mix_domain", F.col("_leaf.domain"))
-        .withColumn("mix_tokens", _tokens())
-        .withColumn("mix_epochs", F.col("_full") + partial)
-        .drop("_leaf", "_budget", "_full", "_cut")
-    )
+    cuts = stash(leaf_cuts(docs.select("doc_id", "text", "lang", "source"), budget_share, max_epochs, weights, seed, domains))
+    own = docs.select(F.struct(*docs.columns).alias("row"), _leaf(domains).alias("leaf"), _tokens().alias("mix_tokens"), "doc_id")
+    joined = join_small(own, cuts, "leaf", 200 * cuts.count(), ["doc_id"], "inner")
+    partial = (_key(seed, F.col("full_epochs")) < F.col("cut_key")).cast("int")
+    ours = [F.col("leaf.domain").alias("mix_domain"), F.col("mix_tokens"), (F.col("full_epochs") + partial).alias("mix_epochs")]
+    return joined.select(*[F.col(f"row.{c}") for c in docs.columns if c not in ("mix_domain", "mix_tokens", "mix_epochs")], *ours)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,10 +182,11 @@ def _sql_level(level: str, path: str, parent: str, parent_table: str | None) ->
 )"""
 
 
+_domain_cases = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in DOMAINS.items())
 SQL = rf"""
 WITH d AS (
   SELECT doc_id, lang, source, coalesce(lang, '{UNNAMED}') AS l, coalesce(source, '{UNNAMED}') AS s,
-         CASE WHEN length(coalesce(source, '{UNNAMED}')) <= 4 THEN 'head' ELSE 'tail' END AS dom,
+         CASE source {_domain_cases} ELSE '{OTHER}' END AS dom,
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n
   FROM documents
 ), leaves AS (
