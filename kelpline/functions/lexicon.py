@@ -54,6 +54,9 @@ SOURCE_KINDS = {
 PRIORITY_STATUS = {"P0": "main", "P1": "main", "P2": "candidate"}
 STATUSES = ["main", "candidate", "quarantined"]
 UNIT_TYPES = ["semantic_chunk", "knowledge_card"]
+SOURCE_TYPES = ["pdf_book", "paper", "guideline", "case", "structured_library", "markdown", "web_reference"]
+REVIEW_STATUSES = ["unreviewed", "approved", "rejected"]
+CARD_TARGETS = ["mindfulness", "healing", "communication", "personalized"]
 SOURCE_WEIGHTS = {"main": 0.05, "candidate": 0.025, "quarantined": 0.0}
 COPYRIGHT_MARKS = ["ISBN", "CIP", "版权", "Copyright", "出版社", "印次", "版次"]
 CONTENTS_MARKS = ["目录", "Contents", "目  录"]

@@ -201,7 +201,7 @@ def q_enrichment_requests(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_kb_overview(spark: SparkSession, d: str) -> DataFrame:
-    return repository.kb_overview(units(spark, d))
+    return repository.kb_overview(units(spark, d), table(spark, d, "documents"))
 
 
 def q_duplicate_content(spark: SparkSession, d: str) -> DataFrame:
@@ -272,19 +272,29 @@ SELECT page_id AS item_id, url AS title, CASE WHEN st IS NOT NULL AND has_path A
 
 def q_validate_units(spark: SparkSession, d: str) -> DataFrame:
     u = units(spark, d)
-    return cleaning.validate_units(u.withColumns({"source_status": F.when(F.col("source_title") == "src3", "lost").otherwise(F.col("source_status")), "quality_score": F.col("quality_score") * 2}))
+    odd = {
+        "source_status": F.when(F.col("source_title") == "src3", "lost").otherwise(F.col("source_status")),
+        "source_type": F.when(F.col("source_title") == "src4", "poem").otherwise(F.col("source_type")),
+        "review_status": F.when(F.col("source_title") == "src5", "seen").when(F.col("source_title") == "src6", "approved"),
+        "card_targets": F.when(F.col("source_title") == "src7", F.array(F.lit("healing"), F.lit("other"))).otherwise(F.col("card_targets")),
+        "created_at": F.when(F.col("source_title") != "src8", F.lit("2026-01-01T00:00:00Z")),
+        "quality_score": F.col("quality_score") * 2,
+    }
+    return cleaning.validate_units(u.withColumns(odd))
 
 
-SQL_VALIDATE = f"""{W_UNITS} SELECT id, 'source_status_unknown' AS rule FROM units WHERE source_title = 'src3' UNION ALL SELECT id, 'quality_score_out_of_range' FROM units WHERE quality_score * 2 > 1"""
+SQL_VALIDATE = f"""{W_UNITS} SELECT id, 'source_status_unknown' AS rule FROM units WHERE source_title = 'src3' UNION ALL SELECT id, 'quality_score_out_of_range' FROM units WHERE quality_score * 2 > 1
+UNION ALL SELECT id, 'source_type_unknown' FROM units WHERE source_title = 'src4' UNION ALL SELECT id, 'review_status_unknown' FROM units WHERE source_title = 'src5'
+UNION ALL SELECT id, 'card_target_unknown' FROM units WHERE source_title = 'src7' UNION ALL SELECT id, 'created_at_missing' FROM units WHERE source_title IS NULL OR source_title = 'src8'"""
 
 
 def q_pick_page_text(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select("doc_id", F.when(F.col("lang") == "en", F.substring("text", 1, 60)).otherwise("  x ").alias("layer_text"), F.when(F.col("lang") != "fr", F.col("text")).alias("ocr_text"))
+    rows = table(spark, d, "documents").select("doc_id", F.when(F.col("lang") == "en", F.col("text")).otherwise("  x ").alias("layer_text"), F.when(F.col("lang") != "fr", F.col("text")).alias("ocr_text"))
     return repository.pick_page_text(rows).select("doc_id", F.md5("text").alias("text_md5"), "parse_method", "confidence")
 
 
 SQL_PICK = r"""
-WITH r AS (SELECT doc_id, CASE WHEN lang = 'en' THEN substring(text, 1, 60) ELSE '  x ' END AS a, CASE WHEN lang <> 'fr' THEN text END AS b FROM documents),
+WITH r AS (SELECT doc_id, CASE WHEN lang = 'en' THEN text ELSE '  x ' END AS a, CASE WHEN lang <> 'fr' THEN text END AS b FROM documents),
 s AS (SELECT *, length(regexp_replace(a, '^\s+|\s+$', '', 'g')) >= 50 AS e, regexp_replace(coalesce(b, ''), '^\s+|\s+$', '', 'g') <> '' AS o FROM r)
 SELECT doc_id, md5(CASE WHEN e OR NOT o THEN a ELSE b END) AS text_md5, CASE WHEN o AND NOT e THEN 'ocr' ELSE 'text_layer' END AS parse_method, CASE WHEN e THEN 1.0 WHEN o THEN 0.7 ELSE 0.3 END::DOUBLE AS confidence FROM s"""
 
@@ -321,7 +331,7 @@ ORACLES = {
     "card_requests": SQL_CARD_REQUESTS,
     "build_cards": SQL_CARDS,
     "card_lineage": SQL_LINEAGE,
-    "kb_overview": f"{W_UNITS} SELECT 'source_status' AS dimension, source_status AS value, count(*) AS n FROM units GROUP BY 2 UNION ALL SELECT 'unit_type', unit_type, count(*) FROM units GROUP BY 2 UNION ALL SELECT 'source_type', source_type, count(*) FROM units GROUP BY 2",
+    "kb_overview": f"{W_UNITS} SELECT 'source_status' AS dimension, source_status AS value, count(*) AS n FROM units GROUP BY 2 UNION ALL SELECT 'unit_type', unit_type, count(*) FROM units GROUP BY 2 UNION ALL SELECT 'source_type', source_type, count(*) FROM units GROUP BY 2 UNION ALL SELECT 'documents', 'all', count(*) FROM documents",
     "duplicate_content": "SELECT doc_id, content_hash, first FROM (SELECT doc_id, sha256(coalesce(text, '')) AS content_hash, min(doc_id) OVER (PARTITION BY sha256(coalesce(text, ''))) AS first FROM documents) WHERE doc_id > first",
     "new_documents": SQL_NEW,
     "upsert_units": f"{W_UNITS} SELECT id, CASE WHEN title < 'F' THEN 'new ' || title ELSE title END AS title, page_start AS updated_at FROM units",

@@ -36,10 +36,7 @@ def q_text_stats(spark: SparkSession, d: str) -> DataFrame:
 
 def _bm25(spark: SparkSession, d: str, op: str) -> DataFrame:
     postings, stats = _text_index(spark, d)
-    queries = requests(spark, d)
-    if op == "and":  # the first sentence is what a unit must have whole
-        queries = queries.withColumn("text", F.substring_index("text", ".", 1))
-    return recall.bm25_recall(queries, postings, stats, op=op)
+    return recall.bm25_recall(requests(spark, d), postings, stats, op=op)
 
 
 def q_bm25_or(spark: SparkSession, d: str) -> DataFrame:
@@ -62,12 +59,11 @@ def _bm25_sql(name: str, text: str, every: bool) -> str:
 
 
 def q_snippet(spark: SparkSession, d: str) -> DataFrame:
-    best = q_bm25_or(spark, d).filter("pos <= 5")
-    return recall.highlight_snippet(best, units(spark, d), requests(spark, d))
+    return recall.highlight_snippet(q_bm25_or(spark, d), units(spark, d), requests(spark, d))
 
 
 _SNIPPET = f"""
-st AS (SELECT b.query_id, b.unit_id, {_TOKENS.format("u.text")} AS t, list_distinct({_TOKENS.format("r.text")}) AS w FROM bm b JOIN units u ON u.id = b.unit_id JOIN requests r USING (query_id) WHERE pos <= 5),
+st AS (SELECT b.query_id, b.unit_id, {_TOKENS.format("u.text")} AS t, list_distinct({_TOKENS.format("r.text")}) AS w FROM bm b JOIN units u ON u.id = b.unit_id JOIN requests r USING (query_id)),
 sm AS (SELECT *, list_transform(t, lambda x: CASE WHEN list_contains(w, x) THEN 1 ELSE 0 END) AS m FROM st),
 ss AS (SELECT *, list_transform(range(1, greatest(len(t) - 39, 1) + 1), lambda i: coalesce(list_sum(m[i:i + 39]), 0)) AS s FROM sm),
 sb AS (SELECT *, list_position(s, list_max(s)) AS a0 FROM ss)
@@ -259,6 +255,11 @@ def q_route_debug(spark: SparkSession, d: str) -> DataFrame:
     return fusion.route_debug(_hits(spark, d))
 
 
+def q_stage_debug(spark: SparkSession, d: str) -> DataFrame:
+    fused = q_fuse(spark, d)
+    return fusion.stage_debug({"fused": fused, "ranked": fusion.rerank(fused, _replies(spark, d))}, units(spark, d))
+
+
 def q_rerank_requests(spark: SparkSession, d: str) -> DataFrame:
     rows = fusion.rerank_requests(q_fuse(spark, d), units(spark, d), requests(spark, d))
     return rows.select("query_id", F.md5("query").alias("query_md5"), F.md5(F.array_join("passages", "|")).alias("passages_md5"))
@@ -348,7 +349,7 @@ QUERIES = {
     "ngram_vocabulary": q_ngram_vocabulary, "tfidf_norms": q_tfidf_norms, "tfidf_recall": q_tfidf_recall, "dense_recall": q_dense_recall, "normalize_vectors": q_normalize_vectors,
     "tag_search": q_tag_search, "metadata_recall": q_metadata_recall, "safety_recall": q_safety_recall, "fuse": q_fuse, "rerank": q_rerank, "rerank_requests": q_rerank_requests,
     "bundle": q_bundle, "route_debug": q_route_debug, "evaluate": q_evaluate, "evaluate_summary": q_evaluate_summary, "evaluate_by_scenario": q_evaluate_by_scenario,
-    "retrieve": q_retrieve, "rebuild_index": q_rebuild_index,
+    "stage_debug": q_stage_debug, "retrieve": q_retrieve, "rebuild_index": q_rebuild_index,
     "compare_targets": q_compare_targets, "discover_ground_truth": q_discover_ground_truth, "apply_ground_truth": q_apply_ground_truth, "prepare_queries": q_prepare_queries,
 }
 _TO_TFR = f"{BASE}, {_VOCABULARY}, {_VECTORS}, {_ASKED}, {_TFR.format(20)}"
@@ -359,7 +360,7 @@ ORACLES = {
     "document_frequencies": f"{BASE}, {_POSTINGS} SELECT token, df FROM dfs",
     "text_stats": f"{BASE}, {_POSTINGS} SELECT n_units, round(avg_len, 6) AS avg_len FROM stats",
     "bm25_or": f"{BASE}, {_POSTINGS}, {_bm25_sql('bm', 'text', False)} SELECT * FROM bm",
-    "bm25_and": f"{BASE}, {_POSTINGS}, {_bm25_sql('bm', 'split_part(text, chr(46), 1)', True)} SELECT * FROM bm",
+    "bm25_and": f"{BASE}, {_POSTINGS}, {_bm25_sql('bm', 'text', True)} SELECT * FROM bm",
     "snippet": f"{BASE}, {_POSTINGS}, {_bm25_sql('bm', 'text', False)}, {_SNIPPET}",
     "ngram_vocabulary": f"{BASE}, {_VOCABULARY} SELECT gram, total, df, round(idf, 6) AS idf FROM vocab",
     "tfidf_norms": f"{BASE}, {_VOCABULARY}, {_VECTORS} SELECT id, count(*) AS n_grams, round(sum(weight), 6) AS sum_weight, round(sum(weight * weight), 6) AS norm FROM vec GROUP BY id",
@@ -373,6 +374,8 @@ ORACLES = {
     "rerank": f"{_TO_HITS}, {_FUSE}, {_RERANK} SELECT * FROM ranked",
     "rerank_requests": f"{_TO_HITS}, {_FUSE} SELECT query_id, md5(substring(any_value(r.text), 1, 300)) AS query_md5, md5(string_agg(substring(u.text, 1, 200), '|' ORDER BY pos)) AS passages_md5 FROM fused JOIN units u ON u.id = unit_id JOIN requests r USING (query_id) WHERE pos <= 20 GROUP BY query_id",
     "bundle": f"{_TO_BUNDLE} SELECT query_id, bucket, bucket_rank, unit_id, score FROM bundle",
+    "stage_debug": f"""{_TO_HITS}, {_FUSE}, {_RERANK}, st AS (SELECT query_id, unit_id, 'fused' AS stage FROM fused UNION ALL SELECT query_id, unit_id, 'ranked' FROM ranked)
+      SELECT query_id, stage, coalesce(source_type, 'unknown') AS source_type, count(*) AS n FROM st LEFT JOIN units ON id = unit_id GROUP BY ALL""",
     "retrieve": f"{_TO_BUNDLE} SELECT query_id, bucket, bucket_rank, unit_id, score, source FROM bundle",
     "rebuild_index": f"""{BASE}, {_VOCABULARY}, {_VECTORS}, {_POSTINGS} SELECT 'vocabulary' AS part, count(*) AS n_rows FROM vocab UNION ALL SELECT 'vectors', count(DISTINCT id) FROM vec
       UNION ALL SELECT 'postings', count(*) FROM posts UNION ALL SELECT 'tokens', count(*) FROM dfs UNION ALL SELECT 'units', n_units FROM stats""",

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kelpline.functions.text import strip
 
+#: Lengths in characters, and the quality of a chunk whose pages aren't scored.
 MIN_CHARS, MAX_CHARS, OVERLAP = 300, 800, 100
+CHUNK_QUALITY = 0.8
 
 
 def split_paragraphs(pages: DataFrame, delimiter: str = "\n\n") -> DataFrame:
@@ -17,23 +20,28 @@ def split_paragraphs(pages: DataFrame, delimiter: str = "\n\n") -> DataFrame:
     return pages.select("doc_id", "page_number", parts).select("doc_id", "page_number", "segment_no", strip(F.col("_part")).alias("text")).filter("text <> ''")
 
 
+def _groups(lengths: list[int], min_chars: int) -> list[int]:
+    """The group of each of a document's segments."""
+    out, held, group = [], -1, -1
+    for n in lengths:
+        if 0 <= held < min_chars:
+            held += 1 + n
+        else:
+            held, group = n, group + 1
+        out.append(group)
+    return out
+
+
 def merge_short(segments: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, group_no, page_start, page_end, text: while a segment has fewer than ``min_chars``, the next one of the
-    document is joined to it, across pages. One fold over a document's segments, so a document is one row for a while."""
+    document is joined to it, across pages. A document's segments are one row for a while; the fold sees their lengths."""
     gathered = segments.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page_number", "segment_no", "text"))).alias("s"))
 
-    def step(state: Column, segment: Column) -> Column:
-        n = F.length(segment["text"])
-        joins = (state["n"] >= 0) & (state["n"] < min_chars)
-        group = F.when(joins, state["group"]).otherwise(state["group"] + 1)
-        return F.struct(
-            F.when(joins, state["n"] + 1 + n).otherwise(n).alias("n"),
-            group.alias("group"),
-            F.concat(state["groups"], F.array(group)).alias("groups"),
-        )
-
-    start = F.struct(F.lit(-1).alias("n"), F.lit(-1).alias("group"), F.expr("cast(array() AS array<int>)").alias("groups"))
-    folded = gathered.withColumn("groups", F.aggregate("s", start, step, lambda state: state["groups"]))
+    @F.pandas_udf("array<int>")
+    def grouped(lengths: pd.Series) -> pd.Series:
+        return lengths.map(lambda own: _groups(own, min_chars))
+
+    folded = gathered.withColumn("groups", grouped(F.transform("s", lambda x: F.length(x["text"]))))
     flat = folded.select("doc_id", F.explode(F.arrays_zip("s", "groups")).alias("z")).select("doc_id", F.col("z.groups").alias("group_no"), "z.s.*")
     merged = flat.groupBy("doc_id", "group_no").agg(
         F.min("page_number").alias("page_start"),
@@ -81,12 +89,19 @@ def chunk_id(chunks: DataFrame, source_type: str = "pdf_book") -> DataFrame:
     return chunks.withColumn("id", F.concat(F.lit(f"ku_{kind}_"), digest))
 
 
-def chunk_documents(pages: DataFrame, delimiter: str = "\n\n", source_type: str = "pdf_book", min_chars: int = MIN_CHARS, max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:
+def chunk_documents(
+    pages: DataFrame, delimiter: str = "\n\n", source_type: str = "pdf_book", min_chars: int = MIN_CHARS, max_chars: int = MAX_CHARS, overlap: int = OVERLAP, quality: str = "constant",
+) -> DataFrame:
     """Units (id, unit_type, source_type, doc_id, chunk_no, title, text, page_start, page_end, quality_score) of pages
-    (doc_id, page_number, text)."""
+    (doc_id, page_number, text). With ``quality`` "page" a unit's score is the least of its pages' quality_score, else 0.8."""
     pieces = number_chunks(split_long(merge_short(split_paragraphs(pages, delimiter), min_chars), max_chars, min_chars))
     units = chunk_id(chunk_title(add_overlap(pieces, overlap)), source_type)
+    score = F.lit(CHUNK_QUALITY)
+    if quality == "page":
+        scores = pages.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("page_number", "quality_score"))).alias("_scores"))
+        own = F.transform(F.sequence("page_start", "page_end"), lambda p: F.try_element_at("_scores", p))
+        units, score = units.join(scores, "doc_id"), F.array_min(own)
     return units.select(
         "id", F.lit("semantic_chunk").alias("unit_type"), F.lit(source_type).alias("source_type"),
-        "doc_id", "chunk_no", "title", "text", "page_start", "page_end", F.lit(0.8).alias("quality_score"),
+        "doc_id", "chunk_no", "title", "text", "page_start", "page_end", score.alias("quality_score"),
     )

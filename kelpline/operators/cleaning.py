@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kelpline.functions.lexicon import CONTENTS_MARKS, COPYRIGHT_MARKS, STATUSES, UNIT_TYPES
+from kelpline.functions.lexicon import CARD_TARGETS, CONTENTS_MARKS, COPYRIGHT_MARKS, REVIEW_STATUSES, SOURCE_TYPES, STATUSES, UNIT_TYPES
 from kelpline.functions.text import CJK, GARBLE, SPARSE, strip
 
 #: What each flag takes off the score.
@@ -87,13 +87,20 @@ def units_by_status(units: DataFrame, status: str) -> DataFrame:
 
 
 def validate_units(units: DataFrame) -> DataFrame:
-    """id and violated rule, a row for each violation."""
+    """id and violated rule, a row for each violation. Columns that ``units`` hasn't got aren't judged; review status and
+    card targets may be missing from a row, as they have defaults."""
+    known = lambda c, values: ~F.coalesce(F.col(c).isin(values), F.lit(False))
     rules = {
-        "id_missing": F.col("id").isNull(),
-        "text_missing": F.col("text").isNull(),
-        "unit_type_unknown": ~F.coalesce(F.col("unit_type").isin(UNIT_TYPES), F.lit(False)),
-        "source_status_unknown": ~F.coalesce(F.col("source_status").isin(STATUSES), F.lit(False)),
-        "quality_score_out_of_range": ~F.coalesce(F.col("quality_score").between(0.0, 1.0), F.lit(False)),
+        "id_missing": ("id", lambda: F.col("id").isNull()),
+        "text_missing": ("text", lambda: F.col("text").isNull()),
+        "unit_type_unknown": ("unit_type", lambda: known("unit_type", UNIT_TYPES)),
+        "source_type_unknown": ("source_type", lambda: known("source_type", SOURCE_TYPES)),
+        "source_status_unknown": ("source_status", lambda: known("source_status", STATUSES)),
+        "review_status_unknown": ("review_status", lambda: F.col("review_status").isNotNull() & known("review_status", REVIEW_STATUSES)),
+        "card_target_unknown": ("card_targets", lambda: F.coalesce(F.exists("card_targets", lambda t: ~t.isin(CARD_TARGETS)), F.lit(False))),
+        "quality_score_out_of_range": ("quality_score", lambda: ~F.coalesce(F.col("quality_score").between(0.0, 1.0), F.lit(False))),
+        "created_at_missing": ("created_at", lambda: F.col("created_at").isNull()),
+        "updated_at_missing": ("updated_at", lambda: F.col("updated_at").isNull()),
     }
-    broken = F.filter(F.array(*[F.when(c, F.lit(name)) for name, c in rules.items()]), lambda r: r.isNotNull())
-    return units.select("id", F.explode(broken).alias("rule"))
+    found = [F.when(broken(), F.lit(name)) for name, (column, broken) in rules.items() if column in units.columns]
+    return units.select("id", F.explode(F.array_compact(F.array(*found))).alias("rule"))

@@ -65,6 +65,12 @@ def evaluate_summary(details: DataFrame) -> DataFrame:
     )
 
 
+def append_run(summary: DataFrame, path: str, run_id: str) -> DataFrame:
+    """Append the summary row to the run history below ``path`` with its id and time, and return the history."""
+    summary.select(F.lit(run_id).alias("run_id"), F.current_timestamp().alias("run_at"), "*").write.mode("append").parquet(path)
+    return summary.sparkSession.read.parquet(path)
+
+
 def evaluate_by_scenario(details: DataFrame) -> DataFrame:
     """Means by scenario, failed queries left out."""
     return details.filter("recall_at_10 IS NOT NULL").groupBy("scenario").agg(

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -80,3 +83,12 @@ def assemble_bundle(ranked: DataFrame, units: DataFrame, top_k_cards: int = 3, t
 def route_debug(hits: DataFrame) -> DataFrame:
     """query_id and the number of hits of each route."""
     return hits.groupBy("query_id").pivot("route", ROUTES).count().na.fill(0, ROUTES)
+
+
+def stage_debug(stages: Mapping[str, DataFrame], units: DataFrame) -> DataFrame:
+    """query_id, stage, source_type, n: what each stage (tables with query_id and unit_id by name) has of each source type;
+    a hit without a unit is unknown."""
+    rows = [t.select("query_id", "unit_id", F.lit(name).alias("stage")) for name, t in stages.items()]
+    known = units.select(F.col("id").alias("unit_id"), "source_type")
+    joined = reduce(DataFrame.unionByName, rows).join(known, "unit_id", "left")
+    return joined.groupBy("query_id", "stage", F.coalesce("source_type", F.lit("unknown")).alias("source_type")).agg(F.count("*").alias("n"))

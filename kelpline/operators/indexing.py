@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -49,25 +48,18 @@ def gram_vocabulary(units: DataFrame, max_features: int = MAX_FEATURES) -> DataF
     counted = units.select(F.explode(_words()).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     totals = counted.select("n", F.explode(_grams_of(2, 4)).alias("gram")).groupBy("gram").agg(F.sum("n").alias("total"))
     top = totals.orderBy(F.desc("total"), "gram").limit(max_features).collect()  # at most max_features, as what follows
-    counts = gram_counts(units, [r["gram"] for r in top]).counts
+    counts = gram_counts(units, [r["gram"] for r in top])
     df = {r["at"]: r["df"] for r in counts.select(F.explode("at").alias("at")).groupBy("at").agg(F.count("*").alias("df")).collect()}
     n_units = units.count()
     rows = [(r["gram"], r["total"], df[i], math.log((1.0 + n_units) / (1.0 + df[i])) + 1.0) for i, r in enumerate(top)]
     return units.sparkSession.createDataFrame(rows, "gram string, total long, df long, idf double")
 
 
-@dataclass
-class Counts:
-    """counts: id, at (the places of a unit's grams in ``names``) and tf, of units that have any."""
-
-    names: list[str]
-    counts: DataFrame
-
-
-def _count_rows(batches: Iterator[pa.RecordBatch], at_of: dict[str, int], low: int, high: int) -> Iterator[pa.RecordBatch]:
+def _gram_rows(batches: Iterator[pa.RecordBatch], at_of: dict[str, int], idf: np.ndarray | None, low: int, high: int) -> Iterator[pa.RecordBatch]:
+    """For each unit with any of the grams: id, their places and counts, or with ``idf`` their weights at unit length."""
     known: dict[str, np.ndarray] = {}
     for batch in batches:
-        ids, at, tf = [], [], []
+        ids, at, values = [], [], []
         for row, words in enumerate(batch.column("words").to_pylist()):
             found = []
             for word in words:
@@ -82,31 +74,30 @@ def _count_rows(batches: Iterator[pa.RecordBatch], at_of: dict[str, int], low: i
                 found.append(places)
             if found and len(own := np.concatenate(found)):
                 places, counts = np.unique(own, return_counts=True)
+                weights = counts if idf is None else counts * idf[places]
                 ids.append(row)
                 at.append(places)
-                tf.append(counts)
-        ends = pa.array(np.cumsum([0, *map(len, at)]), pa.int32())
+                values.append(counts if idf is None else weights / np.sqrt((weights * weights).sum()))
+        ends, kind = pa.array(np.cumsum([0, *map(len, at)]), pa.int32()), pa.int64() if idf is None else pa.float64()
         flat = lambda parts, t: pa.ListArray.from_arrays(ends, pa.array(np.concatenate(parts) if parts else np.zeros(0), t))
-        yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(ids, pa.int64())), flat(at, pa.int32()), flat(tf, pa.int64())], ["id", "at", "tf"])
+        yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(ids, pa.int64())), flat(at, pa.int32()), flat(values, kind)], ["id", "at", "tf" if idf is None else "weight"])
 
 
-def gram_counts(units: DataFrame, names: Sequence[str]) -> Counts:
-    """How often each unit (id, text) has each of the grams ``names``, a list of bounded size. Nothing is shuffled."""
+def gram_counts(units: DataFrame, names: Sequence[str]) -> DataFrame:
+    """id, at, tf: how often each unit (id, text) has each of the grams ``names``, a list of bounded size, by their places;
+    of units that have any. Nothing is shuffled."""
     at_of = units.sparkSession.sparkContext.broadcast({g: i for i, g in enumerate(names)})
-    id_type = units.schema["id"].dataType.simpleString()
     rows = units.select("id", _words().alias("words"))
-    return Counts(list(names), rows.mapInArrow(lambda b: _count_rows(b, at_of.value, 2, 4), f"id {id_type}, at array<int>, tf array<bigint>"))
+    return rows.mapInArrow(lambda b: _gram_rows(b, at_of.value, None, 2, 4), f"id {units.schema['id'].dataType.simpleString()}, at array<int>, tf array<bigint>")
 
 
 def gram_vectors(units: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """id, at, weight: tf * idf at unit length as two arrays, at being places in the vocabulary (gram, idf) in the order of
-    grams; of units that have any gram."""
+    grams; of units that have any gram. Nothing is shuffled."""
     rows = sorted((r["gram"], r["idf"]) for r in vocabulary.select("gram", "idf").collect())  # at most max_features
-    idf = F.lit([x for _, x in rows]) if rows else F.expr("cast(array() AS array<double>)")
-    counts = gram_counts(units, [g for g, _ in rows]).counts
-    weighed = counts.withColumn("w", F.zip_with("at", "tf", lambda at, tf: tf * F.get(idf, at)))
-    norm = F.sqrt(F.aggregate("w", F.lit(0.0), lambda a, x: a + x * x))
-    return weighed.withColumn("norm", norm).select("id", "at", F.transform("w", lambda x: x / F.col("norm")).alias("weight"))
+    shared = units.sparkSession.sparkContext.broadcast(({g: i for i, (g, _) in enumerate(rows)}, np.array([x for _, x in rows])))
+    texts = units.select("id", _words().alias("words"))
+    return texts.mapInArrow(lambda b: _gram_rows(b, *shared.value, 2, 4), f"id {units.schema['id'].dataType.simpleString()}, at array<int>, weight array<double>")
 
 
 def build_index(units: DataFrame, max_features: int = MAX_FEATURES) -> dict[str, DataFrame]:

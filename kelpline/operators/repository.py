@@ -76,6 +76,10 @@ def duplicate_content(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return hashed.join(first, "content_hash").filter(F.col(key) > F.col("first")).select(key, "content_hash", "first")
 
 
+#: Tasks that write a status; a status may hold nearly all units.
+WRITERS = 64
+
+
 def upsert_units(existing: DataFrame, incoming: DataFrame, version: str = "updated_at") -> DataFrame:
     """Insert or replace by id: the incoming row wins, and of several the one with the latest version."""
     both = existing.withColumn("_turn", F.lit(0)).unionByName(incoming.withColumn("_turn", F.lit(1)))
@@ -113,8 +117,16 @@ def merge_annotations(units: DataFrame, sheet: DataFrame) -> DataFrame:
     return joined.withColumn("contraindications", F.coalesce("_contra", "contraindications")).withColumn("risk_levels", F.coalesce("_risk", "risk_levels")).drop("_contra", "_risk")
 
 
-def kb_overview(units: DataFrame) -> DataFrame:
-    """dimension, value, n: units by status, type and source type in one pass."""
+def write_units(units: DataFrame, path: str) -> None:
+    """Write units as one folder for each source status, so that readers of a status skip the others."""
+    units.repartition("source_status", F.pmod(F.xxhash64("id"), F.lit(WRITERS))).write.mode("overwrite").partitionBy("source_status").parquet(path)
+
+
+def kb_overview(units: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """dimension, value, n: units by status, type and source type in one pass, and the number of ``documents``."""
+    if documents is not None:
+        total = documents.agg(F.count("*").alias("n")).select(F.lit("documents").alias("dimension"), F.lit("all").alias("value"), "n")
+        return kb_overview(units).unionByName(total)
     counted = units.groupingSets([["source_status"], ["unit_type"], ["source_type"]], "source_status", "unit_type", "source_type").agg(F.grouping_id().alias("g"), F.count("*").alias("n"))
     names = F.when(F.col("g") == 3, "source_status").when(F.col("g") == 5, "unit_type").otherwise("source_type")
     value = F.when(F.col("g") == 3, F.col("source_status")).when(F.col("g") == 5, F.col("unit_type")).otherwise(F.col("source_type"))
