@@ -47,7 +47,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality), ("exact_dedup", exact), ("ngram_join", near), ("mixing", mix), ("packing", pack)]
 
-#: SQL can't tokenize; each stage is tested against a brute-force version.
+#: SQL can't tokenize; the operators of the stages are tested against brute-force versions.
 ORACLE_SQL = None
 
 
