@@ -240,8 +240,7 @@ def _overlap(a: Column, b: Column) -> Column:
 
 def _asking(met: DataFrame) -> DataFrame:
     """``met`` (token, part, id, facts, n) with what a set learns when its tokens are counted: asks, the matches m that it
-    asks for; the rank of the token among the prefix's shared ones, and the AHEAD shared ones before it; and how many of
-    the prefix's tokens the set has alone. A prefix that is longer by a
+    asks for; and the AHEAD tokens before it in the prefix that other prefixes have, too. A prefix that is longer by a
     token meets the sets that have this token, too, and in return fewer reach m matches. The sets met in the prefix for a
     partner of its own size, from the counts n of all data, times (1 + VERIFY_COST / m ** 2) estimate the cost of m; the
     m with the least is taken."""
@@ -251,12 +250,9 @@ def _asking(met: DataFrame) -> DataFrame:
         meets = F.sum(F.when(_place("facts") < size - _overlap(size, size) + m, F.col("n") - 1).otherwise(0)).over(own)
         costs.append(F.when(_least_overlap(size) >= m, F.struct((meets * (1 + VERIFY_COST / m**2)).alias("cost"), F.lit(m).alias("m"))))
     ahead = [F.lag("token", k).over(own.orderBy("facts", "token")) for k in range(1, AHEAD + 1)]
-    longest = size - _least_overlap(size) + F.least(F.lit(MOST_MATCHES), _least_overlap(size))
     return met.withColumns(
         {
             "asks": F.array_min(F.array(*costs))["m"],
-            "rank": F.dense_rank().over(own.orderBy("facts")) - 1,
-            "alone": longest - F.count("*").over(own),
             "ahead": F.array_compact(F.array(*ahead)),
         }
     )
@@ -270,21 +266,18 @@ def _near(one: str, other: str) -> Column:
 
 def _in_pair_prefix(matches: Column, one: str, other: str) -> Column:
     """Whether the token is in the prefix that the pair's sizes leave to either set. Linked sets share _overlap of their
-    tokens, so a set may have size - overlap tokens that the other lacks. With its m-th match it is among the first so
-    many + m, and among the shared ones it comes earlier by as many as the set has alone."""
+    tokens, so a set may have size - overlap tokens that the other lacks, and its m-th match is among the first so many +
+    m. That no other *prefix* has a token says nothing of the sets, so it shortens no prefix."""
     a, b = _size(f"{one}_facts"), _size(f"{other}_facts")
-    fits = []
-    for x, n in ((one, a), (other, b)):
-        room = n - _overlap(a, b) + matches
-        fits.append((_place(f"{x}_facts") < room) & (F.col(f"{x}_rank") < room - F.col(f"{x}_alone")))
+    fits = [_place(f"{x}_facts") < n - _overlap(a, b) + matches for x, n in ((one, a), (other, b))]
     return fits[0] & fits[1]
 
 
 def _early_pairs(postings: DataFrame) -> DataFrame:
     """Pairs of a group's first set with others that meet it EARLY_MATCHES times in the prefix that a pair of their sizes
     has, and of the first sets of a token's groups."""
-    own = F.struct("id", "facts", "asks", "rank", "alone")
-    side = lambda x, of: [F.col(f"{of}{c}").alias(f"{x}_{c}") for c in ("id", "facts", "asks", "rank", "alone")]
+    own = F.struct("id", "facts", "asks")
+    side = lambda x, of: [F.col(f"{of}{c}").alias(f"{x}_{c}") for c in ("id", "facts", "asks")]
     first = F.first(own).over(W.partitionBy("token", "part").orderBy("id", "facts"))
     met = postings.withColumn("first", first).select(*side("a", "first."), *side("b", ""))
     heads = postings.filter("part > 0").groupBy("token", "part").agg(F.min(own).alias("head"))
@@ -297,21 +290,20 @@ def _early_pairs(postings: DataFrame) -> DataFrame:
 def _late_pairs(postings: DataFrame, joined: DataFrame) -> DataFrame:
     """Pairs of different components that share as many prefix tokens as the less demanding of the two asks for.
 
-    A token's sets in the component that most of them have are paired with the others only, never among themselves. Of
-    the others, the token's place leaves few: a set that has too many tokens alone can't link and meets nothing. Sets
+    A token's sets in the component that most of them have are paired with the others only, never among themselves. Sets
     that share many tokens meet at the first few: at a token where they can see as many earlier matches as are asked
     for, they pass."""
     size = _size("facts")
     placed = (
-        postings.filter(F.col("rank") < size - _least_overlap(size) + F.col("asks") - F.col("alone"))
+        postings.filter(_place("facts") < size - _least_overlap(size) + F.col("asks"))
         .join(joined, "id", "left")
-        .select("token", "id", "facts", "asks", "rank", "alone", "ahead", F.coalesce("component", "id").alias("component"))
+        .select("token", "id", "facts", "asks", "ahead", F.coalesce("component", "id").alias("component"))
     )
     placed = stash(placed)
     shares = placed.groupBy("token", "component").agg(F.count("*").alias("n"))
     main = shares.groupBy("token").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("n")).filter("n > 1")
     live = placed.join(stash(main.select("token", "main")), "token")
-    side = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("id", "facts", "asks", "rank", "alone", "ahead", "component")]
+    side = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("id", "facts", "asks", "ahead", "component")]
     a = live.filter("component <> main").select("token", *side("a"))
     b = live.select("token", *side("b"), (F.col("component") == F.col("main")).alias("b_main"))
     asks = F.least("a_asks", "b_asks")
