@@ -240,7 +240,7 @@ def _overlap(a: Column, b: Column) -> Column:
 
 def _asking(met: DataFrame) -> DataFrame:
     """``met`` (token, part, id, facts, n) with what a set learns when its tokens are counted: asks, the matches m that it
-    asks for; and the AHEAD tokens before it in the prefix that other prefixes have, too. A prefix that is longer by a
+    asks for; the rank of the token among those of the prefix that other prefixes have, too, and AHEAD such tokens before it. A prefix that is longer by a
     token meets the sets that have this token, too, and in return fewer reach m matches. The sets met in the prefix for a
     partner of its own size, from the counts n of all data, times (1 + VERIFY_COST / m ** 2) estimate the cost of m; the
     m with the least is taken."""
@@ -253,6 +253,7 @@ def _asking(met: DataFrame) -> DataFrame:
     return met.withColumns(
         {
             "asks": F.array_min(F.array(*costs))["m"],
+            "rank": F.row_number().over(own.orderBy("facts", "token")) - 1,
             "ahead": F.array_compact(F.array(*ahead)),
         }
     )
@@ -291,30 +292,31 @@ def _late_pairs(postings: DataFrame, joined: DataFrame) -> DataFrame:
     """Pairs of different components that share as many prefix tokens as the less demanding of the two asks for.
 
     A token's sets in the component that most of them have are paired with the others only, never among themselves. Sets
-    that share many tokens meet at the first few: at a token where they can see as many earlier matches as are asked
-    for, they pass."""
+    that share many tokens meet at the last match that is asked for: not where they see as many earlier ones, nor where
+    those that they see, and those before what a posting carries, are too few."""
     size = _size("facts")
     placed = (
         postings.filter(_place("facts") < size - _least_overlap(size) + F.col("asks"))
         .join(joined, "id", "left")
-        .select("token", "id", "facts", "asks", "ahead", F.coalesce("component", "id").alias("component"))
+        .select("token", "id", "facts", "asks", "rank", "ahead", F.coalesce("component", "id").alias("component"))
     )
     placed = stash(placed)
     shares = placed.groupBy("token", "component").agg(F.count("*").alias("n"))
     main = shares.groupBy("token").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("n")).filter("n > 1")
     live = placed.join(stash(main.select("token", "main")), "token")
-    side = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("id", "facts", "asks", "ahead", "component")]
+    side = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("id", "facts", "asks", "rank", "ahead", "component")]
     a = live.filter("component <> main").select("token", *side("a"))
     b = live.select("token", *side("b"), (F.col("component") == F.col("main")).alias("b_main"))
     asks = F.least("a_asks", "b_asks")
+    seen = F.size(F.array_intersect("a_ahead", "b_ahead"))
+    unseen = F.greatest(F.col("a_rank") - AHEAD, F.lit(0)) + F.greatest(F.col("b_rank") - AHEAD, F.lit(0))
     pairs = (
         a.join(b, "token")
         .filter("a_component <> b_component AND (b_main OR a_id < b_id)")
         .filter(_near("a_facts", "b_facts") & _in_pair_prefix(asks, "a", "b"))
-        .filter(F.size(F.array_intersect("a_ahead", "b_ahead")) < asks)
+        .filter((seen < asks) & (seen + unseen >= asks - 1))
     )
-    sides = [F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")]
-    return pairs.groupBy(*sides).agg(F.count("*").alias("n"), F.min(asks).alias("asks")).filter("n >= asks").select("a", "b")
+    return pairs.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
