@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_text, language_id, mixing, ngram_join, packing, quality_rules, sharding, site_quality, substring_dedup
+from . import (
+    exact_dedup, html_text, language_id, mixing, ngram_join, packing, pattern_packing, prefix_trie, quality_rules, sharding, site_quality, substring_dedup, tiered_search,
+)
+
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
@@ -23,6 +26,9 @@ QUERIES = {
     "op8_mixing": mixing.query,
     "op9_html_text": html_text.query,
     "op10_exact_dedup": exact_dedup.query,
+    "op11_pattern_packing": pattern_packing.query,
+    "op12_prefix_trie": prefix_trie.query,
+    "op13_tiered_search": tiered_search.query,
     "pipeline": _pipeline,
 }
-ORACLES = {"op8_mixing": mixing.SQL, "op10_exact_dedup": exact_dedup.SQL}
+ORACLES = {"op8_mixing": mixing.SQL, "op10_exact_dedup": exact_dedup.SQL, "op12_prefix_trie": prefix_trie.SQL, "op13_tiered_search": tiered_search.SQL}
