@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from .common import MOST_BROADCAST, join_small, stash, table
 from .words import in_slices
 
-#: A subtree is a template of a host where it recurs on this share of the host's pages (two of them at least), and of every
-#: host where pages of so many hosts have it, which is all that a host of one page can go by.
-SHARE, LEAST_HOSTS = 0.05, 3
+#: A subtree is a template of a host where it recurs on this share of the host's pages (and so many of them at least), and
+#: of every host where pages of so many hosts have it, which is all that a host of few pages can go by. Pages count once
+#: for all that have the same text besides the subtree, so copies of a page make no template of its story.
+SHARE, LEAST_PAGES, LEAST_HOSTS = 0.05, 3, 3
 
 #: Fixed values of HTML: elements without an end tag, elements inside a line, and elements whose content is no markup.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -34,19 +35,28 @@ PROSE = set("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th tr figcaption cap
 #: Elements that never hold main text, and those that don't outside of an article.
 NEVER = set("script style noscript template head title nav footer aside form button select textarea iframe object svg canvas dialog menu xmp noframes noembed".split())
 OUTSIDE = {"header"}
-#: Parts of class, id or role names that mark what isn't main text.
+#: Class, id or role names that mark what isn't main text: alone, or joined to each other and to PLACES by - or _.
 MARKS = set(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies "
     "disqus footer menu nav navbar navigation newsletter notice popup promo promoted related share sharing sidebar social sponsor sponsored subscribe "
     "toolbar widget".split()
 )
+PLACES = set("site top bottom left right global primary secondary list section area box bar block wrapper container inner outer".split())
+#: Elements whose names say nothing of what isn't main text, as they hold the page or are its story.
+UNMARKED = {"html", "body", "main", "article"}
 
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
     re.S | re.I,
 )
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_PART = re.compile(r"[a-z]+")
+_JOINT = re.compile(r"[-_]+")
+
+
+def _marks(name: str) -> bool:
+    """Whether a whole class, id or role name is a mark, such as ad, site-footer or nav_menu, but not share-price."""
+    parts = set(filter(None, _JOINT.split(name)))
+    return bool(parts & MARKS) and parts <= MARKS | PLACES
 
 
 @dataclass
@@ -96,10 +106,10 @@ def parse(html: str) -> Page:
                 if page.tags[stack[depth]] in SCOPES:
                     break
             if name not in VOID:
-                named = (set(_PART.findall(" ".join(filter(None, m)).lower())) for m in _NAMED.findall(attributes))
+                names = " ".join(part for found in _NAMED.findall(attributes) for part in found).lower().split()
                 page.tags.append(name)
                 page.parents.append(stack[-1])
-                page.marked.append(any(MARKS & parts for parts in named))
+                page.marked.append(name not in UNMARKED and any(map(_marks, names)))
                 page.spans.append([token.start(), 0])
                 if not attributes.endswith("/") or name in INLINE or name in SCOPES:
                     stack.append(len(page.tags) - 1)
@@ -120,21 +130,48 @@ def _inside(page: Page, inside: set[str]) -> list[bool]:
     return found
 
 
-def subtree_hashes(html: str, page: Page) -> list[int]:
-    """A signed 64-bit hash of the markup of each element; 0 for what can't be a template: the root, elements inside a line,
-    an article and what holds it, and in an article prose and whatever has more than half of its text."""
-    own, n = _inside(page, MAIN), len(page.tags)
-    size, holds = [0] * n, [False] * n
+@dataclass
+class Sizes:
+    """By element: characters of text below it, those of articles, those in links; whether it holds an article; and the sum of
+    hashes of its texts."""
+
+    all: list[int]
+    main: list[int]
+    links: list[int]
+    holds: list[bool]
+    digest: list[int]
+
+
+def measure(page: Page, own: list[bool]) -> Sizes:
+    """Text in NEVER elements counts for those only, not for what they are in."""
+    n = len(page.tags)
+    sizes = Sizes([0] * n, [0] * n, [0] * n, [False] * n, [0] * n)
     for e, text in page.texts:
-        size[e] += len(text.strip())
+        if bare := " ".join(text.split()):
+            sizes.all[e] += len(bare)
+            sizes.main[e] += len(bare) if own[e] else 0
+            sizes.digest[e] += int.from_bytes(blake2b(bare.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
     for e in range(n - 1, 0, -1):
-        size[page.parents[e]] += size[e]
-        holds[page.parents[e]] = holds[page.parents[e]] or holds[e] or page.tags[e] in MAIN
-    whole = sum(size[e] for e in range(1, n) if own[e] and not own[page.parents[e]])
+        up, tag = page.parents[e], page.tags[e]
+        sizes.digest[up] += sizes.digest[e]
+        sizes.holds[up] = sizes.holds[up] or sizes.holds[e] or tag in MAIN
+        if tag not in NEVER:
+            sizes.all[up] += sizes.all[e]
+            sizes.main[up] += sizes.main[e]
+            sizes.links[up] += sizes.all[e] if tag == "a" else sizes.links[e]
+    return sizes
+
+
+def subtrees(html: str, page: Page, own: list[bool], sizes: Sizes) -> list[int]:
+    """A signed 64-bit hash of the markup of each element; 0 for what can't be a template: the root, elements inside a line,
+    an article and what holds it, in an article prose and whatever has more than half of its text, and on a page without
+    an article whatever has more than half of the page's."""
     hashes = [0]
-    for e in range(1, n):
+    for e in range(1, len(page.tags)):
         tag = page.tags[e]
-        if holds[e] or tag in INLINE or tag in MAIN or tag in ("html", "body", "head") or (own[e] and (tag in PROSE or 2 * size[e] > whole)):
+        whole, most = (sizes.main[0], sizes.main[e]) if own[e] else (sizes.all[0] if not sizes.holds[0] else 0, sizes.all[e])
+        story = tag not in NEVER and (2 * most > whole > 0 or (own[e] and tag in PROSE))
+        if sizes.holds[e] or tag in INLINE or tag in MAIN or tag in ("html", "body", "head") or story:
             hashes.append(0)
         else:
             start, end = page.spans[e]
@@ -143,24 +180,41 @@ def subtree_hashes(html: str, page: Page) -> list[int]:
     return hashes
 
 
+def subtree_hashes(html: str) -> dict[int, int]:
+    """The hashes of a page's subtrees that may be templates, each with a signed 64-bit digest of the page's texts outside of
+    it; 0 with that of all its texts."""
+    page = parse(html)
+    own = _inside(page, MAIN)
+    sizes = measure(page, own)
+    signed = lambda x: (x + (1 << 63)) % (1 << 64) - (1 << 63)
+    out = {h: signed(sizes.digest[0] - sizes.digest[e]) for e, h in enumerate(subtrees(html, page, own, sizes)) if h}
+    return out | {0: signed(sizes.digest[0])}
+
+
 def main_text(html: str, templates: frozenset[int] = frozenset()) -> str:
     """What is left of the page without templates and marked elements: the text of its articles where they have any, else
-    all of its body. Where a page has nothing but templates, they are its text (a site of copies)."""
+    all of its body. A mark on an element that has most of a page's articles, or of its text if there is none, is a
+    name only. Where a page has nothing but templates, they are its text but for those that are mostly links."""
     page = parse(html)
-    hashes = subtree_hashes(html, page) if templates else [0] * len(page.tags)
     own = _inside(page, MAIN)
-    junk, cut = [False], [False]
+    sizes = measure(page, own)
+    hashes = subtrees(html, page, own, sizes) if templates else [0] * len(page.tags)
+    of = sizes.main if sizes.main[0] else sizes.all
+    junk, cut, menu = [False], [False], [False]
     for e in range(1, len(page.tags)):
         parent, tag = page.parents[e], page.tags[e]
-        cut.append(cut[parent] or (hashes[e] != 0 and hashes[e] in templates))
-        junk.append(junk[parent] or tag in NEVER or page.marked[e] or (tag in OUTSIDE and not own[e]))
+        known = hashes[e] != 0 and hashes[e] in templates
+        cut.append(cut[parent] or known)
+        menu.append(menu[parent] or (known and 2 * sizes.links[e] >= sizes.all[e]))
+        marked = page.marked[e] and not 2 * of[e] > of[0]
+        junk.append(junk[parent] or tag in NEVER or marked or (tag in OUTSIDE and not own[e]))
 
     def joined(without: list[bool]) -> str:
         left = [(own[e], text) for e, text in page.texts if not junk[e] and not without[e]]
         has_main = any(o and text.strip() for o, text in left)
         return " ".join(unescape("".join(text for o, text in left if o or not has_main)).split())
 
-    return joined(cut) or joined([False] * len(page.tags))
+    return joined(cut) or joined(menu)
 
 
 def host_of(url: Column) -> Column:
@@ -169,25 +223,29 @@ def host_of(url: Column) -> Column:
 
 def _hash_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in in_slices(batches, "html"):
-        hosts, hashes = [], []
+        hosts, hashes, rests = [], [], []
         for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            own = {*subtree_hashes(html, parse(html)), 0}  # 0 counts the pages
+            own = subtree_hashes(html)  # 0 counts the pages
             hosts += [host] * len(own)
-            hashes += own
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], ["host", "hash"])
-
-
-def templates(pages: DataFrame, share: float = SHARE, least_hosts: int = LEAST_HOSTS) -> DataFrame:
-    """host and the hashes of its templates, for every host of ``pages`` (host, html). Counts are of pages that have a
-    subtree, whatever they repeat. As a template is on a share of a host's pages, a host has at most 1 / share times as
-    many of its own as a page has elements; what recurs across hosts counts where the host has it."""
-    counts = stash(pages.mapInArrow(_hash_rows, "host string, hash long").groupBy("host", "hash").agg(F.count("*").alias("n")))
+            hashes += own.keys()
+            rests += own.values()
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(rests, pa.int64())], ["host", "hash", "rest"])
+
+
+def templates(pages: DataFrame, share: float = SHARE, least_pages: int = LEAST_PAGES, least_hosts: int = LEAST_HOSTS) -> DataFrame:
+    """host and the hashes of its templates, for every host of ``pages`` (host, html). Counts are of pages that have a subtree
+    and differ in the rest of their text, whatever they repeat. As a template is on a share of a host's pages, a host has
+    at most 1 / share times as many of its own as a page has elements; what recurs across hosts counts where the host
+    has it."""
+    found = stash(pages.mapInArrow(_hash_rows, "host string, hash long, rest long").distinct())
+    counts = stash(found.groupBy("host", "hash").agg(F.count("*").alias("n")))
     n_pages = counts.filter("hash = 0").select("host", F.col("n").alias("n_pages"))
     subtrees = counts.filter(F.col("hash") != 0)
-    across = subtrees.groupBy("hash").agg(F.count("*").alias("n_hosts")).filter(F.col("n_hosts") >= least_hosts)
-    own = subtrees.join(n_pages, "host").filter((F.col("n") >= 2) & (F.col("n") >= share * F.col("n_pages"))).select("host", "hash")
-    found = own.unionByName(subtrees.join(across, "hash").select("host", "hash")).distinct()
-    return found.groupBy("host").agg(F.collect_list("hash").alias("templates"))
+    rests = found.filter("hash <> 0").select("hash", "rest").distinct().groupBy("hash").agg(F.count("*").alias("n_rests")).filter(F.col("n_rests") >= least_hosts)
+    across = subtrees.groupBy("hash").agg(F.count("*").alias("n_hosts")).filter(F.col("n_hosts") >= least_hosts).join(rests, "hash")
+    own = subtrees.join(n_pages, "host").filter((F.col("n") >= least_pages) & (F.col("n") >= share * F.col("n_pages"))).select("host", "hash")
+    both = own.unionByName(subtrees.join(across, "hash").select("host", "hash")).distinct()
+    return both.groupBy("host").agg(F.collect_list("hash").alias("templates"))
 
 
 def _extracted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -475,26 +475,46 @@ def test_templates_are_cut_inside_articles_and_on_small_hosts(spark):
     box, banner = "<div><a href=/join>Join us</a> today</div>", "<section><p>We use biscuits</p></section>"
     big = lambda i: f"<body><article><h1>News</h1><p>Always this line.</p>{box}<p>Story {i}</p></article></body>"
     rows = [(i, "http://big.example/", big(i)) for i in range(10)] + [(10, "http://big.example/", big(9))]
-    rows += [(20 + i, f"http://h{i}.example/", f"<body>{banner}<div>Page {i}</div></body>") for i in range(3)]
+    rows += [(20 + i, f"http://h{i}.example/", f"<body>{banner}<div>Page {i} has more text</div></body>") for i in range(3)]
     table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
     got = {r.page_id: r.text for r in html_text.extract(table).collect()}
     assert all(got[i] == f"News Always this line. Story {min(i, 9)}" for i in range(11))
-    assert all(got[20 + i] == f"Page {i}" for i in range(3))
+    assert all(got[20 + i] == f"Page {i} has more text" for i in range(3))
     assert html_text.main_text(big(1)) == "News Always this line. Join us today Story 1"  # without the templates
 
 
+def test_copies_and_names_lose_no_story(spark):
+    """Copies and near copies of a page keep its story, menus go all the same; names on what holds the story are names only."""
+    nav = "<div><a href=/>Home</a> <a href=/b>Shop</a></div>"
+    story = "<div>A story of some length that two pages of this host have in common.</div>"
+    rows = [(i, "http://h.example/", f"<body>{nav}{story}<div>Posted {i}</div></body>") for i in range(4)]
+    rows += [(10 + i, "http://h.example/", f"<body>{nav}<div>Only once</div></body>") for i in range(4)]
+    rows += [(20 + i, f"http://s{i}.example/", f"<body><div>Site {i}</div>{story}</body>") for i in range(4)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert all(got[i] == f"A story of some length that two pages of this host have in common. Posted {i}" for i in range(4))
+    assert all(got[10 + i] == "Only once" for i in range(4))
+    assert all(got[20 + i] == f"Site {i} A story of some length that two pages of this host have in common." for i in range(4))
+    hello = "<article>hello</article>"
+    for html in (f"<body class='has-sidebar'>{hello}", f"<body class=sidebar>{hello}", "<article class='share-price'>hello</article>", f"<div class='main-menu-page'>{hello}</div>", f"<div class=widget>{hello}</div>"):
+        assert html_text.main_text(html) == "hello"
+    for name in ("ad", "site-footer", "nav_menu", "box ad wide", "comments"):
+        assert html_text.main_text(f"<body><div class='{name}'>gone</div><p>this is what stays here</p></body>") == "this is what stays here"
+
+
 def test_templates_equal_counts_by_host(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("url", "html").collect()
-    of_host, pages_of = defaultdict(Counter), Counter()
+    of_host = defaultdict(dict)
     for url, html in rows:
         host = re.match(r"https?://([^/:?#]+)", url)[1]
-        pages_of[host] += 1
-        of_host[host].update(set(html_text.subtree_hashes(html, html_text.parse(html))) - {0})
-    hosts = Counter(h for c in of_host.values() for h in c)
-    want = {
-        host: {h for h, n in c.items() if (n >= 2 and n >= html_text.SHARE * pages_of[host]) or hosts[h] >= html_text.LEAST_HOSTS}
-        for host, c in of_host.items()
-    }
+        for h, rest in html_text.subtree_hashes(html).items():
+            of_host[host].setdefault(h, set()).add(rest)
+    hosts = Counter(h for c in of_host.values() for h in c if h)
+    rests = defaultdict(set)
+    for c in of_host.values():
+        for h, r in c.items():
+            rests[h] |= r
+    many = lambda h: hosts[h] >= html_text.LEAST_HOSTS and len(rests[h]) >= html_text.LEAST_HOSTS
+    want = {host: {h for h, r in c.items() if h and ((len(r) >= html_text.LEAST_PAGES and len(r) >= html_text.SHARE * len(c[0])) or many(h))} for host, c in of_host.items()}
     table = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select(html_text.host_of(F.col("url")).alias("host"), "html")
     got = {r.host: set(r.templates) for r in html_text.templates(table).collect()}
     assert got == {host: found for host, found in want.items() if found}
