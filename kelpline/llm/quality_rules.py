@@ -4,6 +4,7 @@ only."""
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,10 +26,8 @@ VECTOR = ["v_word", "v_capital", "v_mark", "v_repeat", "v_short"]
 #: texts, which don't shrink with length.
 FULL_WORDS = 3_000
 #: Share of a group's rows whose covariance has the least determinant; concentration steps end when no log determinant
-#: changes by more than STEADY, or after MOST_STEPS.
-COVERED, STEADY, MOST_STEPS = 0.75, 0.05, 30
-#: Steps from one look at the determinants to the next.
-LOOK = 2
+#: changes by more than STEADY. A warning tells of estimates that aren't steady after MOST_STEPS.
+COVERED, STEADY, MOST_STEPS = 0.75, 0.01, 60
 #: Rows that an estimate of the level above counts as in a group's: groups are shrunk to their language, these to all.
 SHRINK_ROWS = 50
 #: What each variance has more than estimated, as a share: enough for a factor in directions without any spread.
@@ -128,37 +127,54 @@ PAIRS = [(a, b) for i, a in enumerate(VECTOR) for b in VECTOR[: i + 1]]
 
 
 def _shrunk(raw: DataFrame) -> DataFrame:
-    """Level rows (at, n_rows and estimates) with each estimate drawn to that of the level above, by rows."""
-    values = [c for c in raw.columns if c not in ("at", "n_rows")]
+    """Level rows (at, n_rows, v) with the estimates v drawn to those of the level above, by rows."""
     above = raw.filter("at.level = 0")
     levels = [above]
     for level in (1, 2):
         lang = F.col("at.lang") if level == 2 else F.lit("")
         own = raw.filter(F.col("at.level") == level).withColumn("parent", F.struct(F.lit(level - 1).alias("level"), lang.alias("lang"), F.lit("").alias("source")))
-        upper = above.select(F.col("at").alias("parent"), *[F.col(c).alias(f"up_{c}") for c in values])
         part = F.col("n_rows") / (F.col("n_rows") + SHRINK_ROWS)
-        above = own.join(upper, "parent").select("at", "n_rows", *[(part * F.col(c) + (1 - part) * F.col(f"up_{c}")).alias(c) for c in values])
+        drawn = F.zip_with("v", "up", lambda x, y: part * x + (1 - part) * y)
+        above = own.join(above.select(F.col("at").alias("parent"), F.col("v").alias("up")), "parent").select("at", "n_rows", drawn.alias("v"))
         levels.append(above)
     return levels[0].unionByName(levels[1]).unionByName(levels[2])
 
 
+def _cholesky(c: Column) -> Column:
+    """The lower triangle, row by row, of the factor of a covariance that is given in this way."""
+    start = lambda row: _div(row * (row + 1), F.lit(2)).cast("int")
+
+    def entry(l: Column, place: Column) -> Column:  # noqa: E741
+        row, column = place["row"], place["column"]
+        own, other = F.slice(l, start(row) + 1, column), F.slice(l, start(column) + 1, column)
+        given = F.get(c, F.size(l))
+        left = given - F.aggregate(F.zip_with(own, other, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+        diagonal = F.sqrt(F.greatest(left + given * RIDGE, given * RIDGE) + 1e-15)
+        return F.concat(l, F.array(F.when(row == column, diagonal).otherwise(left / F.get(l, start(column) + column))))
+
+    places = F.array(*[F.struct(F.lit(i).alias("row"), F.lit(j).alias("column")) for i in range(len(VECTOR)) for j in range(i + 1)])
+    return F.aggregate(places, F.expr("cast(array() AS array<double>)"), entry)
+
+
+def _div(a: Column, b: Column) -> Column:
+    return F.call_function("div", a, b)
+
+
 def _factored(moments: DataFrame) -> DataFrame:
-    """Level rows with means m_a and covariances c_a_b: the Cholesky factor l_a_b, column by column, and log_det."""
-    out = moments
-    for k, b in enumerate(VECTOR):
-        left = lambda a, b=b, k=k: sum((-F.col(f"l_{a}_{c}") * F.col(f"l_{b}_{c}") for c in VECTOR[:k]), F.col(f"c_{a}_{b}"))
-        out = out.withColumn(f"l_{b}_{b}", F.sqrt(F.greatest(left(b) + F.col(f"c_{b}_{b}") * RIDGE, F.col(f"c_{b}_{b}") * RIDGE) + 1e-15))
-        if VECTOR[k + 1 :]:
-            out = out.withColumns({f"l_{a}_{b}": left(a) / F.col(f"l_{b}_{b}") for a in VECTOR[k + 1 :]})
-    log_det = 2 * sum((F.log(f"l_{a}_{a}") for a in VECTOR), F.lit(0.0))
-    return out.select("at", "n_rows", *[f"m_{a}" for a in VECTOR], *[f"l_{a}_{b}" for a, b in PAIRS], log_det.alias("log_det"))
+    """Level rows with v, the means and the covariances' lower triangle: the means m, its Cholesky factor l, and log_det."""
+    p = len(VECTOR)
+    found = moments.select("at", "n_rows", F.slice("v", 1, p).alias("m"), _cholesky(F.slice("v", p + 1, len(PAIRS))).alias("l"))
+    diagonal = F.filter("l", lambda x, i: F.exists(F.array(*[F.lit(k * (k + 3) // 2) for k in range(p)]), lambda k: k == i))
+    return found.withColumn("log_det", 2 * F.aggregate(diagonal, F.lit(0.0), lambda a, x: a + F.log(x)))
 
 
 def _distance() -> Column:
     """Weighted squared Mahalanobis distance by forward substitution."""
     z: list[Column] = []
+    of = lambda name, i: F.get(name, F.lit(i))
     for k, a in enumerate(VECTOR):
-        z.append(sum((-F.col(f"l_{a}_{b}") * z[j] for j, b in enumerate(VECTOR[:k])), F.col(a) - F.col(f"m_{a}")) / F.col(f"l_{a}_{a}"))
+        row = k * (k + 1) // 2
+        z.append(sum((-of("l", row + j) * z[j] for j in range(k)), F.col(a) - of("m", k)) / of("l", row + k))
     return F.col("weight") * sum((x * x for x in z), F.lit(0.0))
 
 
@@ -180,33 +196,33 @@ def fit(rows: DataFrame) -> DataFrame:
     # Written before it is filtered: a filter would be pushed down and repeat the statistics in its condition.
     vectors = stash(rows.select(_group().alias("group"), "q_failed", "weight", *VECTOR))
     passing = vectors.filter("NOT q_failed").select(F.explode(F.array(*map(_level, range(3)))).alias("at"), "weight", *VECTOR)
-    middle = stash(passing.groupBy("at").agg(F.count("*").alias("n_rows"), *[_quantile(c, 0.5).alias(f"m_{c}") for c in VECTOR]))
+    middle = stash(passing.groupBy("at").agg(F.count("*").alias("n_rows"), F.array(*[_quantile(c, 0.5) for c in VECTOR]).alias("m")))
     n_levels = middle.count()
     near = lambda estimates: join_small(passing, estimates, "at", 400 * n_levels, ["weight", *VECTOR], "inner")
 
-    off = [_quantile(F.abs(F.col(c) - F.col(f"m_{c}")) * F.sqrt("weight"), 0.5).alias(f"d_{c}") for c in VECTOR]
-    spread = near(middle.drop("n_rows")).groupBy("at").agg(*off)
-    start = middle.join(spread, "at").select("at", "n_rows", *[f"m_{c}" for c in VECTOR], *[((F.col(f"d_{a}") * 1.4826) ** 2 if a == b else F.lit(0.0)).alias(f"c_{a}_{b}") for a, b in PAIRS])
-    estimate = stash(_factored(_shrunk(start)))
-    for step in range(1, MOST_STEPS + 1):
+    off = [_quantile(F.abs(F.col(c) - F.get("m", F.lit(i))) * F.sqrt("weight"), 0.5) for i, c in enumerate(VECTOR)]
+    spread = near(middle.drop("n_rows")).groupBy("at").agg(F.array(*off).alias("d"))
+    spreads = [(F.get("d", F.lit(VECTOR.index(a))) * 1.4826) ** 2 if a == b else F.lit(0.0) for a, b in PAIRS]
+    estimate = stash(_factored(_shrunk(middle.join(spread, "at").select("at", "n_rows", F.concat("m", F.array(*spreads)).alias("v")))))
+    for _ in range(MOST_STEPS):
         far = near(estimate).select("at", "n_rows", "weight", _distance().alias("distance"), *VECTOR)
         edge = far.groupBy("at").agg(_quantile("distance", COVERED).alias("edge"))
         inner = join_small(far, edge, "at", 60 * n_levels, ["weight", *VECTOR], "inner").filter("distance <= edge")
         sums = inner.groupBy("at").agg(
-            F.first("n_rows").alias("n_rows"),
-            F.count("*").alias("n"),
-            F.sum("weight").alias("w"),
-            *[(F.sum(F.col("weight") * F.col(c)) / F.sum("weight")).alias(f"m_{c}") for c in VECTOR],
-            *[F.sum(F.col("weight") * F.col(a) * F.col(b)).alias(f"s_{a}_{b}") for a, b in PAIRS],
-        )
-        moments = sums.select("at", "n_rows", *[f"m_{c}" for c in VECTOR], *[((F.col(f"s_{a}_{b}") - F.col("w") * F.col(f"m_{a}") * F.col(f"m_{b}")) / F.col("n")).alias(f"c_{a}_{b}") for a, b in PAIRS])
+            F.first("n_rows").alias("n_rows"), F.count("*").alias("n"), F.sum("weight").alias("w"),
+            F.array(*[F.sum(F.col("weight") * F.col(c)) / F.sum("weight") for c in VECTOR]).alias("m"),
+            F.array(*[F.sum(F.col("weight") * F.col(a) * F.col(b)) for a, b in PAIRS]).alias("s"),
+        )
+        products = F.array(*[F.get("m", F.lit(VECTOR.index(a))) * F.get("m", F.lit(VECTOR.index(b))) for a, b in PAIRS])
+        moments = sums.select("at", "n_rows", F.concat("m", F.zip_with("s", products, lambda s, mm: (s - F.col("w") * mm) / F.col("n"))).alias("v"))
         last, estimate = estimate, stash(_factored(_shrunk(stash(moments))))
-        if step % LOOK == 0:
-            moved = estimate.join(last.select("at", F.col("log_det").alias("last")), "at").agg(F.max(F.abs(F.col("log_det") - F.col("last"))).alias("by")).first()
-            if moved["by"] is None or moved["by"] <= STEADY:
-                break
-    scale = near(estimate).groupBy("at").agg(F.first("n_rows").alias("n_rows"), (_quantile(_distance(), 0.5) / MIDDLE).alias("scale"))
-    held = estimate.drop("n_rows", "log_det").join(_shrunk(scale), "at").filter("at.level = 2")
+        moved = estimate.join(last.select("at", F.col("log_det").alias("last")), "at").agg(F.max(F.abs(F.col("log_det") - F.col("last"))).alias("by")).first()["by"]
+        if moved is None or moved <= STEADY:
+            break
+    else:
+        warnings.warn(f"estimates moved by {moved} in the last of {MOST_STEPS} steps", stacklevel=2)
+    scale = near(estimate).groupBy("at").agg(F.first("n_rows").alias("n_rows"), F.array(_quantile(_distance(), 0.5) / MIDDLE).alias("v"))
+    held = estimate.drop("n_rows", "log_det").join(_shrunk(scale).select("at", F.get("v", F.lit(0)).alias("scale")), "at").filter("at.level = 2")
     return stash(held.withColumn("group", F.struct("at.lang", "at.source")).drop("at"))
 
 
@@ -219,8 +235,7 @@ def judge(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     near = F.coalesce(F.col("q_distance") <= TOO_FAR, F.lit(False))
     # One condition on both sides of the join, so that no part of it is pushed below the statistics.
     against = F.greatest(F.col("q_failed").cast("int"), (~near).cast("int"))
-    extra = [f"m_{a}" for a in VECTOR] + [f"l_{a}_{b}" for a, b in PAIRS]
-    return judged.withColumn("q_kept", against == 0).drop("_group", "n_rows", "scale", *extra)
+    return judged.withColumn("q_kept", against == 0).drop("_group", "scale", "m", "l")
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:

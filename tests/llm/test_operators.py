@@ -354,7 +354,7 @@ def robust_distances(rows):
                 x = (v[near] - m) * np.sqrt(w[near])[:, None]
                 raw[-1][k] = (m, x.T @ x / len(near))
         now = shrunk(raw)
-        if step % quality_rules.LOOK == 0 and max(abs(a - b) for a, b in zip(dets(), last, strict=True)) <= quality_rules.STEADY:
+        if max(abs(a - b) for a, b in zip(dets(), last, strict=True)) <= quality_rules.STEADY:
             break
     scale = shrunk([{k: (rank(distances(at, *now[x][k]), 0.5) / quality_rules.MIDDLE,) for k, at in members[x].items()} for x in range(3)])
     out = np.zeros(len(rows))
