@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpline.jobs.tables import REQUESTS_SQL, UNITS_SQL, requests, table, units
-from kelpline.operators import evaluation, fusion, indexing, recall, retrieval
+from kelpline.operators import evaluation, fusion, index_store, indexing, recall, retrieval
 from kelpline.operators.cleaning import active_units
+from kelpline.operators.storage import new_folder
 
 #: Signals of the test data; defaults of the library are the fixed rules of the knowledge base.
 RULES = {"toxic": ["toxic", "risk"]}
@@ -182,8 +183,17 @@ kw AS (SELECT DISTINCT keyword, [keyword] AS tags FROM sk),"""
 )
 
 
-def _index(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    return indexing.build_index(units(spark, d))
+#: Where the index of a folder of tables was written by an application: it is written once and opened by the queries.
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
+def _index(spark: SparkSession, d: str) -> index_store.WrittenIndex:
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _WRITTEN:
+        path = new_folder(spark)
+        index_store.rebuild_index(units(spark, d), path)
+        _WRITTEN[key] = path
+    return index_store.open_index(spark, _WRITTEN[key])
 
 
 def _queries(spark: SparkSession, d: str) -> DataFrame:
@@ -195,7 +205,22 @@ def _hits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_rebuild_index(spark: SparkSession, d: str) -> DataFrame:
-    return indexing.index_sizes(_index(spark, d))
+    """An index written anew, by the sizes of what is read back from it."""
+    return indexing.index_sizes(index_store.rebuild_index(units(spark, d), new_folder(spark)).tables)
+
+
+def q_incremental_index(spark: SparkSession, d: str) -> DataFrame:
+    """An index of the older half of the units, extended by two batches that overlap, one of them twice: the same as an index
+    of all, with the vocabulary of the first. Postings are told by their tokens, vectors by their units."""
+    path, all_units = new_folder(spark), units(spark, d)
+    low, high = F.col("page_start") % 4 < 2, F.col("page_start") % 4 > 1
+    index_store.rebuild_index(all_units.filter(low), path)
+    index_store.add_to_index(all_units.filter("page_start % 4 BETWEEN 1 AND 2"), path, "one")
+    index_store.add_to_index(all_units.filter(high), path, "two")
+    index = index_store.add_to_index(all_units.filter(high), path, "two")
+    per_token = index["postings"].groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"), F.sum("len").alias("len"))
+    stats = index["stats"].select(F.lit(" stats").alias("token"), F.col("n_units").alias("df"), F.lit(0).cast("long").alias("tf"), F.round(F.col("avg_len") * F.col("n_units")).cast("long").alias("len"))
+    return per_token.unionByName(stats)
 
 
 def q_retrieve(spark: SparkSession, d: str) -> DataFrame:
@@ -349,7 +374,7 @@ QUERIES = {
     "ngram_vocabulary": q_ngram_vocabulary, "tfidf_norms": q_tfidf_norms, "tfidf_recall": q_tfidf_recall, "dense_recall": q_dense_recall, "normalize_vectors": q_normalize_vectors,
     "tag_search": q_tag_search, "metadata_recall": q_metadata_recall, "safety_recall": q_safety_recall, "fuse": q_fuse, "rerank": q_rerank, "rerank_requests": q_rerank_requests,
     "bundle": q_bundle, "route_debug": q_route_debug, "evaluate": q_evaluate, "evaluate_summary": q_evaluate_summary, "evaluate_by_scenario": q_evaluate_by_scenario,
-    "stage_debug": q_stage_debug, "retrieve": q_retrieve, "rebuild_index": q_rebuild_index,
+    "stage_debug": q_stage_debug, "retrieve": q_retrieve, "rebuild_index": q_rebuild_index, "incremental_index": q_incremental_index,
     "compare_targets": q_compare_targets, "discover_ground_truth": q_discover_ground_truth, "apply_ground_truth": q_apply_ground_truth, "prepare_queries": q_prepare_queries,
 }
 _TO_TFR = f"{BASE}, {_VOCABULARY}, {_VECTORS}, {_ASKED}, {_TFR.format(20)}"
@@ -379,6 +404,7 @@ ORACLES = {
     "retrieve": f"{_TO_BUNDLE} SELECT query_id, bucket, bucket_rank, unit_id, score, source FROM bundle",
     "rebuild_index": f"""{BASE}, {_VOCABULARY}, {_VECTORS}, {_POSTINGS} SELECT 'vocabulary' AS part, count(*) AS n_rows FROM vocab UNION ALL SELECT 'vectors', count(DISTINCT id) FROM vec
       UNION ALL SELECT 'postings', count(*) FROM posts UNION ALL SELECT 'tokens', count(*) FROM dfs UNION ALL SELECT 'units', n_units FROM stats""",
+    "incremental_index": f"{BASE}, {_POSTINGS} SELECT token, count(*) AS df, sum(tf)::BIGINT AS tf, sum(len)::BIGINT AS len FROM posts GROUP BY token UNION ALL SELECT ' stats', n_units, 0, round(avg_len * n_units)::BIGINT FROM stats",
     "route_debug": f"{_TO_HITS} SELECT query_id, count(*) FILTER (WHERE route = 'dense') AS dense, count(*) FILTER (WHERE route = 'sparse') AS sparse, count(*) FILTER (WHERE route = 'metadata') AS metadata, count(*) FILTER (WHERE route = 'safety') AS safety FROM hits GROUP BY query_id",
     "evaluate": f"{_TO_BUNDLE}, {_EVAL} SELECT * FROM details",
     "evaluate_summary": f"{_TO_BUNDLE}, {_EVAL} SELECT * FROM summary",

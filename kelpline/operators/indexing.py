@@ -1,4 +1,4 @@
-"""Character n-grams, TF-IDF vectors and full-text postings."""
+"""Character n-grams, TF-IDF vectors and full-text postings (I1 to I5); ``index_store`` writes them."""
 
 from __future__ import annotations
 
@@ -40,23 +40,37 @@ def char_wb_ngrams(units: DataFrame, low: int = 2, high: int = 4) -> DataFrame:
     return words.select("id", "n", F.explode(_grams_of(low, high)).alias("gram")).groupBy("id", "gram").agg(F.sum("n").alias("tf"))
 
 
+def _gram_totals(batches: Iterator[pa.RecordBatch], low: int, high: int) -> Iterator[pa.RecordBatch]:
+    """gram, total over each batch of words (w, n)."""
+    for batch in batches:
+        totals: dict[str, int] = {}
+        for word, n in zip(batch.column("w").to_pylist(), batch.column("n").to_pylist(), strict=True):
+            padded = f" {word} "
+            for size in range(low, high + 1):
+                for i in range(len(padded) - size + 1):
+                    gram = padded[i : i + size]
+                    totals[gram] = totals.get(gram, 0) + n
+        yield pa.RecordBatch.from_arrays([pa.array(totals.keys(), pa.string()), pa.array(totals.values(), pa.int64())], ["gram", "total"])
+
+
 def gram_vocabulary(units: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
     """gram, total, df, idf of the ``max_features`` grams that are most frequent in ``units`` (id, text), ties by gram.
 
     Words are counted over all units before they are cut into grams, so that a gram is made once for each distinct word;
-    units are read again only for the df of the grams that stay."""
+    units are read again only for the df of the grams that stay, in the one pass that counts the units."""
+    spark = units.sparkSession
     counted = units.select(F.explode(_words()).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    totals = counted.select("n", F.explode(_grams_of(2, 4)).alias("gram")).groupBy("gram").agg(F.sum("n").alias("total"))
+    totals = counted.mapInArrow(lambda b: _gram_totals(b, 2, 4), "gram string, total long").groupBy("gram").agg(F.sum("total").alias("total"))
     top = totals.orderBy(F.desc("total"), "gram").limit(max_features).collect()  # at most max_features, as what follows
-    counts = gram_counts(units, [r["gram"] for r in top])
-    df = {r["at"]: r["df"] for r in counts.select(F.explode("at").alias("at")).groupBy("at").agg(F.count("*").alias("df")).collect()}
-    n_units = units.count()
-    rows = [(r["gram"], r["total"], df[i], math.log((1.0 + n_units) / (1.0 + df[i])) + 1.0) for i, r in enumerate(top)]
-    return units.sparkSession.createDataFrame(rows, "gram string, total long, df long, idf double")
+    counts = gram_counts(units, [r["gram"] for r in top], every=True)
+    df = {r["at"]: r["df"] for r in counts.select(F.explode(F.concat("at", F.array(F.lit(-1)))).alias("at")).groupBy("at").agg(F.count("*").alias("df")).collect()}
+    rows = [(r["gram"], r["total"], df[i], math.log((1.0 + df.get(-1, 0)) / (1.0 + df[i])) + 1.0) for i, r in enumerate(top)]
+    return spark.createDataFrame(rows, "gram string, total long, df long, idf double")
 
 
-def _gram_rows(batches: Iterator[pa.RecordBatch], at_of: dict[str, int], idf: np.ndarray | None, low: int, high: int) -> Iterator[pa.RecordBatch]:
-    """For each unit with any of the grams: id, their places and counts, or with ``idf`` their weights at unit length."""
+def _gram_rows(batches: Iterator[pa.RecordBatch], at_of: dict[str, int], idf: np.ndarray | None, low: int, high: int, every: bool = False) -> Iterator[pa.RecordBatch]:
+    """For each unit with any of the grams, or ``every`` unit: id, their places and counts, or with ``idf`` their weights at
+    unit length."""
     known: dict[str, np.ndarray] = {}
     for batch in batches:
         ids, at, values = [], [], []
@@ -78,17 +92,21 @@ def _gram_rows(batches: Iterator[pa.RecordBatch], at_of: dict[str, int], idf: np
                 ids.append(row)
                 at.append(places)
                 values.append(counts if idf is None else weights / np.sqrt((weights * weights).sum()))
+            elif every:
+                ids.append(row)
+                at.append(np.zeros(0, np.int32))
+                values.append(np.zeros(0, np.int64))
         ends, kind = pa.array(np.cumsum([0, *map(len, at)]), pa.int32()), pa.int64() if idf is None else pa.float64()
         flat = lambda parts, t: pa.ListArray.from_arrays(ends, pa.array(np.concatenate(parts) if parts else np.zeros(0), t))
         yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(ids, pa.int64())), flat(at, pa.int32()), flat(values, kind)], ["id", "at", "tf" if idf is None else "weight"])
 
 
-def gram_counts(units: DataFrame, names: Sequence[str]) -> DataFrame:
+def gram_counts(units: DataFrame, names: Sequence[str], every: bool = False) -> DataFrame:
     """id, at, tf: how often each unit (id, text) has each of the grams ``names``, a list of bounded size, by their places;
-    of units that have any. Nothing is shuffled."""
+    of units that have any, or of ``every`` one. Nothing is shuffled."""
     at_of = units.sparkSession.sparkContext.broadcast({g: i for i, g in enumerate(names)})
     rows = units.select("id", _words().alias("words"))
-    return rows.mapInArrow(lambda b: _gram_rows(b, at_of.value, None, 2, 4), f"id {units.schema['id'].dataType.simpleString()}, at array<int>, tf array<bigint>")
+    return rows.mapInArrow(lambda b: _gram_rows(b, at_of.value, None, 2, 4, every), f"id {units.schema['id'].dataType.simpleString()}, at array<int>, tf array<bigint>")
 
 
 def gram_vectors(units: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -107,35 +125,16 @@ def build_index(units: DataFrame, max_features: int = MAX_FEATURES) -> dict[str,
     return {"vocabulary": vocabulary, "vectors": gram_vectors(active, vocabulary), "postings": text_postings(active), "stats": text_stats(active)}
 
 
-def rebuild_index(units: DataFrame, path: str, buckets: int = 64) -> DataFrame:
-    """Write the index tables below ``path``, postings by ``buckets`` of tokens, and return their sizes (part, n_rows)."""
-    spark = units.sparkSession
-    built = build_index(units)
-    built["vocabulary"].write.mode("overwrite").parquet(f"{path}/vocabulary")
-    held = spark.read.parquet(f"{path}/vocabulary")
-    gram_vectors(active_units(units), held).write.mode("overwrite").parquet(f"{path}/vectors")
-    bucketed = built["postings"].withColumn("bucket", bucket_of(F.col("token"), buckets))
-    bucketed.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    built["stats"].write.mode("overwrite").parquet(f"{path}/stats")
-    return index_sizes({name: spark.read.parquet(f"{path}/{name}") for name in built})
-
-
 def bucket_of(token: Column, buckets: int) -> Column:
     """Readers of some tokens filter postings by their buckets, which prunes the files that are read."""
     return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
 
 
-def add_to_index(units: DataFrame, path: str, buckets: int = 64) -> None:
-    """Append vectors and postings of new active ``units`` to an index, with the vocabulary that it has. The stats become
-    those of all units; document frequencies are counted from postings."""
-    spark = units.sparkSession
-    active, vocabulary = active_units(units), spark.read.parquet(f"{path}/vocabulary")
-    gram_vectors(active, vocabulary).write.mode("append").parquet(f"{path}/vectors")
-    text_postings(active).withColumn("bucket", bucket_of(F.col("token"), buckets)).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{path}/postings")
-    old, new = spark.read.parquet(f"{path}/stats").first(), text_stats(active).first()
-    n = old["n_units"] + new["n_units"]
-    total = sum(x["n_units"] * (x["avg_len"] or 0.0) for x in (old, new))
-    spark.createDataFrame([(n, total / n if n else None)], "n_units long, avg_len double").write.mode("overwrite").parquet(f"{path}/stats")
+def in_buckets(postings: DataFrame, asked: DataFrame, buckets: int) -> DataFrame:
+    """The rows of written ``postings`` that may be of the tokens ``asked`` (token). The buckets that these fall in, of which
+    there are a fixed number, become a filter of the partition column, so the folders of all others aren't read."""
+    wanted = sorted(r["bucket"] for r in asked.select(bucket_of(F.col("token"), buckets).alias("bucket")).distinct().collect())
+    return postings.filter(F.col("bucket").isin(wanted)) if len(wanted) < buckets else postings
 
 
 def index_sizes(index: dict[str, DataFrame]) -> DataFrame:
@@ -153,12 +152,21 @@ def normalize_vectors(vectors: DataFrame, column: str = "embedding") -> DataFram
     return vectors.withColumn(column, F.transform(own, lambda x: x / F.when(norm == 0, 1.0).otherwise(norm)))
 
 
+def unit_tokens(units: DataFrame) -> DataFrame:
+    """id, t: the tokens of title, text and summary."""
+    fields = [c for c in ("title", "text", "summary") if c in units.columns]
+    return units.select("id", F.concat(*[tokens(F.col(c)) for c in fields]).alias("t"))
+
+
+def count_tokens(rows: DataFrame) -> DataFrame:
+    """id, token, tf, len of unit_tokens."""
+    each = rows.select("id", F.size("t").cast("long").alias("len"), F.explode("t").alias("token"))
+    return each.groupBy("id", "token", "len").agg(F.count("*").alias("tf"))
+
+
 def text_postings(units: DataFrame) -> DataFrame:
     """id, token, tf, len: tokens over title, text and summary. tf and len are whole numbers."""
-    fields = [c for c in ("title", "text", "summary") if c in units.columns]
-    all_tokens = F.concat(*[tokens(F.col(c)) for c in fields])
-    rows = units.select("id", all_tokens.alias("t")).select("id", F.size("t").cast("long").alias("len"), F.explode("t").alias("token"))
-    return rows.groupBy("id", "token", "len").agg(F.count("*").alias("tf"))
+    return count_tokens(unit_tokens(units))
 
 
 def text_stats(units: DataFrame) -> DataFrame:

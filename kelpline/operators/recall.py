@@ -6,17 +6,20 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kelpline.functions.lexicon import SAFETY_RULES
 from kelpline.functions.text import tokens
-from kelpline.operators.indexing import document_frequencies
-
-#: Query vectors that are broadcast at a time, and rows scored at a time.
-QUERY_BLOCK, ROW_BLOCK = 4_096, 2_048
+from kelpline.operators.indexing import document_frequencies, in_buckets
+from kelpline.operators.storage import stash
+
+#: Most query vectors and other vectors of a block, about, and how many of the latter are scored at a time.
+QUERY_BLOCK, ROW_BLOCK, SLICE = 4_096, 16_384, 2_048
+#: Units of a block of postings, about, and the classes of lengths that these are counted on to fall in; and how many
+#: times the units asked for the rarest tokens are to have, from which a score to beat is found.
+BLOCK_UNITS, LENGTH_CLASSES, RARE = 64, 8, 8
 K1, B = 1.2, 0.75
 
 
@@ -55,49 +58,48 @@ def rewrites(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.posexplode("rewritten_queries").alias("rewrite_no", "text"))
 
 
-def _top(scores: np.ndarray, units: pa.Array, ids: pa.Array, numbers: np.ndarray, k: int, least: float) -> pa.RecordBatch:
-    """The hits of a block of units (columns of ``scores``) that may be among a query's ``k`` best."""
-    taken = min(k, scores.shape[1])
-    edge = np.partition(scores, scores.shape[1] - taken, axis=1)[:, scores.shape[1] - taken]
-    q, u = np.nonzero((scores >= edge[:, None] - 1e-6) & (scores > least))
-    return pa.RecordBatch.from_arrays([ids.take(pa.array(q)), pa.array(numbers[q]), units.take(pa.array(u)), pa.array(scores[q, u])], ["query_id", "rewrite_no", "unit_id", "score"])
-
-
-def _best(batches: Iterator[pa.RecordBatch], matrix: np.ndarray, ids: pa.Array, numbers: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
-    """The best ``k`` rows of each block for each query."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, ROW_BLOCK):
-            part = batch.slice(start, ROW_BLOCK)
-            vectors = part.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
-            yield _top(matrix @ vectors.T, part.column("unit_id"), ids, numbers, k, -np.inf)
-
-
-def _scattered(at: pa.ListArray, weight: pa.ListArray, width: int) -> np.ndarray:
-    """Rows of places and weights as a matrix."""
-    out = np.zeros((len(at), width))
-    out[np.repeat(np.arange(len(at)), np.diff(at.offsets.to_numpy())), at.flatten().to_numpy()] = weight.flatten().to_numpy()
-    return out
-
-
-def _best_sparse(batches: Iterator[pa.RecordBatch], matrix: np.ndarray, ids: pa.Array, numbers: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for start in range(0, batch.num_rows, ROW_BLOCK):
-            part = batch.slice(start, ROW_BLOCK)
-            vectors = _scattered(part.column("at"), part.column("weight"), matrix.shape[1])
-            yield _top(matrix @ vectors.T, part.column("unit_id"), ids, numbers, k, 0.0)
-
-
-def _block_recall(queries: DataFrame, k: int, schema: str, score: Callable[[Broadcast], DataFrame], matrix_of: Callable[[pa.Table], np.ndarray]) -> DataFrame:
-    """query_id, unit_id, score, pos of all ``queries`` (query_id, rewrite_no and their vectors), block by block."""
-    spark = queries.sparkSession
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    found = spark.createDataFrame([], schema)
-    own = queries.withColumns({"rewrite_no": F.col("rewrite_no").cast("int"), "_block": F.pmod(F.xxhash64("query_id", "rewrite_no"), F.lit(blocks))})
-    for block in range(blocks):
-        part = own.filter(F.col("_block") == block).orderBy("query_id", "rewrite_no").toArrow().combine_chunks()
-        if part.num_rows:
-            shared = spark.sparkContext.broadcast((matrix_of(part), part.column("query_id").combine_chunks(), part.column("rewrite_no").to_numpy()))
-            found = found.unionByName(score(shared))
+def _best(scores: Iterator[tuple[int, np.ndarray]], k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and value of the ``k`` best of each row of a matrix above ``least``, with those that tie once rounded; of
+    the matrix a slice of columns at a time."""
+    rows, columns, values = [], [], []
+    for start, part in scores:
+        taken = min(k, part.shape[1])
+        edge = np.partition(part, part.shape[1] - taken, axis=1)[:, part.shape[1] - taken]
+        q, u = np.nonzero((part >= edge[:, None] - 1e-6) & (part > least))
+        rows.append(q)
+        columns.append(u + start)
+        values.append(part[q, u])
+    q, u, v = map(np.concatenate, (rows, columns, values))
+    order = np.lexsort((-v, q))
+    q, u, v = q[order], u[order], v[order]
+    first = np.searchsorted(q, q)  # where the row's values begin
+    last = np.minimum(first + k - 1, np.searchsorted(q, q, "right") - 1)
+    kept = v >= v[last] - 1e-6
+    return q[kept], u[kept], v[kept]
+
+
+def _cross_recall(queries: DataFrame, rows: DataFrame, k: int, least: float, dense: Callable[[pa.Table], np.ndarray]) -> DataFrame:
+    """query_id, unit_id, score, pos of all ``queries`` (query_id, rewrite_no and their vectors) over ``rows`` (unit_id and
+    theirs). Queries and rows are dealt to blocks of a bounded size, and each block of the ones meets each of the others in a
+    task, which keeps the best ``k`` for each query. Each side is read once; the driver learns how many there are."""
+    n_queries, n_rows = queries.count(), rows.count()
+    query_blocks, row_blocks = max(1, -(-n_queries // QUERY_BLOCK)), max(1, -(-n_rows // ROW_BLOCK))
+    each = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    own = lambda n, name, *columns: F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int").alias(name)
+    asked = queries.withColumn("rewrite_no", F.col("rewrite_no").cast("int")).select("*", own(query_blocks, "_q", "query_id", "rewrite_no"), each(row_blocks, "_r"))
+    dealt = rows.select("*", own(row_blocks, "_r", "unit_id"), each(query_blocks, "_q"))
+    unit, query = rows.schema["unit_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+
+    def meet(one: pa.Table, other: pa.Table) -> pa.Table:
+        one, other = one.combine_chunks(), other.combine_chunks()
+        if not one.num_rows or not other.num_rows:
+            at = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        else:
+            matrix = dense(one)
+            at = _best(((start, matrix @ dense(other.slice(start, SLICE)).T) for start in range(0, other.num_rows, SLICE)), k, least)
+        return pa.table({"query_id": one["query_id"].take(pa.array(at[0])), "rewrite_no": one["rewrite_no"].take(pa.array(at[0])), "unit_id": other["unit_id"].take(pa.array(at[1])), "score": pa.array(at[2])})
+
+    found = asked.groupBy("_q", "_r").cogroup(dealt.groupBy("_q", "_r")).applyInArrow(meet, f"query_id {query}, rewrite_no int, unit_id {unit}, score double")
     found = found.withColumn("score", F.round("score", 6))
     top = W.partitionBy("query_id", "rewrite_no").orderBy(F.desc("score"), "unit_id")
     return first_hits(found.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= k))
@@ -106,15 +108,10 @@ def _block_recall(queries: DataFrame, k: int, schema: str, score: Callable[[Broa
 def dense_recall(queries: DataFrame, vectors: DataFrame, k: int = 50) -> DataFrame:
     """query_id, unit_id, score, pos: the exact ``k`` best inner products of each rewrite (query_id, rewrite_no,
     embedding) over ``vectors`` (unit_id, embedding), scores to 6 places and ties by unit; of a unit that several rewrites
-    find, the first one's hit. Queries are a stated set that is broadcast in blocks of about QUERY_BLOCK vectors, of which
-    the driver gets one at a time; each task keeps the best of its rows, and a partial top-k comes before the shuffle by
-    query. Every block reads the vectors once."""
-    rows = vectors.filter("embedding IS NOT NULL").select("unit_id", "embedding")
-    unit, query = vectors.schema["unit_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
-    schema = f"query_id {query}, rewrite_no int, unit_id {unit}, score double"
-    flat = lambda part: part.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+    find, the first one's hit."""
+    flat = lambda part: part["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
     asked = queries.filter("embedding IS NOT NULL").select("query_id", "rewrite_no", "embedding")
-    return _block_recall(asked, k, schema, lambda block: rows.mapInArrow(lambda b: _best(b, *block.value, k), schema), flat)
+    return _cross_recall(asked, vectors.filter("embedding IS NOT NULL").select("unit_id", "embedding"), k, -np.inf, flat)
 
 
 def first_hits(hits: DataFrame) -> DataFrame:
@@ -125,32 +122,79 @@ def first_hits(hits: DataFrame) -> DataFrame:
     return kept.select("query_id", "unit_id", "score", place.alias("pos"))
 
 
+def _scattered(at: pa.ListArray, weight: pa.ListArray, width: int) -> np.ndarray:
+    """Rows of places and weights as a matrix."""
+    out = np.zeros((len(at), width))
+    out[np.repeat(np.arange(len(at)), np.diff(at.offsets.to_numpy())), at.flatten().to_numpy()] = weight.flatten().to_numpy()
+    return out
+
+
 def sparse_dot_recall(query_vectors: DataFrame, unit_vectors: DataFrame, width: int, k: int = 50) -> DataFrame:
     """As dense_recall over (query_id, rewrite_no, at, weight) and (id, at, weight), places below ``width`` and weights in two
-    arrays: units that share no place aren't returned. Rows are laid out in blocks where they are scored."""
+    arrays: units that share no place aren't returned. Rows are laid out in slices where they are scored."""
+    whole = lambda column: column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = lambda part: _scattered(whole(part["at"]), whole(part["weight"]), width)
     rows = unit_vectors.select(F.col("id").alias("unit_id"), "at", "weight")
-    unit, query = rows.schema["unit_id"].dataType.simpleString(), query_vectors.schema["query_id"].dataType.simpleString()
-    schema = f"query_id {query}, rewrite_no int, unit_id {unit}, score double"
-    flat = lambda part: _scattered(part.column("at").combine_chunks(), part.column("weight").combine_chunks(), width)
-    asked = query_vectors.select("query_id", "rewrite_no", "at", "weight")
-    return _block_recall(asked, k, schema, lambda block: rows.mapInArrow(lambda b: _best_sparse(b, *block.value, k), schema), flat)
+    return _cross_recall(query_vectors.select("query_id", "rewrite_no", "at", "weight"), rows, k, 0.0, flat)
+
+
+def bm25_weights(queries: DataFrame, postings: DataFrame, stats: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The tokens of the rewrites (query_id, rewrite_no, token, times, df; null for one that no unit has), and the weighed
+    postings of these tokens: token, unit_id, w, block. Units of about one length are dealt to blocks of some BLOCK_UNITS."""
+    totals = stats.first()  # one row
+    tokens_of = queries.select("query_id", "rewrite_no", F.explode(tokens(F.col("text"))).alias("token"))
+    q = stash(tokens_of.groupBy("query_id", "rewrite_no", "token").agg(F.count("*").alias("times")))
+    asked = q.select("token").distinct()
+    if "buckets" in stats.columns:
+        postings = in_buckets(postings, asked, totals["buckets"])
+    near = stash(postings.select("token", "id", "tf", "len").join(asked, "token", "left_semi"))
+    df = stash(document_frequencies(near))
+    raw = F.log((F.lit(totals["n_units"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = F.when(raw > 0, raw).otherwise(1e-6) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(totals["avg_len"])))
+    parts = max(1, totals["n_units"] // (BLOCK_UNITS * LENGTH_CLASSES))
+    block = F.floor(2 * F.log2(F.col("len") + 1.0)) * parts + F.pmod(F.xxhash64("id"), F.lit(parts))
+    known = near.join(df, "token").select("token", F.col("id").alias("unit_id"), weight.alias("w"), block.alias("block"))
+    return stash(q.join(df, "token", "left")), stash(known)
+
+
+def or_hits(q: DataFrame, known: DataFrame, k: int) -> DataFrame:
+    """query_id, rewrite_no, unit_id, gain of the posting rows that may matter for the ``k`` best. The sums of a rewrite's
+    rarest tokens, which some RARE times ``k`` units have, give a score that its ``k``-th best has at least. A block of units
+    is left out where the highest weights that its units have for the rewrite's tokens add up to less."""
+    own = ["query_id", "rewrite_no"]
+    before = F.coalesce(F.sum("df").over(W.partitionBy(*own).orderBy("df", "token").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rare = q.filter("df IS NOT NULL").withColumn("_before", before).filter(F.col("_before") < RARE * k).drop("_before")
+    sums = rare.join(known, "token").groupBy(*own, "unit_id").agg(F.sum(F.col("w") * F.col("times")).alias("s"))
+    ranked = sums.withColumn("_rank", F.row_number().over(W.partitionBy(*own).orderBy(F.desc("s"))))
+    least = ranked.filter(F.col("_rank") == k).select(*own, F.col("s").alias("least"))
+    peaks = known.groupBy("token", "block").agg(F.max("w").alias("peak"))
+    meets = stash(q.join(peaks, "token").select(*own, "token", "times", "block", (F.col("peak") * F.col("times")).alias("most")))
+    reach = meets.groupBy(*own, "block").agg(F.sum("most").alias("most")).join(least, own, "left")
+    reach = reach.filter(F.col("least").isNull() | (F.col("most") >= F.col("least") - 1e-5)).select(*own, "block")
+    kept = meets.select(*own, "token", "times", "block").join(reach, [*own, "block"], "left_semi")
+    return known.join(kept, ["token", "block"]).select(*own, "unit_id", (F.col("w") * F.col("times")).alias("gain"))
+
+
+def and_hits(q: DataFrame, known: DataFrame) -> DataFrame:
+    """query_id, rewrite_no, unit_id, gain of the postings of units that have a rewrite's rarest token: only these may have
+    all. A rewrite with a token that no unit has gets none."""
+    own = ["query_id", "rewrite_no"]
+    rarest = q.groupBy(*own).agg(F.min(F.struct("df", "token")).alias("r"), F.count_if(F.col("df").isNull()).alias("absent")).filter("absent = 0")
+    units = rarest.select(*own, F.col("r.token").alias("token")).join(known.select("token", "unit_id"), "token").drop("token")
+    return units.join(q.select(*own, "token", "times"), own).join(known, ["token", "unit_id"]).select(*own, "unit_id", (F.col("w") * F.col("times")).alias("gain"))
 
 
 def bm25_recall(queries: DataFrame, postings: DataFrame, stats: DataFrame, k: int = 30, op: str = "and") -> DataFrame:
     """query_id, unit_id, score, pos of the ``k`` best units of each rewrite (query_id, rewrite_no, text): those with all
     of its tokens (op "and") or any ("or"). The score is negative, and less is better: minus the sum over the query's
     tokens, repeats counted again, of idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len / avg_len)), where idf is
-    ln((N - n + .5) / (n + .5)), or 1e-6 if that isn't positive. Postings are first cut to the queries' tokens."""
-    q = queries.select("query_id", "rewrite_no", F.explode(tokens(F.col("text"))).alias("token")).groupBy("query_id", "rewrite_no", "token").agg(F.count("*").alias("times"))
-    wanted = q.groupBy("query_id", "rewrite_no").agg(F.count("*").alias("distinct_tokens"))
-    near = postings.join(q.select("token").distinct(), "token", "left_semi")
-    known = near.join(document_frequencies(near), "token").crossJoin(F.broadcast(stats))  # one row of totals
-    raw = F.log((F.col("n_units") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = F.when(raw > 0, raw).otherwise(1e-6)
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    hits = known.select("token", F.col("id").alias("unit_id"), weight.alias("w")).join(q, "token")
-    scored = hits.groupBy("query_id", "rewrite_no", "unit_id").agg(F.round(-F.sum(F.col("w") * F.col("times")), 6).alias("score"), F.count("*").alias("n"))
+    ln((N - n + .5) / (n + .5)), or 1e-6 if that isn't positive. Postings are first cut to the queries' tokens, those of a
+    written index by buckets; of them only rows that may matter meet the queries (``or_hits``, ``and_hits``)."""
+    q, known = bm25_weights(queries, postings, stats)
+    hits = and_hits(q, known) if op == "and" else or_hits(q, known, k)
+    scored = hits.groupBy("query_id", "rewrite_no", "unit_id").agg(F.round(-F.sum("gain"), 6).alias("score"), F.count("*").alias("n"))
     if op == "and":
+        wanted = q.groupBy("query_id", "rewrite_no").agg(F.count("*").alias("distinct_tokens"))
         scored = scored.join(wanted, ["query_id", "rewrite_no"]).filter("n = distinct_tokens")
     top = W.partitionBy("query_id", "rewrite_no").orderBy("score", "unit_id")
     return first_hits(scored.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= k))

@@ -53,7 +53,7 @@ def retrieve(
     top_k_passages: int = 5,
 ) -> DataFrame:
     """Evidence bundles of all ``requests`` (query_id, patient_text): their ``analyses`` are joined, the ``routes`` recall
-    units by an index (``indexing.build_index``), hits are fused, re-ranked by ``replies`` (query_id, scores; a query
+    units by an index (``index_store.open_index``, or ``indexing.build_index``), hits are fused, re-ranked by ``replies`` (query_id, scores; a query
     without any keeps its order) and laid out in buckets."""
     queries = recall.prepare_queries(requests, analyses)
     fused = fusion.fuse(recall_hits(queries, units, index, rules, routes, op), units)

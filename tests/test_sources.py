@@ -19,4 +19,4 @@ def test_stream_skips_known_files(spark, tmp_path):
     for turn in range(2):
         spark.createDataFrame([("/a", 1, "same words"), (f"/b{turn}", 1, "more words")], schema).write.mode("append").parquet(source)
         stream_documents(spark, source, schema, units, registry, check).awaitTermination()
-    assert sorted(r.doc_id for r in spark.read.parquet(units).collect()) == ["/a", "/b0", "/b1"]
+    assert sorted(r.doc_id for r in spark.read.option("recursiveFileLookup", "true").parquet(units).collect()) == ["/a", "/b0", "/b1"]
