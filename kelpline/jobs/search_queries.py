@@ -12,7 +12,7 @@ from kelpline.operators.storage import new_folder
 
 #: Signals of the test data; defaults of the library are the fixed rules of the knowledge base.
 RULES = {"toxic": ["toxic", "risk"]}
-BASE = f"WITH units AS ({UNITS_SQL}), active AS (SELECT * FROM units WHERE source_status IN ('main', 'candidate')), requests AS ({REQUESTS_SQL})"
+BASE = f"WITH units AS ({UNITS_SQL}), active AS (SELECT * FROM units WHERE source_status IN ('main', 'candidate')), reviewed AS (SELECT * REPLACE (CASE WHEN page_start % 9 = 0 THEN 'quarantined' ELSE source_status END AS source_status) FROM units), requests AS ({REQUESTS_SQL})"
 _TOKENS = r"regexp_extract_all(lower(coalesce({0}, '')), '[\p{{L}}\p{{N}}]+')"
 
 _POSTINGS = f"""
@@ -263,7 +263,9 @@ ranked AS (SELECT query_id, unit_id, score, source, safety_boost, row_number() O
 
 
 def _bundle(spark: SparkSession, d: str) -> DataFrame:
-    return fusion.assemble_bundle(q_rerank(spark, d), units(spark, d))
+    """Bundles of units that a review of every ninth has quarantined since they were indexed."""
+    status = F.when(F.col("page_start") % 9 == 0, "quarantined").otherwise(F.col("source_status"))
+    return fusion.assemble_bundle(q_rerank(spark, d), units(spark, d).withColumn("source_status", status))
 
 
 def q_bundle(spark: SparkSession, d: str) -> DataFrame:
@@ -271,7 +273,7 @@ def q_bundle(spark: SparkSession, d: str) -> DataFrame:
 
 
 _BUNDLE = """
-bp AS (SELECT r.*, u.source_status, u.source_type, u.semantic_tags, u.scenario_tags, u.card_targets, unnest(list_concat([CASE WHEN u.source_status = 'quarantined' THEN 'excluded' WHEN safety_boost > 0 THEN 'safety' WHEN u.source_status = 'candidate' THEN 'candidate' ELSE 'supporting' END], u.card_targets)) AS bucket FROM ranked r JOIN units u ON u.id = unit_id),
+bp AS (SELECT r.*, u.source_status, u.source_type, u.semantic_tags, u.scenario_tags, u.card_targets, unnest(list_concat([CASE WHEN u.source_status = 'quarantined' THEN 'excluded' WHEN safety_boost > 0 THEN 'safety' WHEN u.source_status = 'candidate' THEN 'candidate' ELSE 'supporting' END], u.card_targets)) AS bucket FROM ranked r JOIN reviewed u ON u.id = unit_id),
 br AS (SELECT *, row_number() OVER (PARTITION BY query_id, bucket ORDER BY pos)::INT AS bucket_rank FROM bp),
 bundle AS (SELECT * FROM br WHERE bucket_rank <= CASE WHEN bucket = 'supporting' THEN 5 WHEN bucket IN ('excluded', 'safety', 'candidate') THEN 1000000000 ELSE 3 END)"""
 
@@ -291,7 +293,23 @@ def q_rerank_requests(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_evaluate(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.evaluate(_bundle(spark, d), requests(spark, d))
+    return evaluation.evaluate(_bundle(spark, d), _gold(spark, d))
+
+
+def _gold(spark: SparkSession, d: str) -> DataFrame:
+    """The requests with the active units that contain some of their passage."""
+    found = evaluation.passages_in_units(requests(spark, d), active_units(units(spark, d)))
+    return requests(spark, d).join(found, "query_id", "left").withColumn("must_include_ids", F.coalesce("must_include_ids", F.expr("cast(array() AS array<string>)")))
+
+
+def q_passages(spark: SparkSession, d: str) -> DataFrame:
+    return _gold(spark, d).select("query_id", F.array_join("must_include_ids", ",").alias("ids"))
+
+
+_GOLD = r"""
+pw AS (SELECT 'unit' AS side, id AS key, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS t FROM active UNION ALL SELECT 'request', query_id::VARCHAR, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') FROM requests),
+ps AS (SELECT DISTINCT side, key, array_to_string(t[i:i + 7], ' ') AS g FROM (SELECT side, key, t, unnest(range(1, len(t) - 6)) AS i FROM pw WHERE len(t) >= 8)),
+gold AS (SELECT r.key::BIGINT AS query_id, list(DISTINCT u.key ORDER BY u.key) AS must_include_ids FROM ps r JOIN ps u ON r.g = u.g WHERE r.side = 'request' AND u.side = 'unit' GROUP BY r.key)"""
 
 
 _EVAL = """
@@ -299,14 +317,14 @@ ei AS (SELECT query_id, unit_id, source_status, source_type, semantic_tags, scen
 eg AS (SELECT query_id, count(*) AS n, list(unit_id) FILTER (WHERE rn <= 10) AS ids, list(source_type) AS st, list_distinct(list_concat(flatten(list(semantic_tags)), flatten(list(scenario_tags)))) AS tags, flatten(list(card_targets)) AS ct, count(*) FILTER (WHERE source_status = 'quarantined') AS bad FROM ei GROUP BY query_id),
 eb AS (SELECT query_id, count(*) FILTER (WHERE bucket = 'safety') AS ns, count(*) FILTER (WHERE bucket = 'excluded') AS nq FROM bundle GROUP BY query_id),
 details AS (SELECT r.query_id, scenario, risk_level, coalesce(n, 0)::INT AS n_items,
-  round(len(list_intersect(list_distinct(coalesce(ids, [])), must_include_ids)) / len(must_include_ids), 6) AS recall_at_10,
+  CASE WHEN must_include_ids IS NULL THEN 1.0::DOUBLE ELSE round(len(list_intersect(list_distinct(coalesce(ids, [])), must_include_ids)) / len(must_include_ids), 6) END AS recall_at_10,
   CASE WHEN risk_level IN ('high', 'medium') AND coalesce(ns, 0) = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS safety_hit,
   round(CASE WHEN coalesce(n, 0) > 0 THEN nq / n ELSE 0 END, 6) AS noise_rate,
   round(len(list_intersect(coalesce(tags, []), expected_tags)) / len(expected_tags), 6) AS tag_match,
   round(len(list_intersect(list_distinct(coalesce(st, [])), must_include_source_types)) / len(must_include_source_types), 6) AS source_type_match,
   round(greatest(0.0::DOUBLE, 1.0::DOUBLE - coalesce(bad, 0) / greatest(coalesce(n, 0), 1)), 6) AS flag_check,
   round(len(list_intersect(list_distinct(coalesce(ct, [])), must_include_card_targets)) / len(must_include_card_targets), 6) AS card_target_match
-  FROM requests r LEFT JOIN eg USING (query_id) LEFT JOIN eb USING (query_id)),
+  FROM requests r LEFT JOIN gold USING (query_id) LEFT JOIN eg USING (query_id) LEFT JOIN eb USING (query_id)),
 summary AS (SELECT count(*) AS total_queries, round(avg(recall_at_10), 4) AS recall_at_10, round(avg(safety_hit), 4) AS safety_hit_rate, round(avg(noise_rate), 4) AS noise_rate, round(avg(tag_match), 4) AS avg_tag_match, round(avg(source_type_match), 4) AS avg_source_type_match, round(avg(flag_check), 4) AS avg_flag_check, round(avg(card_target_match), 4) AS avg_card_target_match FROM details)"""
 
 
@@ -351,7 +369,7 @@ tfr AS (SELECT query_id, id, score, pos FROM (SELECT *, row_number() OVER (PARTI
 
 def q_apply_ground_truth(spark: SparkSession, d: str) -> DataFrame:
     judged = _ground_truth(spark, d).withColumn("relevance_note", F.when((F.col("query_id") % 3 != 0) & (F.col("rank") % 2 == 1), " Relevant").otherwise("no"))
-    done = evaluation.apply_ground_truth(requests(spark, d), judged)
+    done = evaluation.apply_ground_truth(_gold(spark, d), judged)
     return done.select("query_id", F.array_join("must_include_ids", ",").alias("ids"))
 
 
@@ -374,7 +392,7 @@ QUERIES = {
     "ngram_vocabulary": q_ngram_vocabulary, "tfidf_norms": q_tfidf_norms, "tfidf_recall": q_tfidf_recall, "dense_recall": q_dense_recall, "normalize_vectors": q_normalize_vectors,
     "tag_search": q_tag_search, "metadata_recall": q_metadata_recall, "safety_recall": q_safety_recall, "fuse": q_fuse, "rerank": q_rerank, "rerank_requests": q_rerank_requests,
     "bundle": q_bundle, "route_debug": q_route_debug, "evaluate": q_evaluate, "evaluate_summary": q_evaluate_summary, "evaluate_by_scenario": q_evaluate_by_scenario,
-    "stage_debug": q_stage_debug, "retrieve": q_retrieve, "rebuild_index": q_rebuild_index, "incremental_index": q_incremental_index,
+    "stage_debug": q_stage_debug, "retrieve": q_retrieve, "rebuild_index": q_rebuild_index, "incremental_index": q_incremental_index, "passages": q_passages,
     "compare_targets": q_compare_targets, "discover_ground_truth": q_discover_ground_truth, "apply_ground_truth": q_apply_ground_truth, "prepare_queries": q_prepare_queries,
 }
 _TO_TFR = f"{BASE}, {_VOCABULARY}, {_VECTORS}, {_ASKED}, {_TFR.format(20)}"
@@ -401,16 +419,17 @@ ORACLES = {
     "bundle": f"{_TO_BUNDLE} SELECT query_id, bucket, bucket_rank, unit_id, score FROM bundle",
     "stage_debug": f"""{_TO_HITS}, {_FUSE}, {_RERANK}, st AS (SELECT query_id, unit_id, 'fused' AS stage FROM fused UNION ALL SELECT query_id, unit_id, 'ranked' FROM ranked)
       SELECT query_id, stage, coalesce(source_type, 'unknown') AS source_type, count(*) AS n FROM st LEFT JOIN units ON id = unit_id GROUP BY ALL""",
-    "retrieve": f"{_TO_BUNDLE} SELECT query_id, bucket, bucket_rank, unit_id, score, source FROM bundle",
+    "retrieve": f"{_TO_BUNDLE.replace('JOIN reviewed', 'JOIN units')} SELECT query_id, bucket, bucket_rank, unit_id, score, source FROM bundle",
     "rebuild_index": f"""{BASE}, {_VOCABULARY}, {_VECTORS}, {_POSTINGS} SELECT 'vocabulary' AS part, count(*) AS n_rows FROM vocab UNION ALL SELECT 'vectors', count(DISTINCT id) FROM vec
       UNION ALL SELECT 'postings', count(*) FROM posts UNION ALL SELECT 'tokens', count(*) FROM dfs UNION ALL SELECT 'units', n_units FROM stats""",
     "incremental_index": f"{BASE}, {_POSTINGS} SELECT token, count(*) AS df, sum(tf)::BIGINT AS tf, sum(len)::BIGINT AS len FROM posts GROUP BY token UNION ALL SELECT ' stats', n_units, 0, round(avg_len * n_units)::BIGINT FROM stats",
+    "passages": f"{BASE}, {_GOLD} SELECT query_id, coalesce(array_to_string(must_include_ids, ','), '') AS ids FROM requests LEFT JOIN gold USING (query_id)",
     "route_debug": f"{_TO_HITS} SELECT query_id, count(*) FILTER (WHERE route = 'dense') AS dense, count(*) FILTER (WHERE route = 'sparse') AS sparse, count(*) FILTER (WHERE route = 'metadata') AS metadata, count(*) FILTER (WHERE route = 'safety') AS safety FROM hits GROUP BY query_id",
-    "evaluate": f"{_TO_BUNDLE}, {_EVAL} SELECT * FROM details",
-    "evaluate_summary": f"{_TO_BUNDLE}, {_EVAL} SELECT * FROM summary",
-    "evaluate_by_scenario": f"{_TO_BUNDLE}, {_EVAL} SELECT scenario, count(*) AS count, round(avg(recall_at_10), 4) AS avg_recall, round(avg(safety_hit), 4) AS avg_safety, round(avg(source_type_match), 4) AS avg_source_type FROM details GROUP BY scenario",
-    "compare_targets": f"{_TO_BUNDLE}, {_EVAL} {_TARGETS}",
+    "evaluate": f"{_TO_BUNDLE}, {_GOLD}, {_EVAL} SELECT * FROM details",
+    "evaluate_summary": f"{_TO_BUNDLE}, {_GOLD}, {_EVAL} SELECT * FROM summary",
+    "evaluate_by_scenario": f"{_TO_BUNDLE}, {_GOLD}, {_EVAL} SELECT scenario, count(*) AS count, round(avg(recall_at_10), 4) AS avg_recall, round(avg(safety_hit), 4) AS avg_safety, round(avg(source_type_match), 4) AS avg_source_type FROM details GROUP BY scenario",
+    "compare_targets": f"{_TO_BUNDLE}, {_GOLD}, {_EVAL} {_TARGETS}",
     "discover_ground_truth": f"{_TO_TRUTH} SELECT t.*, md5(substring(text, 1, 300)) AS text_preview FROM truth t JOIN units ON id = unit_id",
-    "apply_ground_truth": f"{_TO_TRUTH}, j AS (SELECT query_id, string_agg(unit_id, ',' ORDER BY rank) AS g FROM truth WHERE query_id % 3 <> 0 AND rank % 2 = 1 GROUP BY query_id) SELECT query_id, coalesce(g, array_to_string(must_include_ids, ',')) AS ids FROM requests LEFT JOIN j USING (query_id)",
+    "apply_ground_truth": f"{_TO_TRUTH}, {_GOLD}, j AS (SELECT query_id, string_agg(unit_id, ',' ORDER BY rank) AS g FROM truth WHERE query_id % 3 <> 0 AND rank % 2 = 1 GROUP BY query_id) SELECT query_id, coalesce(j.g, array_to_string(must_include_ids, ','), '') AS ids FROM requests LEFT JOIN gold USING (query_id) LEFT JOIN j USING (query_id)",
     "prepare_queries": SQL_PREPARE,
 }

@@ -47,7 +47,7 @@ SELECT item_id AS query_id, 0 AS rewrite_no, text,
   concat('scenario_', cast(item_id % 5 AS {string})) AS scenario,
   array(concat('topic_src', cast(item_id % 20 AS {string})), 'en') AS expected_tags,
   array('pdf_book', 'paper') AS must_include_source_types, array('healing', 'communication') AS must_include_card_targets,
-  array('quarantined') AS must_not_include_flags, array(cast(item_id AS {string})) AS must_include_ids
+  array('quarantined') AS must_not_include_flags
 FROM benchmark
 """
 

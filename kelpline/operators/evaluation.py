@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from kelpline.functions.lexicon import TARGETS
 from kelpline.functions.text import preview
+from kelpline.operators.storage import stash
 
 #: Buckets whose items are evaluated, in order.
 ITEMS = ["supporting", "mindfulness", "healing", "communication", "personalized"]
@@ -24,6 +25,25 @@ def recall_at_k(ids: Column, expected: Column, k: int = 10) -> Column:
     return _share(F.slice(ids, 1, k), expected)
 
 
+def _runs(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """key, run: a hash of each ``size`` words in a row of the text. Words are a column of their own, so that they are split once
+    for all runs."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    split = rows.select(key, words.alias("_words")).filter(F.size("_words") >= size)
+    runs = F.transform(F.sequence(F.lit(1), F.size("_words") - size + 1), lambda i: F.xxhash64(F.slice("_words", i, size)))
+    return split.select(key, F.explode(F.array_distinct(runs)).alias("run"))
+
+
+def passages_in_units(requests: DataFrame, units: DataFrame, size: int = 8, most_broadcast: int = 1 << 20) -> DataFrame:
+    """query_id, must_include_ids: the units, by id, that share ``size`` words in a row with the text of a request; of requests
+    that have any. Runs of words meet by their hashes; units' runs aren't shuffled while the requests have at most
+    ``most_broadcast`` of them."""
+    asked = stash(_runs(requests, "query_id", size))
+    asked = F.broadcast(asked) if asked.count() <= most_broadcast else asked
+    found = _runs(units, "id", size).join(asked, "run").select("query_id", "id").distinct()
+    return found.groupBy("query_id").agg(F.sort_array(F.collect_list("id")).alias("must_include_ids"))
+
+
 def evaluate(bundle: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """A row for each query (query_id, scenario, risk_level, must_include_ids, expected_tags, must_include_source_types,
     must_include_card_targets, must_not_include_flags) with the seven metrics. Items are those of ITEMS in order, with

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from kelpline.functions.lexicon import SAFETY_RULES
 from kelpline.functions.text import tokens
 from kelpline.operators.indexing import document_frequencies, in_buckets
+from kelpline.operators.matching import contained, first_units
 from kelpline.operators.storage import stash
 
 #: Most query vectors and other vectors of a block, about, and how many of the latter are scored at a time.
@@ -218,12 +219,13 @@ def highlight_snippet(hits: DataFrame, units: DataFrame, queries: DataFrame, wid
 
 def search_by_tags(wanted: DataFrame, units: DataFrame, field: str, limit: int = 20) -> DataFrame:
     """key, unit_id, pos: of each key the first ``limit`` active units by id with an element of ``field`` that contains
-    one of its tags (key, tag), whatever the case. Tags are matched to the distinct elements, which are few, and only
-    those are joined to units."""
+    one of its tags (key, tag), whatever the case. The distinct tags meet the distinct elements by a gram
+    (``matching.contained``), and only the first units of an element are joined to the keys."""
     active = units.filter(F.col("source_status").isin("main", "candidate")).select(F.col("id").alias("unit_id"), F.explode(field).alias("element"))
-    elements = active.select("element").distinct()
-    matched = elements.join(wanted.select("key", "tag"), F.expr("contains(lower(element), lower(tag))")).select("key", "element").distinct()
-    found = active.join(matched, "element").select("key", "unit_id").distinct()
+    elements = active.select("unit_id", F.lower("element").alias("hay")).filter("hay IS NOT NULL")
+    tags = wanted.select("key", F.lower("tag").alias("needle")).distinct()
+    pairs = contained(tags, elements).join(tags, "needle").select("key", "hay").distinct()
+    found = first_units(elements, pairs, limit)
     return found.withColumn("pos", F.row_number().over(W.partitionBy("key").orderBy("unit_id"))).filter(F.col("pos") <= limit)
 
 

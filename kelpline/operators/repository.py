@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from kelpline.functions.lexicon import PRIORITY_STATUS, SOURCE_KINDS
 from kelpline.functions.text import preview, strip
+from kelpline.operators.matching import contained
+from kelpline.operators.storage import stash
 
 
 def detect_source_type(files: DataFrame, path: str) -> DataFrame:
@@ -34,8 +36,7 @@ def _mapped(column: Column, values: dict[str, str | None]) -> Column:
 
 def plan_manifest(manifest: DataFrame, files: DataFrame) -> DataFrame:
     """Each manifest row with source_type, path, source_status and reason (null: import it). A file is found by its name,
-    or else by the first 60 characters of one name within the other. Files are a listing that fits a join with the few
-    rows that no equal name was found for."""
+    or else by the first 60 characters of one name within the other (of several files the first name), which meet by a gram."""
     name = F.substring_index(F.substring_index(F.regexp_replace(F.trim("local_path"), r"\\", "/"), "/", -1), " | ", 1)
     rows = manifest.withColumns(
         {
@@ -49,8 +50,13 @@ def plan_manifest(manifest: DataFrame, files: DataFrame) -> DataFrame:
     listed = files.groupBy("file_name").agg(F.max("full_path").alias("full_path"))
     exact = rows.join(listed, rows["_name"] == listed["file_name"], "left").drop("file_name")
     rest = exact.filter(usable & F.col("full_path").isNull()).select("item_id", "_name")
-    near = rest.join(listed, listed["file_name"].contains(F.substring("_name", 1, 60)) | F.expr("contains(_name, substring(file_name, 1, 60))"))
-    near = near.groupBy("item_id").agg(F.min_by("full_path", "file_name").alias("_near"))
+    begin = lambda column: F.substring(column, 1, 60)
+    in_file = contained(rest.select(begin("_name").alias("needle")), listed.select(F.col("file_name").alias("hay")))
+    of_file = contained(listed.select(begin("file_name").alias("needle")), rest.select(F.col("_name").alias("hay")))
+    by_begin = rest.withColumn("needle", begin("_name")).join(in_file, "needle").select("item_id", F.col("hay").alias("file_name"))
+    by_file = rest.join(of_file, rest["_name"] == of_file["hay"]).select("item_id", "needle")
+    by_file = by_file.join(listed.select("file_name", begin("file_name").alias("needle")), "needle").select("item_id", "file_name")
+    near = by_begin.unionByName(by_file).join(listed, "file_name").groupBy("item_id").agg(F.min_by("full_path", "file_name").alias("_near"))
     found = exact.join(near, "item_id", "left").withColumn("path", F.when(usable, F.coalesce("full_path", "_near")))
     reason = F.when(F.col("source_type").isNull(), "kind").when(~usable, "no path").when(F.col("path").isNull(), "no file")
     return found.withColumn("reason", reason).select("item_id", "title", "path", "source_type", "source_status", "reason")
@@ -87,6 +93,32 @@ def upsert_units(existing: DataFrame, incoming: DataFrame, version: str = "updat
     return both.withColumn("_rank", F.row_number().over(last)).filter("_rank = 1").drop("_rank", "_turn")
 
 
+#: Folders of a table of units by id.
+ID_BUCKETS = 64
+
+
+def id_bucket(buckets: int = ID_BUCKETS) -> Column:
+    return F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")
+
+
+def create_units_table(units: DataFrame, path: str, buckets: int = ID_BUCKETS) -> None:
+    """Write ``units`` below ``path`` in folders by a hash of the id."""
+    units.withColumn("bucket", id_bucket(buckets)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def upsert_units_table(incoming: DataFrame, path: str, buckets: int = ID_BUCKETS, version: str = "updated_at") -> list[int]:
+    """``upsert_units`` of ``incoming`` into the table at ``path``; the folders that were written again. Only folders with an
+    incoming id are read and replaced; files of the others stay as they are. Their new rows are written elsewhere first,
+    so that nothing is read from a folder while it is replaced."""
+    spark = incoming.sparkSession
+    new = stash(incoming.withColumn("bucket", id_bucket(buckets)))
+    touched = sorted(r["bucket"] for r in new.select("bucket").distinct().collect())  # at most ``buckets``
+    old = spark.read.parquet(path).filter(F.col("bucket").isin(touched))
+    merged = stash(upsert_units(old.select(*new.columns), new, version))
+    merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    return touched
+
+
 def ingest_results(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     """doc_id, total_segments, chunk_count (not quarantined), quarantined_count, parse_status."""
     bad = F.col("source_status") == "quarantined"
