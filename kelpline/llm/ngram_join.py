@@ -27,7 +27,7 @@ MOST_MATCHES, VERIFY_COST = 4, 8.0
 #: Rows of a frequent token that meet in one group; a more frequent one is dealt to several.
 GROUP_ROWS = 4_096
 #: Tokens ahead of a posting that it carries.
-AHEAD = 10
+AHEAD = 8
 #: Shared prefix tokens from which a group's first set is compared at once. This only saves work: all other candidates
 #: between components are compared afterwards.
 EARLY_MATCHES = 3
@@ -65,12 +65,34 @@ def prefix(tokens: np.ndarray, order: Order) -> tuple[np.ndarray, np.ndarray]:
     return tokens[taken], counts[taken]
 
 
-PROFILE = "doc_id long, key binary, n_shingles long, token long, n long"
-_PROFILE = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n_shingles", pa.int64()), ("token", pa.int64()), ("n", pa.int64())])
+#: Bits of a sketch for each token, about, and the most as a power of two.
+SKETCH_BITS, MOST_SKETCH = 4, 20
+
+
+def sketch(tokens: np.ndarray) -> bytes:
+    """The parity of the number of tokens at each of a power of two of places."""
+    bits = 1 << min(MOST_SKETCH, max(6, (SKETCH_BITS * len(tokens)).bit_length()))
+    odd = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """Tokens that are in one of two sets only, at least: places with another parity. The longer sketch is folded."""
+    if len(a) < len(b):
+        a, b = b, a
+    one, other, bits = int.from_bytes(a, "little"), int.from_bytes(b, "little"), 8 * len(a)
+    while bits > 8 * len(b):
+        bits //= 2
+        one = (one >> bits) ^ (one & ((1 << bits) - 1))
+    return (one ^ other).bit_count()
+
+
+PROFILE = "doc_id long, key binary, n_shingles long, sketch binary, token long, n long"
+_PROFILE = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n_shingles", pa.int64()), ("sketch", pa.binary()), ("token", pa.int64()), ("n", pa.int64())])
 
 
 def _profile(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row (doc_id, key, n_shingles) for each text, and for each slice rows (token, n) of the tokens that several of its
+    """A row (doc_id, key, n_shingles, sketch) for each text, and for each slice rows (token, n) of the tokens that several of its
     distinct sets have, with how many."""
     for batch in in_slices(batches, "text"):
         keys, sets = [], {}
@@ -82,11 +104,11 @@ def _profile(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts = np.unique(np.concatenate(list(sets.values())), return_counts=True)
         often = counts > 1
         n, m = len(keys), int(often.sum())
-        sizes = [len(sets[k]) for k in keys]
+        sizes, sketches = [len(sets[k]) for k in keys], {k: sketch(t) for k, t in sets.items()}
         none = lambda k, t: pa.nulls(k, t)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), none(n, pa.int64()), none(n, pa.int64())], schema=_PROFILE)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array([sketches[k] for k in keys], pa.binary()), none(n, pa.int64()), none(n, pa.int64())], schema=_PROFILE)
         if m:
-            yield pa.RecordBatch.from_arrays([none(m, pa.int64()), none(m, pa.binary()), none(m, pa.int64()), pa.array(tokens[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], schema=_PROFILE)
+            yield pa.RecordBatch.from_arrays([none(m, pa.int64()), none(m, pa.binary()), none(m, pa.int64()), none(m, pa.binary()), pa.array(tokens[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], schema=_PROFILE)
 
 
 #: facts is the set's size * 2 ** 24 + the token's place in its prefix; the part is 0 but for tokens dealt to several
@@ -147,9 +169,25 @@ def _marked(batches: Iterable[pa.RecordBatch], wanted: Bits) -> Iterator[pa.Reco
         yield batch.select(["doc_id", "text"]).filter(pa.array(mask))
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of ids whose texts link, as (u, v). Only texts of ids in a pair are shuffled."""
-    pairs = stash(pairs)
+def _may_link(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        kept = []
+        for a_n, b_n, a, b in zip(*(batch.column(c).to_pylist() for c in ("a_n", "b_n", "a_sketch", "b_sketch")), strict=True):
+            shared = -(-(a_n + b_n) * NUMERATOR // (NUMERATOR + DENOMINATOR))
+            kept.append(least_difference(a, b) <= a_n + b_n - 2 * shared)
+        yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+
+def unlike_left_out(pairs: DataFrame, profile: DataFrame) -> DataFrame:
+    """The pairs (a, b) but for those whose sketches differ at more places than linked sets of their sizes can. Sketches are
+    a fraction of the texts that the rest is compared by."""
+    side = lambda x: profile.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_sketch"))
+    return pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").mapInArrow(_may_link, "a long, b long").distinct()
+
+
+def verified(pairs: DataFrame, docs: DataFrame, profile: DataFrame) -> DataFrame:
+    """The pairs (a, b) of ids whose texts link, as (u, v). Only texts of ids in a pair that sketches leave are shuffled."""
+    pairs = stash(unlike_left_out(pairs, profile))
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     wanted = gather_bits(ids.select(F.xxhash64("id").alias("mark")))
     marked = docs.withColumn("mark", F.xxhash64("doc_id"))
@@ -181,13 +219,14 @@ def link_components(docs: DataFrame) -> DataFrame:
 
     Copies share a class before anything is compared. Each class sends its prefix to groups by token. In a group the
     first set is compared with the others first, which joins most near copies into components; then only pairs of
-    different components that share enough prefix tokens are compared. So a large group of near copies costs its size
+    different components that share enough prefix tokens are compared, first by sketches. So a large group of near copies costs its size
     rather than its square, and no link between components is left out. Sets are compared whole, by 64-bit hashes of
     their shingles.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     told = stash(rows.mapInArrow(_profile, PROFILE))
     profile = told.filter("key IS NOT NULL").select("doc_id", "key", "n_shingles")
+    sketches = told.filter("key IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "n_shingles", "sketch")
     named = rows.filter("doc_id IS NOT NULL")
     n_tokens = profile.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("n")).first()["n"]
     classes = profile.filter("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("class_id"))
@@ -211,10 +250,10 @@ def link_components(docs: DataFrame) -> DataFrame:
     postings = stash(_asking(met.select("token", "part", F.col("doc_id").alias("id"), "facts", "n")))
 
     early = stash(_early_pairs(postings))
-    links = stash(verified(early, named))
+    links = stash(verified(early, named, sketches))
     joined = components(links).select(F.col("node").alias("id"), "component")
     late = _late_pairs(postings, joined).join(early, ["a", "b"], "left_anti")
-    links = links.unionByName(verified(late, named))
+    links = links.unionByName(verified(late, named, sketches))
     found = components(links).select(F.col("node").alias("class_id"), F.col("component").alias("component_id"))
     own = members.withColumn("class_id", F.coalesce("class_id", "doc_id"))
     return own.join(found, "class_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "class_id").alias("component_id"))

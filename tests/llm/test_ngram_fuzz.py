@@ -38,3 +38,15 @@ def test_no_link_is_lost(spark, first):
     table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {r.doc_id: r.component_id for r in ngram_join.link_components(table).collect()}
     assert got == want
+
+
+def test_sketches_never_tell_more_differences_than_there_are():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        both = rng.integers(0, 2**64, rng.integers(0, 400), np.uint64)
+        one, other = (np.unique(np.r_[both, rng.integers(0, 2**64, rng.integers(0, 200), np.uint64)]) for _ in range(2))
+        found = ngram_join.least_difference(ngram_join.sketch(one), ngram_join.sketch(other))
+        apart = len(np.setxor1d(one, other))
+        assert found <= apart and (found > 0 or apart < 8)
