@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from kelpline.functions.lexicon import CONTENTS_MARKS, COPYRIGHT_MARKS
 from kelpline.jobs.tables import UNITS_SQL, pages, table, units
 from kelpline.operators import chunking, cleaning, enrichment, repository
+from kelpline.operators.storage import new_folder
+from kelpline.sources import readers
 
 POOL = {"scenario_tags": ["en", "de", "src0", "src3", "src7"], "role_tags": ["patient", "nurse"]}
 W_UNITS = f"WITH units AS ({UNITS_SQL})"
@@ -304,7 +306,39 @@ def q_get_by_ids(spark: SparkSession, d: str) -> DataFrame:
     return repository.get_by_ids(units(spark, d), ids).select("id", "source_status", "title")
 
 
+def q_upsert_table(spark: SparkSession, d: str) -> DataFrame:
+    """The same into a written table, of which only the folders of incoming ids are read and replaced."""
+    u = units(spark, d).select("id", "title", F.col("page_start").alias("updated_at"))
+    path = new_folder(spark)
+    repository.create_units_table(u, path)
+    repository.upsert_units_table(u.filter("updated_at % 500 < 3").withColumn("title", F.concat(F.lit("new "), "title")), path)
+    return spark.read.parquet(path).select("id", "title", F.col("updated_at").cast("long").alias("updated_at"))
+
+
+def q_units_by_status(spark: SparkSession, d: str) -> DataFrame:
+    """Quarantined units of a table that is written by status; only their folder is read."""
+    path = new_folder(spark)
+    repository.write_units(units(spark, d).select("id", "title", "source_status"), path)
+    return cleaning.units_by_status(spark.read.parquet(path), "quarantined").select(F.col("id").cast("string").alias("id"), "title")
+
+
+def q_skipped_documents(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id")
+    return repository.skipped_documents(docs, docs.filter("doc_id % 3 = 0"), "doc_id")
+
+
+def q_jsonl_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Documents written as lines of JSON to eight files by id, with a blank line after each, and read as pages."""
+    path = new_folder(spark)
+    docs = table(spark, d, "documents").select("doc_id", "text").withColumn("part", F.pmod("doc_id", F.lit(8)))
+    line = F.concat(F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("text"))), F.lit("\n"))
+    docs.repartition(8, "part").sortWithinPartitions("part", "doc_id").select("part", line.alias("value")).write.partitionBy("part").text(path)
+    pages_read = readers.read_jsonl_pages(spark, f"{path}/*/*")
+    return pages_read.select(F.regexp_extract("file_path", r"part=(\d+)", 1).cast("long").alias("part"), F.col("page_number").cast("long").alias("page_number"), F.md5("text").alias("text_md5"))
+
+
 QUERIES = {
+    "upsert_table": q_upsert_table, "units_by_status": q_units_by_status, "skipped_documents": q_skipped_documents, "jsonl_pages": q_jsonl_pages,
     "clean_pages": q_clean_pages, "quality_flags": q_quality_flags, "quality_score": q_quality_score, "flag_duplicates": q_flag_duplicates,
     "split_paragraphs": q_segments, "merge_short": q_merge_short, "split_long": q_split_long, "chunk_documents": q_chunk_documents,
     "validate_tags": q_validate_tags, "tag_distribution": q_tag_distribution, "tag_coverage": q_tag_coverage, "enrichment_requests": q_enrichment_requests,
@@ -314,6 +348,10 @@ QUERIES = {
     "validate_units": q_validate_units, "pick_page_text": q_pick_page_text, "get_by_ids": q_get_by_ids,
 }
 ORACLES = {
+    "upsert_table": f"{W_UNITS} SELECT id, CASE WHEN page_start % 500 < 3 THEN 'new ' || title ELSE title END AS title, page_start AS updated_at FROM units",
+    "units_by_status": f"{W_UNITS} SELECT id, title FROM units WHERE source_status = 'quarantined'",
+    "skipped_documents": "SELECT doc_id, 'skipped' AS parse_status FROM documents WHERE doc_id % 3 = 0",
+    "jsonl_pages": "SELECT doc_id % 8 AS part, 2 * row_number() OVER (PARTITION BY doc_id % 8 ORDER BY doc_id) - 1 AS page_number, md5(coalesce(text, '')) AS text_md5 FROM documents",
     "clean_pages": f"SELECT doc_id, md5({_CLEAN}) AS text_md5, length({_CLEAN})::INT AS n FROM documents",
     "quality_flags": SQL_FLAGS,
     "quality_score": SQL_SCORE,

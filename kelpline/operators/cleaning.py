@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from kelpline.functions.lexicon import CARD_TARGETS, CONTENTS_MARKS, COPYRIGHT_MARKS, REVIEW_STATUSES, SOURCE_TYPES, STATUSES, UNIT_TYPES
 from kelpline.functions.text import CJK, GARBLE, SPARSE, strip
+from kelpline.operators.storage import stash
 
-#: What each flag takes off the score.
+#: What each flag takes off the score, and the score from which a page passes.
 PENALTIES = {
     "too_short": 0.3,
     "table_of_contents": 0.9,
@@ -62,20 +63,42 @@ def route_status(pages: DataFrame, desired: str = "main") -> DataFrame:
     return pages.withColumn("source_status", F.when(F.col("quality_score") >= PASSING, F.lit(desired)).otherwise("quarantined"))
 
 
+#: Page numbers of a range of a document, and flagged pages that are sent to where the pages are.
+PAGE_RANGE, MOST_FLAGGED = 1_024, 500_000
+
+
+def pages_before(pages: DataFrame) -> DataFrame:
+    """doc_id, page_number, before: the number of the page before in the document; of pages that have one. A window sees a
+    range of page numbers, so a book of any length is many tasks'; the last page of the ranges before is joined, of which
+    a document has a row for each range."""
+    own = pages.select("doc_id", "page_number").distinct().withColumn("_range", F.floor(F.col("page_number") / PAGE_RANGE))
+    inside = own.withColumn("before", F.lag("page_number").over(W.partitionBy("doc_id", "_range").orderBy("page_number")))
+    ends = own.groupBy("doc_id", "_range").agg(F.max("page_number").alias("_end"))
+    edges = ends.select("doc_id", "_range", F.lag("_end").over(W.partitionBy("doc_id").orderBy("_range")).alias("_edge")).filter("_edge IS NOT NULL")
+    first = inside.filter("before IS NULL").drop("before").join(edges, ["doc_id", "_range"]).select("doc_id", "page_number", F.col("_edge").alias("before"))
+    return inside.filter("before IS NOT NULL").select("doc_id", "page_number", "before").unionByName(first)
+
+
 def flag_duplicates(pages: DataFrame, similarity: float = 0.9) -> DataFrame:
     """``duplicate_of``: the first row (doc_id, page_number) with the same words in lower case, or the page before if the
-    two share more than ``similarity`` of their distinct words; null otherwise. Digests are shuffled, not texts; adjacent
-    pages are compared within their document."""
-    words = F.array_distinct(F.split(F.lower(strip(F.coalesce("text", F.lit("")))), r"\s+"))
+    two share more than ``similarity`` of their distinct words; null otherwise. Digests and sets of 64-bit hashes of words
+    are shuffled, by page; what comes back to the pages is the flagged ones, and texts stay where they are while these
+    are MOST_FLAGGED at most. Rows of one page of a document are told apart by nothing: they share what is flagged."""
     place = F.struct("doc_id", "page_number")
-    rows = pages.withColumns({"_words": words, "_digest": F.md5(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"\s+", " "))})
-    first = rows.groupBy("_digest").agg(F.min(place).alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    before = W.partitionBy("doc_id").orderBy("page_number")
-    rows = rows.withColumn("_before", F.lag(F.struct("page_number", "_words")).over(before))
-    shared = F.size(F.array_intersect("_words", "_before._words")) / F.size(F.array_union("_words", "_before._words"))
-    copy = F.when(F.col("_first") < place, F.col("_first"))
-    near = F.when(shared > similarity, F.struct("doc_id", F.col("_before.page_number")))
-    return rows.join(first, "_digest", "left").withColumn("duplicate_of", F.coalesce(copy, near)).drop("_words", "_digest", "_first", "_before")
+    lower = F.lower(F.coalesce("text", F.lit("")))
+    words = F.array_distinct(F.transform(F.split(strip(lower), r"\s+"), lambda w: F.xxhash64(w)))
+    slim = stash(pages.select("doc_id", "page_number", words.alias("_words"), F.md5(F.regexp_replace(lower, r"\s+", " ")).alias("_digest")))
+    first = slim.groupBy("_digest").agg(F.min(place).alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    copies = slim.select("doc_id", "page_number", "_digest").join(first, "_digest").filter(F.col("_first") < place).select("doc_id", "page_number", "_first")
+    sets = slim.groupBy("doc_id", "page_number").agg(F.max("_words").alias("_words"))
+    theirs = sets.select("doc_id", F.col("page_number").alias("before"), F.col("_words").alias("_other"))
+    both = pages_before(slim).join(sets, ["doc_id", "page_number"]).join(theirs, ["doc_id", "before"])
+    shared = F.size(F.array_intersect("_words", "_other")) / F.size(F.array_union("_words", "_other"))
+    near = both.filter(shared > similarity).select("doc_id", "page_number", F.struct("doc_id", F.col("before").alias("page_number")).alias("_first"))
+    # A copy of an earlier row counts before a likeness to the page before.
+    ranked = copies.withColumn("_rank", F.lit(0)).unionByName(near.withColumn("_rank", F.lit(1)))
+    found = stash(ranked.groupBy("doc_id", "page_number").agg(F.min_by("_first", F.struct("_rank", "_first")).alias("duplicate_of")))
+    return pages.join(F.broadcast(found) if found.count() <= MOST_FLAGGED else found, ["doc_id", "page_number"], "left").select(*pages.columns, "duplicate_of")
 
 
 def active_units(units: DataFrame) -> DataFrame:
