@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from struct import pack as pack_ids
@@ -19,8 +20,18 @@ END = 2
 REMEMBERED = 600_000
 #: Longer pieces aren't remembered.
 LONGEST_REMEMBERED = 64
-#: Characters that need no normalisation but lower case, and the pieces of a text: these are fixed values of the
-#: tokenizer file, for these characters.
+#: Characters that need no normalisation but lower case, and the pieces of a text: these are fixed values of tokenizers with
+#: the parts PARTS, for these characters. A file with other parts has its texts encoded whole.
+PARTS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 NOT_PLAIN = re.compile(r"[^\x20-\x7E\x09-\x0DÀ-ÖØ-öø-ÿ]")
 PIECE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^\sa-zß-öø-ÿ0-9]+")
 PIECES = "doc_id long, start long, length long, input_ids binary, doc_tokens long"
@@ -45,6 +56,8 @@ class PieceIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        told = json.loads(self.tokenizer.to_str())
+        self.by_pieces = told["model"]["type"] == "BPE" and all(told[part] == PARTS[part] for part in PARTS)
         self.merged = self.tokenizer.model.tokenize
         self.markers = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = _byte_letters()
@@ -77,7 +90,7 @@ class PieceIds:
         return b"".join(ids)
 
     def text(self, text: str) -> bytes:
-        if any(m in text for m in self.markers):
+        if not self.by_pieces or any(m in text for m in self.markers):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if not NOT_PLAIN.search(text):
             return self._plain(text)

@@ -125,7 +125,7 @@ def score(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
     words and counts, counted over all labelled documents and weighed by a logistic regression. A host's rate of good
     documents is shrunk to that of all, and the rate of a path within the host to the host's; how much follows from how
     hosts (and paths) differ, so a site without labels has the rate above it. A labelled document counts neither for its
-    own evidence (it is learned without its fold of ids) nor for its own site's rates.
+    own evidence (it is learned without its fold, in which all documents with its words are) nor for its own site's rates.
     score = logistic(evidence + logit(path_rate)), and documents below KEEP go.
 
     A null text is empty. Null hosts and paths are sites of no name; a document with several labels is good if the most
@@ -139,7 +139,9 @@ def score(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
     known = stash(known)
     known = F.broadcast(known) if 24 * known.count() <= MOST_BROADCAST else known
     slim = docs.select("doc_id", text_of().alias("text"), _group(host).alias("host"), _group(path).alias("path"))
-    fold = F.when(F.col("good").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int"))
+    # Copies are in one fold, so that a label doesn't come back through another row with its words.
+    same = F.xxhash64(F.trim(F.regexp_replace(F.lower("text"), r"[\x20\x09-\x0D]+", " ")))
+    fold = F.when(F.col("good").isNotNull(), F.pmod(same, F.lit(FOLDS)).cast("int"))
     rows = slim.join(known, "doc_id", "left").withColumn("fold", fold)
     learned = rows.filter("good IS NOT NULL")
     total = learned.agg(F.count("*").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good")).first()

@@ -203,3 +203,17 @@ def test_proven_items_read_no_lower_tier(spark, monkeypatch):
     lost = tiered_search.TieredIndex(index.forward, index.postings.filter("tier = 0"), index.terms, index.n_docs, index.n_terms)
     got = sorted((tuple(r) for r in tiered_search.search(lost, terms).collect()), key=str)
     assert got == brute_search(list(enumerate(texts)), [(1, "common rare0 rare1 rare2 rare3 rare4 rare5")]) and len(got) == 10
+
+
+def test_other_tokenizers_encode_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from kelpline.llm.packing import PieceIds
+
+    text = "Some text, with Ünïcödé and 123 numbers.\n\nIt's  spaced"
+    for name, by_pieces in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        path = public_tokenizers.path(name)
+        own = PieceIds(path)
+        assert own.by_pieces == by_pieces
+        assert np.frombuffer(own.text(text), "<u4").tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
