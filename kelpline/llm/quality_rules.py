@@ -30,6 +30,8 @@ FULL_WORDS = 3_000
 COVERED, STEADY, MOST_STEPS = 0.75, 0.01, 60
 #: Rows that an estimate of the level above counts as in a group's: groups are shrunk to their language, these to all.
 SHRINK_ROWS = 50
+#: Files that a step's estimates, a row a level, are written as.
+FILES = 8
 #: What each variance has more than estimated, as a share: enough for a factor in directions without any spread.
 RIDGE = 1e-9
 #: Share of normal rows that a group's cut keeps: one clean document in a million goes.
@@ -215,7 +217,7 @@ def fit(rows: DataFrame) -> DataFrame:
         )
         products = F.array(*[F.get("m", F.lit(VECTOR.index(a))) * F.get("m", F.lit(VECTOR.index(b))) for a, b in PAIRS])
         moments = sums.select("at", "n_rows", F.concat("m", F.zip_with("s", products, lambda s, mm: (s - F.col("w") * mm) / F.col("n"))).alias("v"))
-        last, estimate = estimate, stash(_factored(_shrunk(stash(moments))))
+        last, estimate = estimate, stash(_factored(_shrunk(stash(moments.coalesce(FILES)))).coalesce(FILES))
         moved = estimate.join(last.select("at", F.col("log_det").alias("last")), "at").agg(F.max(F.abs(F.col("log_det") - F.col("last"))).alias("by")).first()["by"]
         if moved is None or moved <= STEADY:
             break
