@@ -19,8 +19,8 @@ from kelpline.operators.storage import stash
 #: Most query vectors and other vectors of a block, about, and how many of the latter are scored at a time.
 QUERY_BLOCK, ROW_BLOCK, SLICE = 4_096, 16_384, 2_048
 #: Units of a block of postings, about, and the classes of lengths that these are counted on to fall in; and how many
-#: times the units asked for the rarest tokens are to have, from which a score to beat is found.
-BLOCK_UNITS, LENGTH_CLASSES, RARE = 64, 8, 8
+#: times the units asked for the rarest tokens are to have, from which a score to beat is found
+BLOCK_UNITS, LENGTH_CLASSES, RARE = 8, 8, 8
 K1, B = 1.2, 0.75
 
 
@@ -159,15 +159,19 @@ def bm25_weights(queries: DataFrame, postings: DataFrame, stats: DataFrame) -> t
 
 
 def or_hits(q: DataFrame, known: DataFrame, k: int) -> DataFrame:
-    """query_id, rewrite_no, unit_id, gain of the posting rows that may matter for the ``k`` best. The sums of a rewrite's
-    rarest tokens, which some RARE times ``k`` units have, give a score that its ``k``-th best has at least. A block of units
-    is left out where the highest weights that its units have for the rewrite's tokens add up to less."""
+    """query_id, rewrite_no, unit_id, gain of the posting rows that may matter for the ``k`` best. The whole scores
+    of the units that are best by a rewrite's rarest tokens, which some RARE times ``k`` units have, give a score that its
+    ``k``-th best has at least. A block of units is left out where the highest weights that its units have for the rewrite's
+    tokens add up to less."""
     own = ["query_id", "rewrite_no"]
     before = F.coalesce(F.sum("df").over(W.partitionBy(*own).orderBy("df", "token").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     rare = q.filter("df IS NOT NULL").withColumn("_before", before).filter(F.col("_before") < RARE * k).drop("_before")
     sums = rare.join(known, "token").groupBy(*own, "unit_id").agg(F.sum(F.col("w") * F.col("times")).alias("s"))
-    ranked = sums.withColumn("_rank", F.row_number().over(W.partitionBy(*own).orderBy(F.desc("s"))))
-    least = ranked.filter(F.col("_rank") == k).select(*own, F.col("s").alias("least"))
+    ranked = sums.withColumn("_rank", F.row_number().over(W.partitionBy(*own).orderBy(F.desc("s"), "unit_id")))
+    first = ranked.filter(F.col("_rank") <= 2 * k).select(*own, "unit_id").join(q.select(*own, "token", "times"), own)
+    whole = first.join(known, ["token", "unit_id"]).groupBy(*own, "unit_id").agg(F.sum(F.col("w") * F.col("times")).alias("s"))
+    placed = whole.withColumn("_rank", F.row_number().over(W.partitionBy(*own).orderBy(F.desc("s"), "unit_id")))
+    least = placed.filter(F.col("_rank") == k).select(*own, F.col("s").alias("least"))
     peaks = known.groupBy("token", "block").agg(F.max("w").alias("peak"))
     meets = stash(q.join(peaks, "token").select(*own, "token", "times", "block", (F.col("peak") * F.col("times")).alias("most")))
     reach = meets.groupBy(*own, "block").agg(F.sum("most").alias("most")).join(least, own, "left")
