@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kelpline.functions.text import strip
+from kelpline.operators import merging
 
 #: Lengths in characters, and the quality of a chunk whose pages aren't scored.
 MIN_CHARS, MAX_CHARS, OVERLAP = 300, 800, 100
@@ -20,35 +20,34 @@ def split_paragraphs(pages: DataFrame, delimiter: str = "\n\n") -> DataFrame:
     return pages.select("doc_id", "page_number", parts).select("doc_id", "page_number", "segment_no", strip(F.col("_part")).alias("text")).filter("text <> ''")
 
 
-def _groups(lengths: list[int], min_chars: int) -> list[int]:
-    """The group of each of a document's segments."""
-    out, held, group = [], -1, -1
-    for n in lengths:
-        if 0 <= held < min_chars:
-            held += 1 + n
-        else:
-            held, group = n, group + 1
-        out.append(group)
-    return out
+def _starts(lengths: Column, min_chars: int) -> Column:
+    """Where (from 1) a document's groups start, by the lengths of its segments."""
+    none = F.struct(F.lit(-1).alias("held"), F.lit(0).alias("seen"), F.array().cast("array<int>").alias("starts"))
 
+    def step(acc: Column, n: Column) -> Column:
+        joined, at = acc["held"].between(0, min_chars - 1), acc["seen"] + 1
+        starts = F.when(joined, acc["starts"]).otherwise(F.concat(acc["starts"], F.array(at)))
+        return F.struct(F.when(joined, acc["held"] + 1 + n).otherwise(n).alias("held"), at.alias("seen"), starts.alias("starts"))
 
-def merge_short(segments: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    return F.aggregate(lengths, none, step, lambda acc: acc["starts"])
+
+
+def merge_short(segments: DataFrame, min_chars: int = MIN_CHARS, long: int = merging.LONG) -> DataFrame:
     """doc_id, group_no, page_start, page_end, text: while a segment has fewer than ``min_chars``, the next one of the
-    document is joined to it, across pages. A document's segments are one row for a while; the fold sees their lengths."""
-    gathered = segments.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page_number", "segment_no", "text"))).alias("s"))
-
-    @F.pandas_udf("array<int>")
-    def grouped(lengths: pd.Series) -> pd.Series:
-        return lengths.map(lambda own: _groups(own, min_chars))
-
-    folded = gathered.withColumn("groups", grouped(F.transform("s", lambda x: F.length(x["text"]))))
-    flat = folded.select("doc_id", F.explode(F.arrays_zip("s", "groups")).alias("z")).select("doc_id", F.col("z.groups").alias("group_no"), "z.s.*")
-    merged = flat.groupBy("doc_id", "group_no").agg(
-        F.min("page_number").alias("page_start"),
-        F.max("page_number").alias("page_end"),
-        F.sort_array(F.collect_list(F.struct("page_number", "segment_no", "text"))).alias("s"),
-    )
-    return merged.select("doc_id", "group_no", "page_start", "page_end", F.array_join(F.col("s.text"), "\n").alias("text"))
+    document is joined to it, across pages; a null text counts as empty. The segments of a document with up to ``long``
+    of them are one row for a while; those of longer ones stay rows of their own (see ``merging``)."""
+    segments = segments.select("doc_id", "page_number", "segment_no", F.coalesce("text", F.lit("")).alias("text"))
+    outsized = merging.long_documents(segments, long)
+    is_long = F.col("doc_id").eqNullSafe(F.col("_long"))
+    gathered = segments.join(outsized, is_long, "left_anti").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page_number", "segment_no", "text"))).alias("s"))
+    cut = gathered.withColumn("starts", _starts(F.transform("s", lambda x: F.length(x["text"])), min_chars))
+    own = F.transform("starts", lambda at, i: F.slice("s", at, F.coalesce(F.get("starts", i + 1), F.size("s") + 1) - at))
+    merged = cut.select("doc_id", F.posexplode(own).alias("group_no", "s"))
+    if not outsized.isEmpty():
+        rows = merging.group_long(segments.join(outsized, is_long, "left_semi"), min_chars)
+        whole = rows.groupBy("doc_id", "group_no").agg(F.sort_array(F.collect_list(F.struct("page_number", "segment_no", "text"))).alias("s"))
+        merged = merged.unionByName(whole)
+    return merged.select("doc_id", "group_no", F.array_min("s.page_number").alias("page_start"), F.array_max("s.page_number").alias("page_end"), F.array_join(F.col("s.text"), "\n").alias("text"))
 
 
 def split_long(segments: DataFrame, max_chars: int = MAX_CHARS, min_chars: int = MIN_CHARS) -> DataFrame:

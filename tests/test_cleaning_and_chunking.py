@@ -1,6 +1,9 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
-from kelpline.operators import chunking, cleaning
+from kelpline.operators import chunking, cleaning, merging
 
 CJK = "安宁疗护关注症状与陪伴，"
 
@@ -35,6 +38,38 @@ def test_merge_short(spark):
     assert out == {("d", 0): (1, 2, "a" * 200 + "\n" + "b" * 50 + "\n" + "c" * 60), ("d", 1): (3, 3, "e" * 10), ("x", 0): (1, 1, "q")}
 
 
+def _merged(rows, min_chars):
+    out, held = {}, {}
+    for doc, page, _, text in sorted(rows, key=lambda r: (str(r[0]), *r[1:])):
+        groups = out.setdefault(doc, [])
+        if groups and held[doc] < min_chars:
+            groups[-1] = (groups[-1][0], page, groups[-1][2] + "\n" + text)
+            held[doc] += 1 + len(text)
+        else:
+            groups.append((page, page, text))
+            held[doc] = len(text)
+    return {(doc, i): g for doc, groups in out.items() for i, g in enumerate(groups)}
+
+
+@pytest.mark.parametrize("min_chars", [0, 7, 40])
+@pytest.mark.parametrize("long", [0, 20, 10**6])
+def test_merge_short_equals_a_plain_fold(spark, monkeypatch, long, min_chars):
+    monkeypatch.setattr(merging, "RANGE", 64)
+    rng = random.Random(3)
+    rows = [(d, p, i, "x" * rng.choice([0, 1, 2, 5, 9, 200])) for d in ("a", "b", "c", None) for p in range(rng.randint(1, 5)) for i in range(rng.randint(1, 12))]
+    rows += [("one", 1, 0, ""), ("b", 0, 0, "xx"), ("b", 0, 0, "xx")]
+    out = chunking.merge_short(spark.createDataFrame(rows, "doc_id string, page_number int, segment_no int, text string"), min_chars, long).collect()
+    assert {(r.doc_id, r.group_no): (r.page_start, r.page_end, r.text) for r in out} == _merged(rows, min_chars) and len(out) == len(_merged(rows, min_chars))
+
+
+def test_merge_short_of_no_rows_and_null_texts(spark):
+    schema = "doc_id string, page_number int, segment_no int, text string"
+    assert chunking.merge_short(spark.createDataFrame([], schema)).collect() == []
+    nulls = spark.createDataFrame([("d", 1, 0, None), ("d", 1, 1, "a")], schema)
+    assert [tuple(r) for r in chunking.merge_short(nulls, long=0).collect()] == [("d", 0, 1, 1, "\na")]
+    assert [tuple(r) for r in chunking.merge_short(nulls).collect()] == [("d", 0, 1, 1, "\na")]
+
+
 def test_split_long_glues_a_short_tail(spark):
     text = "a" * 299 + "。" + "b" * 450 + "。" + "c" * 100
     rows = spark.createDataFrame([(1, text), (2, "x" * 900)], "doc_id int, text string")
