@@ -66,7 +66,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         .withColumn("_runs", F.when(F.col("q_words") >= RUN, F.transform(F.sequence(F.lit(0), n_runs - 1), distinct)))
         .drop("_text", "_bare", "_words", "_lines")
     )
-    placed = F.array_sort(F.transform("_triples", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    placed = F.sort_array(F.transform("_triples", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     repeats = F.size(F.array_distinct("_triples")) < F.size("_triples")
     same = lambda a, b: F.get("_placed", a)["h"] == F.get("_placed", b)["h"]
     again = F.filter("_placed", lambda x, j: F.coalesce(same(j, j - 1), F.lit(False)) | F.coalesce(same(j, j + 1), F.lit(False)))
