@@ -9,7 +9,7 @@ import warnings
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_small, stash, table, text_of, without_spaces, words_of
+from .common import SPACES, join_small, stash, table, text_of, words_of
 
 MIN_WORDS = 50
 SYMBOLS = "#*$%&|<>"
@@ -41,30 +41,34 @@ KEPT_SHARE = 0.999999
 def statistics(docs: DataFrame) -> DataFrame:
     """``docs`` with q_words, q_chars, q_symbols, q_dup_lines, q_repeat, q_failed, the components VECTOR and their weight. A
     null or empty text has no words and fails; components of rows that fail may be null."""
-    lines = F.filter(F.split(F.col("_text"), "\n"), lambda line: without_spaces(line) != "")
+    lines = F.filter(F.split(F.col("_text"), "\n"), lambda line: F.ltrim(line, F.lit(SPACES)) != "")
     triple = F.transform(
         F.sequence(F.lit(0), F.col("q_words").cast("int") - 3),
         lambda i: F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2)),
     )
+    among = lambda chars: F.length("_other") - F.length(F.translate("_other", chars, ""))
     n_runs = F.floor(F.col("q_words") / RUN).cast("int")
     distinct = lambda i: F.size(F.array_distinct(F.slice("_words", i * RUN + 1, RUN)))
     counted = (
         docs.withColumn("_text", text_of())
-        .withColumns({"_words": words_of(F.col("_text")), "_lines": lines, "_bare": without_spaces(F.col("_text"))})
+        .withColumns({"_words": words_of(F.col("_text")), "_lines": lines})
+        .withColumn("_bare", F.array_join("_words", ""))
+        # Small letters and digits go in long runs; what is left is short in most texts, and counted character by character.
+        .withColumn("_other", F.regexp_replace("_bare", "[a-z0-9]+", ""))
         .withColumns(
             {
                 "q_words": F.size("_words").cast("long"),
                 "q_chars": F.length("_bare").cast("long"),
-                "q_symbols": (F.length("_bare") - F.length(F.translate("_bare", SYMBOLS, ""))).cast("long"),
-                "_capitals": F.length("_bare") - F.length(F.translate("_bare", CAPITALS, "")),
-                "_marks": F.length("_bare") - F.length(F.translate("_bare", MARKS, "")),
+                "q_symbols": among(SYMBOLS).cast("long"),
+                "_capitals": among(CAPITALS),
+                "_marks": among(MARKS),
                 "_short": F.size(F.filter("_words", lambda w: F.length(w) <= SHORT)),
                 "q_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
             }
         )
         .withColumn("_triples", F.when(F.col("q_words") >= 3, triple))
         .withColumn("_runs", F.when(F.col("q_words") >= RUN, F.transform(F.sequence(F.lit(0), n_runs - 1), distinct)))
-        .drop("_text", "_bare", "_words", "_lines")
+        .drop("_text", "_bare", "_other", "_words", "_lines")
     )
     placed = F.sort_array(F.transform("_triples", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     repeats = F.size(F.array_distinct("_triples")) < F.size("_triples")
