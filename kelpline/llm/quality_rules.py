@@ -30,8 +30,9 @@ FULL_WORDS = 3_000
 COVERED, STEADY, MOST_STEPS = 0.75, 0.01, 60
 #: Rows that an estimate of the level above counts as in a group's: groups are shrunk to their language, these to all.
 SHRINK_ROWS = 50
-#: Files that a step's estimates, a row a level, are written as.
-FILES = 8
+#: Rows of a file of vectors, and levels of a file of a step's estimates (FILES files at least), a row a level of about
+#: LEVEL_BYTES.
+ROWS_A_FILE, LEVELS_A_FILE, FILES, LEVEL_BYTES = 50_000, 10_000, 8, 400
 #: What each variance has more than estimated, as a share: enough for a factor in directions without any spread.
 RIDGE = 1e-9
 #: Share of normal rows that a group's cut keeps: one clean document in a million goes.
@@ -132,17 +133,18 @@ MIDDLE = chi2_quantile(0.5)
 PAIRS = [(a, b) for i, a in enumerate(VECTOR) for b in VECTOR[: i + 1]]
 
 
-def _shrunk(raw: DataFrame) -> DataFrame:
-    """Level rows (at, n_rows, v) with the estimates v drawn to those of the level above, by rows."""
-    above = raw.filter("at.level = 0")
-    levels = [above]
+def _shrunk(raw: DataFrame, n_levels: int) -> DataFrame:
+    """Level rows (at, n_rows, v) of a written table with the estimates v drawn to those of the level above, by rows."""
+    # The level above is told from a row's own, not by constants: those would leave a join without a key.
+    lang = F.when(F.col("at.level") == 2, F.col("at.lang")).otherwise(F.lit(""))
+    own = raw.withColumn("parent", F.struct((F.col("at.level") - 1).alias("level"), lang.alias("lang"), F.lit("").alias("source")))
+    part = F.col("n_rows") / (F.col("n_rows") + SHRINK_ROWS)
+    drawn = F.zip_with("v", "up", lambda x, y: part * x + (1 - part) * y)
+    levels = [raw.filter("at.level = 0")]
     for level in (1, 2):
-        lang = F.col("at.lang") if level == 2 else F.lit("")
-        own = raw.filter(F.col("at.level") == level).withColumn("parent", F.struct(F.lit(level - 1).alias("level"), lang.alias("lang"), F.lit("").alias("source")))
-        part = F.col("n_rows") / (F.col("n_rows") + SHRINK_ROWS)
-        drawn = F.zip_with("v", "up", lambda x, y: part * x + (1 - part) * y)
-        above = own.join(above.select(F.col("at").alias("parent"), F.col("v").alias("up")), "parent").select("at", "n_rows", drawn.alias("v"))
-        levels.append(above)
+        above = levels[-1].select(F.col("at").alias("parent"), F.col("v").alias("up"))
+        met = join_small(own.filter(F.col("at.level") == level), above, "parent", LEVEL_BYTES * n_levels, ["at"], "inner")
+        levels.append(met.select("at", "n_rows", drawn.alias("v")))
     return levels[0].unionByName(levels[1]).unionByName(levels[2])
 
 
@@ -200,16 +202,19 @@ def fit(rows: DataFrame) -> DataFrame:
 
     Levels are summed up before they are shuffled; a step's estimates, a row a level, are written before they are used."""
     # Written before it is filtered: a filter would be pushed down and repeat the statistics in its condition.
-    vectors = stash(rows.select(_group().alias("group"), "q_failed", "weight", *VECTOR))
+    n_files = -(-rows.count() // ROWS_A_FILE)
+    vectors = stash(rows.select(_group().alias("group"), "q_failed", "weight", *VECTOR).coalesce(max(1, n_files)))
     passing = vectors.filter("NOT q_failed").select(F.explode(F.array(*map(_level, range(3)))).alias("at"), "weight", *VECTOR)
     middle = stash(passing.groupBy("at").agg(F.count("*").alias("n_rows"), F.array(*[_quantile(c, 0.5) for c in VECTOR]).alias("m")))
     n_levels = middle.count()
-    near = lambda estimates: join_small(passing, estimates, "at", 400 * n_levels, ["weight", *VECTOR], "inner")
+    few = lambda levels: stash(levels.coalesce(max(FILES, n_levels // LEVELS_A_FILE)))
+    near = lambda estimates: join_small(passing, estimates, "at", LEVEL_BYTES * n_levels, ["weight", *VECTOR], "inner")
 
     off = [_quantile(F.abs(F.col(c) - F.get("m", F.lit(i))) * F.sqrt("weight"), 0.5) for i, c in enumerate(VECTOR)]
     spread = near(middle.drop("n_rows")).groupBy("at").agg(F.array(*off).alias("d"))
     spreads = [(F.get("d", F.lit(VECTOR.index(a))) * 1.4826) ** 2 if a == b else F.lit(0.0) for a, b in PAIRS]
-    estimate = stash(_factored(_shrunk(middle.join(spread, "at").select("at", "n_rows", F.concat("m", F.array(*spreads)).alias("v")))))
+    first = few(middle.join(spread, "at").select("at", "n_rows", F.concat("m", F.array(*spreads)).alias("v")))
+    estimate = few(_factored(_shrunk(first, n_levels)))
     for _ in range(MOST_STEPS):
         far = near(estimate).select("at", "n_rows", "weight", _distance().alias("distance"), *VECTOR)
         edge = far.groupBy("at").agg(_quantile("distance", COVERED).alias("edge"))
@@ -221,22 +226,22 @@ def fit(rows: DataFrame) -> DataFrame:
         )
         products = F.array(*[F.get("m", F.lit(VECTOR.index(a))) * F.get("m", F.lit(VECTOR.index(b))) for a, b in PAIRS])
         moments = sums.select("at", "n_rows", F.concat("m", F.zip_with("s", products, lambda s, mm: (s - F.col("w") * mm) / F.col("n"))).alias("v"))
-        last, estimate = estimate, stash(_factored(_shrunk(stash(moments.coalesce(FILES)))).coalesce(FILES))
+        last, estimate = estimate, few(_factored(_shrunk(few(moments), n_levels)))
         moved = estimate.join(last.select("at", F.col("log_det").alias("last")), "at").agg(F.max(F.abs(F.col("log_det") - F.col("last"))).alias("by")).first()["by"]
         if moved is None or moved <= STEADY:
             break
     else:
         warnings.warn(f"estimates moved by {moved} in the last of {MOST_STEPS} steps", stacklevel=2)
-    scale = near(estimate).groupBy("at").agg(F.first("n_rows").alias("n_rows"), F.array(_quantile(_distance(), 0.5) / MIDDLE).alias("v"))
-    held = estimate.drop("n_rows", "log_det").join(_shrunk(scale).select("at", F.get("v", F.lit(0)).alias("scale")), "at").filter("at.level = 2")
-    return stash(held.withColumn("group", F.struct("at.lang", "at.source")).drop("at"))
+    scale = few(near(estimate).groupBy("at").agg(F.first("n_rows").alias("n_rows"), F.array(_quantile(_distance(), 0.5) / MIDDLE).alias("v")))
+    held = estimate.drop("n_rows", "log_det").join(_shrunk(scale, n_levels).select("at", F.get("v", F.lit(0)).alias("scale")), "at").filter("at.level = 2")
+    return few(held.withColumn("group", F.struct("at.lang", "at.source")).drop("at"))
 
 
 def judge(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     """``rows`` with q_distance and q_kept: not failed, and within TOO_FAR of its group's estimate. Every passing row has
     a distance."""
     held = estimates.withColumnRenamed("group", "_group")
-    judged = join_small(rows.withColumn("_group", _group()), held, "_group", 400 * held.count(), ["weight", *VECTOR])
+    judged = join_small(rows.withColumn("_group", _group()), held, "_group", LEVEL_BYTES * held.count(), ["weight", *VECTOR])
     judged = judged.withColumn("q_distance", _distance() / F.greatest("scale", F.lit(1e-12)))
     near = F.coalesce(F.col("q_distance") <= TOO_FAR, F.lit(False))
     # One condition on both sides of the join, so that no part of it is pushed below the statistics.
