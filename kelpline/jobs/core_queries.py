@@ -327,13 +327,19 @@ def q_skipped_documents(spark: SparkSession, d: str) -> DataFrame:
     return repository.skipped_documents(docs, docs.filter("doc_id % 3 = 0"), "doc_id")
 
 
+#: Documents of a file of lines, about.
+FILE_ROWS = 20_000
+
+
 def q_jsonl_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Documents written as lines of JSON to eight files by id, with a blank line after each, and read as pages."""
+    """Documents written as lines of JSON to eight folders by id, with a blank line after each, and read as pages that are
+    numbered through a folder. Its files hold ranges of ids, so that no task has a folder's documents."""
     path = new_folder(spark)
     docs = table(spark, d, "documents").select("doc_id", "text").withColumn("part", F.pmod("doc_id", F.lit(8)))
     line = F.concat(F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("text"))), F.lit("\n"))
-    docs.repartition(8, "part").sortWithinPartitions("part", "doc_id").select("part", line.alias("value")).write.partitionBy("part").text(path)
-    pages_read = readers.read_jsonl_pages(spark, f"{path}/*/*")
+    ranges = max(8, -(-docs.count() // FILE_ROWS))
+    docs.repartitionByRange(ranges, "part", "doc_id").sortWithinPartitions("part", "doc_id").select("part", line.alias("value")).write.partitionBy("part").text(path)
+    pages_read = readers.read_jsonl_pages(spark, f"{path}/*/*", through=True)
     return pages_read.select(F.regexp_extract("file_path", r"part=(\d+)", 1).cast("long").alias("part"), F.col("page_number").cast("long").alias("page_number"), F.md5("text").alias("text_md5"))
 
 

@@ -32,24 +32,26 @@ def _numbered_lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], [*batch.schema.names, "at"])
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str, through: bool = False) -> DataFrame:
     """file_path, line_number (from 1), line of text files that may be of any size: lines are numbered in each part of a file
-    that a task reads, and the parts before have so many. The second reading counts lines only; of a file there is a row
-    for each part to sum up."""
+    that a task reads, and the parts before have so many. With ``through``, numbers go on through the files of a folder, in
+    order of their names. The second reading counts lines only; of a file there is a row for each part to sum up, which the
+    lines get by broadcast."""
     lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("start"), "value")
     parts = lines.groupBy("file_path", "start").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(W.partitionBy("file_path").orderBy("start").rowsBetween(W.unboundedPreceding, -1))
+    run = F.regexp_replace("file_path", "[^/]*$", "") if through else F.col("file_path")
+    before = F.sum("n").over(W.partitionBy(run).orderBy("file_path", "start").rowsBetween(W.unboundedPreceding, -1))
     offsets = parts.select("file_path", "start", before.alias("before")).filter("before IS NOT NULL")
     own = lines.mapInArrow(_numbered_lines, "file_path string, start long, value string, at long")
-    return own.join(offsets, ["file_path", "start"], "left").select("file_path", (F.col("at") + F.coalesce("before", F.lit(0))).alias("line_number"), F.col("value").alias("line"))
+    return own.join(F.broadcast(offsets), ["file_path", "start"], "left").select("file_path", (F.col("at") + F.coalesce("before", F.lit(0))).alias("line_number"), F.col("value").alias("line"))
 
 
-def read_jsonl_pages(spark: SparkSession, path: str) -> DataFrame:
-    """A line that isn't blank is a page; its number counts blank lines too. The text is the field text, else content,
-    else the line itself, as for lines that aren't JSON."""
+def read_jsonl_pages(spark: SparkSession, path: str, through: bool = False) -> DataFrame:
+    """A line that isn't blank is a page; its number counts blank lines too, of its file or (``through``) of its folder. The
+    text is the field text, else content, else the line itself, as for lines that aren't JSON."""
     line = F.trim(F.regexp_replace("line", "\r$", ""))
     text = F.coalesce(F.get_json_object("line", "$.text"), F.get_json_object("line", "$.content"), line)
-    pages = numbered_lines(spark, path).filter(line != "")
+    pages = numbered_lines(spark, path, through).filter(line != "")
     return pages.select("file_path", F.col("line_number").cast("int").alias("page_number"), text.alias("text"), F.lit("text_layer").alias("parse_method"), F.lit(1.0).alias("confidence"))
 
 
