@@ -85,3 +85,17 @@ def test_postings_of_ids_that_are_there_once_are_not_shuffled(spark, monkeypatch
     twice = spark.createDataFrame([("a", "x y", "main"), ("a", "x x", "main"), ("b", "x", "main")], "id string, text string, source_status string")
     posts = index_store.rebuild_index(twice, str(tmp_path / "index"))["postings"].collect()
     assert sorted((r.id, r.token, r.tf) for r in posts) == [("a", "x", 3), ("a", "y", 1), ("b", "x", 1)]
+
+
+def test_texts_of_units_that_no_hit_names_end_where_they_are_read(spark):
+    units = texts(spark).withColumns({"quality_score": F.lit(0.5), "source_status": F.lit("main")})
+    hits = spark.createDataFrame([(1, "u0003", "sparse", 1, 1, 1.0, 0.0), (1, "gone", "sparse", 1, 2, 0.5, 0.0)], "query_id int, unit_id string, route string, route_ord int, pos int, score double, boost double")
+    from kelpline.operators import fusion, matching
+
+    for most in (1 << 20, 0):
+        assert [r.id for r in matching.named_units(units, hits, most).collect()] == ["u0003"]
+    assert "BroadcastHashJoin" in matching.named_units(units, hits)._jdf.queryExecution().toString()
+    fused = fusion.fuse(hits, units)
+    assert {(r.unit_id, r.pos) for r in fused.collect()} == {("u0003", 1), ("gone", 2)}
+    asked = fusion.rerank_requests(fused, units, spark.createDataFrame([(1, "q")], "query_id int, text string"))
+    assert asked.first().passages == [units.filter("id = 'u0003'").first().text, ""]
