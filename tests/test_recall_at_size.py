@@ -99,3 +99,23 @@ def test_texts_of_units_that_no_hit_names_end_where_they_are_read(spark):
     assert {(r.unit_id, r.pos) for r in fused.collect()} == {("u0003", 1), ("gone", 2)}
     asked = fusion.rerank_requests(fused, units, spark.createDataFrame([(1, "q")], "query_id int, text string"))
     assert asked.first().passages == [units.filter("id = 'u0003'").first().text, ""]
+
+
+def test_index_for_requests_holds_their_postings_only(spark, monkeypatch):
+    monkeypatch.setattr(indexing, "PART", 300)
+    monkeypatch.setattr(indexing, "WORDS_ROW", 5)
+    odd = [*ODD, "pain,relief-x²Ⅳ _pain_ ٣٤ Σας ΟΔΟΣ", " \t\x1cpain\x0b "]
+    rows = spark.createDataFrame([(f"o{i}", t) for i, t in enumerate(odd)], "id string, text string").unionByName(texts(spark, 60))
+    units = rows.withColumns({"title": F.substring("text", 1, 9), "summary": F.lit("pain w3"), "source_status": F.lit("main")})
+    asked = spark.createDataFrame([("Pain RELIEF nowhere x²Ⅳ σας",), ("w1 ٣٤",), (None,)], "text string")
+    every, few = indexing.build_index(units), indexing.asked_index(units, asked)
+    columns = ["id", "token", "len", "tf"]
+    names = ["pain", "relief", "x²ⅳ", "σας", "w1", "٣٤"]
+    got = sorted(map(tuple, few["postings"].select(columns).collect()))
+    assert got == sorted(map(tuple, every["postings"].filter(F.col("token").isin(names)).select(columns).collect()))
+    assert {r[1] for r in got} == set(names)
+    whole = indexing.asked_index(units, asked, most_tokens=0)["postings"]
+    assert sorted(map(tuple, whole.select(columns).collect())) == sorted(map(tuple, every["postings"].select(columns).collect()))
+    assert few["stats"].first() == every["stats"].first()
+    for name in ("vocabulary", "vectors"):
+        assert sorted(map(str, few[name].collect())) == sorted(map(str, every[name].collect()))
