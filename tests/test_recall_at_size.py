@@ -119,3 +119,17 @@ def test_index_for_requests_holds_their_postings_only(spark, monkeypatch):
     assert few["stats"].first() == every["stats"].first()
     for name in ("vocabulary", "vectors"):
         assert sorted(map(str, few[name].collect())) == sorted(map(str, every[name].collect()))
+
+
+def test_runs_of_words_that_no_request_has_end_where_they_are_read(spark):
+    import numpy as np
+
+    from kelpline.operators import evaluation
+
+    units = spark.createDataFrame([("a", "x a b  c\td e y"), ("b", "a b c"), ("c", "d e"), ("d", None), ("e", "a b c a b c")], "id string, text string")
+    runs = evaluation._runs(spark.createDataFrame([(1, "a b c d")], "query_id int, text string"), "query_id", 3)
+    asked = np.sort(runs.toArrow()["run"].to_numpy().view(np.uint64))
+    near = evaluation._runs(units, "id", 3, asked)
+    assert len(asked) == 2 and sorted(r.id for r in near.collect()) == ["a", "a", "b", "e"]
+    assert evaluation._runs(units, "id", 3).count() == 5 + 1 + 3
+    assert evaluation._runs(units, "id", 3, asked[:0]).count() == 0
